@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,19 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return near_duplicate_classes(_table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, max_bits=2)
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside occurrences of 13-word windows of benchmark items."""
+    from .decontaminate import contamination, judged
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash_golay": op4_simhash_golay}
+    rows = judged(*contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")), share=20)
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_golay": op4_simhash_golay,
+    "op8_winnowing": op8_winnowing,
+}
 ORACLES: dict[str, str] = {}
