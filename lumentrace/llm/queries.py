@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,8 +31,26 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_grouping_ga_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    """All documents, tokenized, in as few sequences of 4096 tokens as the islands find."""
+    from .packing import pack
+
+    return pack(written(_document_pieces(_table(spark, sf_dir, "documents"), tokenizer_path), "pack-pieces"), 4096)
+
+
+def _document_pieces(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    from .packing import pieces
+
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    return pieces(docs, tokenizer_path, capacity=4096, end_id=1, keep_ids=False).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_golay": op4_simhash_golay,
+    "op6_grouping_ga_packing": op6_grouping_ga_packing,
     "op8_winnowing": op8_winnowing,
 }
 ORACLES: dict[str, str] = {}
