@@ -48,9 +48,31 @@ def _document_pieces(docs: DataFrame, tokenizer_path: str | None = None) -> Data
     return pieces(docs, tokenizer_path, capacity=4096, end_id=1, keep_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op9_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted, written and read back."""
+    from .chat_format import format_turns, read_back
+
+    hard = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return read_back(written(format_turns(turns), "chat-formatted"))
+
+
+def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written to a content-addressed archive and read back from it."""
+    from .warc_store import read_archive, write_archive
+
+    got = read_archive(*write_archive(_table(spark, sf_dir, "pages"), min_revisit=1000))
+    return got.select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_content_addressed_warc": op3_content_addressed_warc,
     "op4_simhash_golay": op4_simhash_golay,
     "op6_grouping_ga_packing": op6_grouping_ga_packing,
     "op8_winnowing": op8_winnowing,
+    "op9_prefix_target": op9_prefix_target,
 }
 ORACLES: dict[str, str] = {}
