@@ -68,11 +68,20 @@ def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_rotated_one_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every embedding whose id is divisible by 20."""
+    from .rotated_codes import build_index, nearest
+
+    index, centres = build_index(_table(spark, sf_dir, "embeddings"))
+    return nearest(index, index.where("id % 20 = 0"), centres, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_content_addressed_warc": op3_content_addressed_warc,
     "op4_simhash_golay": op4_simhash_golay,
     "op6_grouping_ga_packing": op6_grouping_ga_packing,
     "op8_winnowing": op8_winnowing,
     "op9_prefix_target": op9_prefix_target,
+    "op10_rotated_one_bit": op10_rotated_one_bit,
 }
 ORACLES: dict[str, str] = {}
