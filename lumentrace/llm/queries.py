@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fold, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,19 @@ def op10_rotated_one_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(index, index.where("id % 20 = 0"), centres, k=20)
 
 
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from toxic and unlabelled texts of four of five folds."""
+    from .toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 5) == 0
+    model = train(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
+    got = score(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), model, "text", "doc_id", "held_out")
+    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op3_content_addressed_warc": op3_content_addressed_warc,
     "op4_simhash_golay": op4_simhash_golay,
     "op6_grouping_ga_packing": op6_grouping_ga_packing,
