@@ -87,10 +87,21 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the languages of three of four folds."""
+    from .language_id import predict, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    tables = train(docs.where(~held_out))
+    return predict(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), tables, "text", "doc_id", "held_out")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op3_content_addressed_warc": op3_content_addressed_warc,
     "op4_simhash_golay": op4_simhash_golay,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_grouping_ga_packing": op6_grouping_ga_packing,
     "op8_winnowing": op8_winnowing,
     "op9_prefix_target": op9_prefix_target,
