@@ -97,12 +97,21 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), tables, "text", "doc_id", "held_out")
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words or more that an earlier document has."""
+    from .line_dedup import remove_repeated
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated(docs, "doc_id", "text", min_words=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op3_content_addressed_warc": op3_content_addressed_warc,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_kneser_ney": op5_kneser_ney,
     "op6_grouping_ga_packing": op6_grouping_ga_packing,
+    "op7_line_chunks": op7_line_chunks,
     "op8_winnowing": op8_winnowing,
     "op9_prefix_target": op9_prefix_target,
     "op10_rotated_one_bit": op10_rotated_one_bit,
