@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, written
+from .url_templates import oracle as url_oracle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,8 +106,16 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(docs, "doc_id", "text", min_words=50)
 
 
+def op2_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url: the longest fitting rule's, else its path template's."""
+    from .url_templates import judged
+
+    return judged(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
+    "op2_template_tree": op2_template_tree,
     "op3_content_addressed_warc": op3_content_addressed_warc,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_kneser_ney": op5_kneser_ney,
@@ -116,4 +125,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_target": op9_prefix_target,
     "op10_rotated_one_bit": op10_rotated_one_bit,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_template_tree": url_oracle()}
