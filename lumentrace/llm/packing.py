@@ -70,12 +70,11 @@ class _Tokens:
         if not self.by_word or self.UNSAFE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.split.findall(text.lower())
-        new = set(words) - self.known.keys()
+        new = [w for w in set(words) if w not in self.known]
         if new:
             if len(self.known) + len(new) > WORD_CACHE:
                 self.known.clear()
-                new = set(words)
-            new = list(new)
+                new = list(set(words))
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(self.known.__getitem__, words))
