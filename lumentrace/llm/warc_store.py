@@ -36,10 +36,11 @@ def write_archive(
         rows.select("id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "warc-digests"
     )
     owners = digests.groupBy("sha256", "sha1", "n").agg(F.max("id").alias("owner"))
-    kept = rows.select("id", "payload", F.sha2("payload", 256).alias("digest")).join(
-        owners.select(F.col("owner").alias("o"), F.col("sha256").alias("d")), F.col("id").eqNullSafe(F.col("o")) & (F.col("digest") == F.col("d"))
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    kept = rows.select(key("id").alias("key"), F.sha2("payload", 256).alias("digest"), "payload").join(
+        owners.select(key("owner").alias("key"), F.col("sha256").alias("digest")), ["key", "digest"]
     )
-    payloads = written(kept.dropDuplicates(["id", "digest"]).select("digest", "payload"), "warc-payloads")
+    payloads = written(kept.dropDuplicates(["key", "digest"]).select("digest", "payload"), "warc-payloads")
     met = digests.join(owners, ["sha256", "sha1", "n"])
     revisit = (F.col("n") >= min_revisit) & ~F.col("id").eqNullSafe(F.col("owner"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
