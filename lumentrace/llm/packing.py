@@ -12,13 +12,13 @@ poorly filled bins go on to the next level's fewer shards, so that the waste of
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ GENERATIONS = 3
 #: Bins filled less than this go to the next level.
 WELL_FILLED = 0.98
 #: Words whose ids a worker remembers before it starts anew.
-WORD_CACHE = 600_000
+WORD_CACHE = 1_000_000
 
 
 class _Tokens:
@@ -48,7 +48,9 @@ class _Tokens:
 
     #: The split pattern for which the shortcut is known to be exact.
     SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-    UNSAFE = regex.compile(r"[^\t-\r -~¡-ÿ]|<\|")
+    UNSAFE = re.compile(r"[^\t-\r -~¡-ÿ]|<\|")
+    #: SPLIT over the lower-cased characters that are left.
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 
     def __init__(self, spec: str):
         import json
@@ -63,21 +65,26 @@ class _Tokens:
             steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": self.SPLIT} and steps[0].get("behavior") == "Removed"
             and steps[0].get("invert") is True and norms == ["NFC", "Replace", "Lowercase"] and d["model"].get("dropout") is None and not d.get("post_processor")
         )
-        self.split = regex.compile(self.SPLIT)
-        self.known: dict[str, bytes] = {}
+        self.known = _WordIds(self.tokenizer)
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word or self.UNSAFE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.split.findall(text.lower())
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > WORD_CACHE:
-                self.known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, self.WORDS.findall(text.lower())))
+
+
+class _WordIds(dict):
+    """A word's ids as bytes, encoded where first met."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[word] = got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return got
 
 
 _loaded: dict[int, _Tokens] = {}
