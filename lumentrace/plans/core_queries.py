@@ -1,0 +1,4 @@
+"""Registered queries of the other operators with their SQL."""
+
+QUERIES = {}
+ORACLES = {}
