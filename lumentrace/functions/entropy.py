@@ -16,14 +16,14 @@ def shannon(data: bytes) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-@F.pandas_udf("double")
-def _entropy(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: None if b is None else shannon(b)).astype("float64")
-
-
 def entropy(content: Column) -> Column:
     """Bits per byte of a binary column; 0 for no bytes, null for null (ENT-01)."""
-    return _entropy(content)
+
+    @F.pandas_udf("double")
+    def bits(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else shannon(b)).astype("float64")
+
+    return bits(content)
 
 
 def band(bits: Column) -> Column:

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regex import let
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The order of keys on each layout.
@@ -115,7 +117,7 @@ def cleaned(text: Column) -> Column:
 
 def _picked(text: Column, order: Column) -> Column:
     """Characters of ``text`` at the places (from 0) of ``order``."""
-    return F.array_join(F.transform(order, lambda i: F.substring(text, (i + 1).cast("int"), F.lit(1))), "")
+    return let(F.split(text, ""), lambda chars: F.array_join(F.transform(order, lambda i: F.get(chars, i.cast("int"))), ""))
 
 
 def _upto(n: Column) -> Column:
@@ -215,7 +217,8 @@ def route_order(key: str) -> list[int]:
 def route(text: Column, key: str = "") -> Column:
     """Spiral route over one grid; text beyond it is cut, as it is by definition of the method (CIP-17)."""
     rows, cols, *_ = route_key(key)
-    t = F.upper(F.regexp_replace(text, "[ \\t\\n\\r]", ""))
+    bare = F.replace(F.regexp_replace(text, "[ \\t\\n\\r]", ""), F.lit("ß"), F.lit("\ue000"))
+    t = F.replace(F.upper(bare), F.lit("\ue000"), F.lit("ß"))  # one character stays one
     grid = F.rpad(t, rows * cols, "X")
     return F.when(t != "", _picked(grid, F.array(*[F.lit(i) for i in route_order(key)]))).otherwise("")
 

@@ -57,9 +57,12 @@ def _v6_scope(text: str | None) -> str | None:
     return "private" if n >> 121 == 0b1111110 else "public"
 
 
-@F.pandas_udf("string")
-def _v6(ip: pd.Series) -> pd.Series:
-    return ip.map(_v6_scope)
+def _v6(ip: Column) -> Column:
+    @F.pandas_udf("string")
+    def scope(s: pd.Series) -> pd.Series:
+        return s.map(_v6_scope)
+
+    return scope(ip)
 
 
 def classify_ip(ip: Column, with_v6: bool = True) -> Column:

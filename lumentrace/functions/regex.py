@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _BOUNDARY = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once: inside a higher-order function Spark would repeat it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def java_pattern(pattern: str) -> str:
     """``pattern`` with ``\\b`` and ``\\s`` limited to ASCII as RE2 has them."""
     out, i, in_class = [], 0, False
@@ -31,10 +36,17 @@ def java_pattern(pattern: str) -> str:
 def match_all(text: Column, pattern: str) -> Column:
     """array<struct<pos long, value string>>: all matches in turn, pos in UTF-8 bytes from 0; null text has none."""
     p = java_pattern(pattern)
+    none = F.array().cast("array<struct<pos:bigint,value:string>>")
+
+    def places(found: Column) -> Column:
+        """Each match stands after the pieces and matches before it: one pass that carries the bytes so far."""
+        parts = F.zip_with(F.slice(F.split(text, p, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+        size = lambda c: F.octet_length(c).cast("long")
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        step = lambda s, x: F.struct(
+            (s["at"] + size(x["gap"]) + size(x["m"])).alias("at"), F.array_append(s["out"], F.struct((s["at"] + size(x["gap"])).alias("pos"), x["m"].alias("value"))).alias("out")
+        )
+        return F.aggregate(parts, start, step, lambda s: s["out"])
+
     found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    around = F.split(text, p, -1)
-    length = lambda a: F.transform(a, lambda x: F.octet_length(x).cast("long"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    at = lambda i: total(F.slice(length(around), F.lit(1), i + 1)) + total(F.slice(length(found), F.lit(1), i))
-    rows = F.transform(found, lambda v, i: F.struct(at(i).alias("pos"), v.alias("value")))
-    return F.when(F.size(found) > 0, rows).otherwise(F.array().cast("array<struct<pos:bigint,value:string>>"))
+    return F.coalesce(let(found, lambda f: F.when(F.size(f) > 0, places(f)).otherwise(none)), none)

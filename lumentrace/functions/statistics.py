@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .regex import let
+
 #: Share of each letter in English, in per cent.
 LETTER_SHARE = dict(
     zip(
@@ -33,23 +35,29 @@ FLOOR_SHARE, FEW_PAIRS, NO_SCORE = 0.8, 8, 1e9
 def letter_counts(text: Column) -> Column:
     """Counts of a to z, in either case, as an array."""
     only = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    return F.array(*[F.length(only) - F.length(F.replace(only, F.lit(c), F.lit(""))) for c in LETTER_SHARE])
+    return let(only, lambda t: F.array(*[F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in LETTER_SHARE]))
 
 
 def chi_squared(text: Column) -> Column:
     """Distance of the letters from English ones; 1e9 without letters (CRK-04)."""
-    counts = letter_counts(text)
-    n = F.aggregate(counts, F.lit(0), lambda s, x: s + x)
-    parts = F.zip_with(counts, F.array(*[F.lit(v) for v in LETTER_SHARE.values()]), lambda o, e: F.pow(o - e / 100 * n, F.lit(2)) / (e / 100 * n))
-    return F.when(n > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)).otherwise(F.lit(NO_SCORE))
+    shares = F.array(*[F.lit(v) for v in LETTER_SHARE.values()])
+
+    def distance(c: Column) -> Column:
+        part = lambda o, e: F.pow(o - e / 100 * c["n"], F.lit(2)) / (e / 100 * c["n"])
+        return F.when(c["n"] > 0, F.aggregate(F.zip_with(c["k"], shares, part), F.lit(0.0), lambda s, x: s + x)).otherwise(F.lit(NO_SCORE))
+
+    return let(let(letter_counts(text), lambda k: F.struct(k.alias("k"), F.aggregate(k, F.lit(0), lambda s, x: s + x).alias("n"))), distance)
 
 
 def index_of_coincidence(text: Column) -> Column:
     """Chance that two letters of the text are equal (CRK-05)."""
-    counts = letter_counts(text)
-    n = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    same = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * (x - 1))
-    return F.when(n > 1, same / (n * (n - 1))).otherwise(F.lit(0.0))
+
+    def chance(k: Column) -> Column:
+        n = F.aggregate(k, F.lit(0).cast("long"), lambda s, x: s + x)
+        same = F.aggregate(k, F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * (x - 1))
+        return F.when(n > 1, same / (n * (n - 1))).otherwise(F.lit(0.0))
+
+    return let(letter_counts(text), chance)
 
 
 def digraph_chi_squared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.regex import let
 from ..functions.tables import STOPWORDS
 
 PROFILES = {code: (name, words.split()) for code, (name, words) in STOPWORDS.items()}
@@ -23,9 +24,8 @@ def _hits(t: Column, words: list[str]) -> Column:
 
 def language_scores(text: Column) -> Column:
     """map<language, share of tokens that are stopwords> (LNG-02); the tokens are taken once."""
-    t = tokens(text)
-    share = [F.when(F.size(t) > 0, _hits(t, ws) / F.size(t)).otherwise(F.lit(0.0)) for _, ws in PROFILES.values()]
-    return F.map_from_arrays(F.array(*map(F.lit, PROFILES)), F.array(*share))
+    share = lambda t: F.array(*[F.when(F.size(t) > 0, _hits(t, ws) / F.size(t)).otherwise(F.lit(0.0)) for _, ws in PROFILES.values()])
+    return F.map_from_arrays(F.array(*map(F.lit, PROFILES)), let(tokens(text), share))
 
 
 def detect(df: DataFrame, text_col: str) -> DataFrame:
@@ -48,8 +48,12 @@ def detect(df: DataFrame, text_col: str) -> DataFrame:
 
 def word_pairs(text: Column) -> Column:
     """Neighbouring tokens of letters, digits and apostrophes, joined by a blank."""
-    t = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
-    return F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0)), _neighbours)
+
+
+def _neighbours(t: Column) -> Column:
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def bigram_plausibility(df: DataFrame, id_col: str, text_col: str, bigrams: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def sentence_parts(df: DataFrame, id_col: str, text_col: str, words: DataFrame,
     """(id, position, text) of a sentence's words that ``words`` knows; with ``pairs`` of its known bigrams, which aren't trimmed (LNG-07)."""
     fields = F.filter(F.split(F.lower(text_col), "\\s+"), lambda w: w != "")
     if pairs:
-        parts = F.when(F.size(fields) > 1, F.transform(F.sequence(F.lit(0), F.size(fields) - 2), lambda i: F.concat_ws(" ", F.get(fields, i), F.get(fields, i + 1)))).otherwise(F.array().cast("array<string>"))
+        parts = let(fields, _neighbours)
     else:
         parts = F.transform(fields, lambda w: F.regexp_replace(w, _TRIM, ""))
     rows = df.select(F.col(id_col), F.posexplode(parts).alias("position", "text"))

@@ -85,19 +85,23 @@ def ooxml_text(data: bytes) -> str | None:
         return None
 
 
-@F.pandas_udf("kind string, text string")
-def _extracted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        rows = []
-        for b in s:
-            b = b or b""
-            if b.startswith(b"%PDF-"):
-                rows.append(("pdf", pdf_text(b)))
-            elif b.startswith(b"PK\x03\x04") and (t := ooxml_text(b)) is not None:
-                rows.append(("ooxml", t))
-            else:
-                rows.append((None, None))
-        yield pd.DataFrame({"kind": pd.Series([k for k, _ in rows], dtype=object), "text": pd.Series([t for _, t in rows], dtype=object)})
+def _extract(b: bytes | None) -> tuple[str | None, str | None]:
+    b = b or b""
+    if b.startswith(b"%PDF-"):
+        return "pdf", pdf_text(b)
+    if b.startswith(b"PK\x03\x04") and (t := ooxml_text(b)) is not None:
+        return "ooxml", t
+    return None, None
+
+
+def _extracted(content: Column) -> Column:
+    @F.pandas_udf("kind string, text string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            rows = [_extract(b) for b in s]
+            yield pd.DataFrame({"kind": pd.Series([k for k, _ in rows], dtype=object), "text": pd.Series([t for _, t in rows], dtype=object)})
+
+    return run(content)
 
 
 def with_text(files: DataFrame, content_col: str = "content", length_col: str = "length") -> DataFrame:
