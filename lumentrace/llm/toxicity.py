@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 FEATURE_BITS = 20
 #: Texts of the training sample, chosen by a hash of the id: the bound on what fitting gathers.
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 #: A feature counts if at least so many positive texts have it, and more than unlabelled ones let expect by so many standard deviations.
 MIN_POSITIVE, MIN_DEVIATIONS = 3, 4.0
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -81,20 +83,12 @@ class _Rows:
         return np.bincount(self.col, g[self.row], self.k)
 
 
-def _share(lists: list[np.ndarray]) -> np.ndarray:
-    n = np.zeros(1 << FEATURE_BITS)
-    for x in lists:
-        n[np.unique(x)] += 1
-    return n
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.5, l1: float = 1e-5) -> Model:
-    """Minimises the non-negative risk by proximal steps with per-weight scaled gradients."""
+def fit(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.5, l1: float = 1e-5
+) -> Model:
+    """Minimises the non-negative risk over the features ``names`` (sorted) by proximal steps with per-weight scaled gradients."""
     if not positive:
         return Model({}, -3.0)
-    in_p, in_u = _share(positive), _share(unlabelled)
-    expected = in_u * (len(positive) / max(1, len(unlabelled)))
-    names = np.nonzero((in_p >= MIN_POSITIVE) & (in_p - expected >= MIN_DEVIATIONS * np.sqrt(expected + 0.5)))[0]
     p, u = _Rows(positive, names), _Rows(unlabelled, names)
     w, b = np.zeros(len(names)), -2.0
     seen, seen_b = np.full(len(names), 1e-8), 1e-8
@@ -136,13 +130,28 @@ def train(
     positive = by_hash(known.where("t = 1").select(id_col).join(ids, id_col, "left_semi"), max_positive).withColumn("positive", F.lit(True))
     mixed = by_hash(ids, max_unlabelled).withColumn("positive", F.lit(False))
     chosen = F.broadcast(positive.unionByName(mixed))  # at most max_positive + max_unlabelled ids
-    got = featurised(docs.select(id_col, text_col).join(chosen, id_col).select(text_col, "positive"), text_col, "positive").toArrow()
-    lists = got["features"].combine_chunks()
-    flat, offsets, marks = lists.flatten().to_numpy(), lists.offsets.to_numpy(), np.array(got["positive"].to_pylist(), bool)
-    rows = [flat[a:b] for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])]
+    seen = written(featurised(docs.select(id_col, text_col).join(chosen, id_col).select(text_col, "positive"), text_col, "positive"), "nnpu-sample")
+    names = telling(seen)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.sort(x[np.isin(x, names)]) for x in (np.asarray(v.values) for v in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["positive", "features"])
+
+    rows = [(bool(r["positive"]), np.array(r["features"], np.int64)) for r in seen.mapInArrow(only, seen.schema).toArrow().to_pylist()]
     # in one order, so that fitting doesn't depend on which task ended first
-    keyed = sorted(zip(marks.tolist(), (zlib.crc32(r.tobytes()) for r in map(np.sort, rows)), range(len(rows))))
-    return fit([np.sort(rows[i]) for m, _, i in keyed if m], [np.sort(rows[i]) for m, _, i in keyed if not m], prior)
+    rows.sort(key=lambda r: r[1].tobytes())
+    return fit([f for p, f in rows if p], [f for p, f in rows if not p], names, prior)
+
+
+def telling(sample: DataFrame) -> np.ndarray:
+    """The features of ``sample`` that positive texts have beyond chance, sorted; counted on the executors."""
+    size = dict(sample.groupBy("positive").count().collect())
+    each = sample.select("positive", F.explode(F.array_distinct("features")).alias("f")).groupBy("f")
+    n = each.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    expected = F.col("u") * (size.get(True, 0) / max(1, size.get(False, 0)))
+    good = n.where((F.col("p") >= MIN_POSITIVE) & (F.col("p") - expected >= MIN_DEVIATIONS * F.sqrt(expected + 0.5)))
+    return np.sort(good.select("f").toArrow()["f"].to_numpy()).astype(np.int64)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", *keep: str) -> DataFrame:
