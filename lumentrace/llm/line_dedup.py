@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import row_key, written
 
 MIN_WORDS = 50
+#: log2 of the bits of the bitmap of repeated line hashes.
+BITMAP_BITS = 24
 
 
 def _words(line):
@@ -36,9 +38,24 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def clashing_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Hashes that lines of different bytes share: distinct texts, counted by hash."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")).distinct()
+def _slot(h):
+    return F.shiftrightunsigned(h, 64 - BITMAP_BITS)
+
+
+def _bit(h: str):
+    return F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, {64 - BITMAP_BITS}) % 64 as int))")
+
+
+def clashing_hashes(docs: DataFrame, repeated: DataFrame, text_col: str = "text") -> DataFrame:
+    """Those of the hashes ``repeated.h`` that lines of different bytes share: distinct texts, counted by hash.
+
+    Only lines whose hash a bitmap of ``repeated`` lets pass are compared. The bitmap is a table of 2**BITMAP_BITS
+    bits in words of 64, a few megabytes to broadcast at most, whatever the corpus.
+    """
+    marks = repeated.groupBy((_slot("h") / 64).cast("long").alias("w")).agg(F.bit_or(_bit("h")).alias("bits"))
+    lines = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")).withColumn("h", F.xxhash64("line"))
+    some = lines.withColumn("lw", (_slot("h") / 64).cast("long")).join(F.broadcast(marks), F.col("lw") == F.col("w"))
+    texts = some.where(F.col("bits").bitwiseAND(_bit("h")) != 0).select("line").distinct()
     return texts.groupBy(F.xxhash64("line").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h")
 
 
@@ -46,12 +63,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, rk, first, last, words): runs of lines to remove, by position from 0; rk tells rows apart that share an id."""
     rows = written(line_rows(docs, id_col, text_col), "lines")
     step = F.struct(F.lit(0).alias("single"), F.col("h").alias("a"), F.col("nxt").alias("b"), "words", "nxt_words")
-    alone = F.struct(F.lit(1).alias("single"), F.col("h").alias("a"), F.lit(0).cast("long").alias("b"), "words", F.lit(0).alias("nxt_words"))
+    alone = F.struct(F.lit(1).alias("single"), F.col("h").alias("a"), F.col("h").alias("b"), "words", F.lit(0).alias("nxt_words"))
     units = F.array_compact(F.array(F.when(F.col("nxt").isNotNull(), step), F.when(F.col("words") >= min_words, alone)))
     met = rows.select("id", "rk", "pos", F.explode(units).alias("u")).select("id", "rk", "pos", "u.*")
     first = F.min(F.struct("id", "rk", "pos"))
-    seen = met.groupBy("single", "a", "b").agg(F.count("*").alias("n"), first.alias("o")).where("n > 1")
-    clash = clashing_hashes(docs, text_col)
+    seen = written(met.groupBy("single", "a", "b").agg(F.count("*").alias("n"), first.alias("o")).where("n > 1"), "line-steps")
+    clash = clashing_hashes(docs, seen.select(F.explode(F.array("a", "b")).alias("h")), text_col)
     seen = seen.join(clash.withColumnRenamed("h", "a"), "a", "left_anti").join(clash.withColumnRenamed("h", "b"), "b", "left_anti")
     later = met.join(seen.select("single", "a", "b", "o"), ["single", "a", "b"]).where(F.struct("id", "rk", "pos") != F.col("o"))
     later = later.select("id", "rk", "pos", (F.col("pos") + 1 - F.col("single")).alias("end"), "single", "words", "nxt_words")
