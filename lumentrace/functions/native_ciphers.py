@@ -131,7 +131,7 @@ def railfence(text: Column, rails: int) -> Column:
     t, period = cleaned(text), 2 * rails - 2
     rail = lambda i: F.least(i % period, period - i % period)
     order = F.transform(F.array_sort(F.transform(_upto(F.length(t)), lambda i: F.struct(rail(i).alias("r"), i.alias("i")))), lambda s: s["i"])
-    return _picked(t, order)
+    return F.when(F.length(t) > 0, _picked(t, order)).otherwise(t)
 
 
 def _grid(text: Column, columns: list[int], width: int) -> Column:
@@ -141,7 +141,7 @@ def _grid(text: Column, columns: list[int], width: int) -> Column:
     padded = F.rpad(t, rows * width, "X")
     cells = lambda c: F.transform(_upto(rows), lambda r: r * width + c)
     each = [cells(c) for c in columns]
-    return F.when(F.length(t) > 0, _picked(padded, F.concat(*each))).otherwise("")
+    return F.when(F.length(t) > 0, _picked(padded, F.concat(*each))).otherwise(t)
 
 
 def scytale(text: Column, diameter: int) -> Column:
@@ -169,7 +169,7 @@ def polybius(text: Column, key: str = "") -> Column:
     square = polybius_square(key)
     letters = F.translate(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), "J", "I")
     table = F.create_map(*[F.lit(x) for i, c in enumerate(square) for x in (c, f"{i // 5 + 1}{i % 5 + 1}")])
-    return F.when(letters != "", F.array_join(F.transform(F.split(letters, ""), lambda c: F.element_at(table, c)), " ")).otherwise("")
+    return F.when(letters != "", F.array_join(F.transform(F.split(letters, ""), lambda c: F.element_at(table, c)), " ")).otherwise(letters)
 
 
 def route_key(key: str) -> tuple[int, int, str, str]:
@@ -220,7 +220,7 @@ def route(text: Column, key: str = "") -> Column:
     bare = F.replace(F.regexp_replace(text, "[ \\t\\n\\r]", ""), F.lit("ß"), F.lit("\ue000"))
     t = F.replace(F.upper(bare), F.lit("\ue000"), F.lit("ß"))  # one character stays one
     grid = F.rpad(t, rows * cols, "X")
-    return F.when(t != "", _picked(grid, F.array(*[F.lit(i) for i in route_order(key)]))).otherwise("")
+    return F.when(t != "", _picked(grid, F.array(*[F.lit(i) for i in route_order(key)]))).otherwise(t)
 
 
 def base64_encode(text: Column) -> Column:

@@ -20,7 +20,7 @@ def _latin(content: Column) -> Column:
 
 def printable_ratio(content: Column) -> Column:
     """Share of bytes that are tab, line ends or printable ASCII; bytes are counted as Latin-1 characters."""
-    return F.regexp_count(_latin(content), F.lit("[\\t\\n\\r\\x20-\\x7E]")) / F.octet_length(content)
+    return F.try_divide(F.regexp_count(_latin(content), F.lit("[\\t\\n\\r\\x20-\\x7E]")), F.octet_length(content))
 
 
 def looks_like_text(content: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +94,6 @@ def sentence_parts(df: DataFrame, id_col: str, text_col: str, words: DataFrame,
 
 def segment_cjk(text: Column, words: list[str]) -> Column:
     """Longest known word of two to eight characters at each place, else one character (LNG-08)."""
-    import pandas as pd
-
     known = frozenset(w.lower() for w in words)
 
     @F.pandas_udf("array<string>")

@@ -7,6 +7,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.severity import finding
-from ..functions.text import extracted_text_ok, looks_like_text, size_ok
+from ..functions.text import MAX_TEXT, extracted_text_ok, looks_like_text, size_ok
 
 INFLATE_MOST = 32 * 1024 * 1024
 MORE_SLIDES = 50
@@ -23,9 +24,38 @@ MORE_SLIDES = 50
 def read_files(spark: SparkSession, target: str) -> DataFrame:
     """(path, modificationTime, length, content) of a file or of all files below a folder (SRC-01).
 
-    Unreadable files are left out by ``ignoreCorruptFiles``; a missing target raises AnalysisException.
+    Unreadable files are left out by ``ignoreCorruptFiles``; a missing target raises AnalysisException. Spark's own listing
+    passes over empty files and names that begin with a dot or underscore; the driver lists those and reads the hidden ones.
     """
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(target)
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(target)
+    rest = _passed_over(spark, target)
+    kept = seen.where("length > 0") if rest else seen
+    return kept.unionByName(spark.createDataFrame(rest, seen.schema)) if rest else kept
+
+
+def _passed_over(spark: SparkSession, target: str) -> list[tuple]:
+    """Rows of empty and of hidden files below ``target``, through Hadoop's file systems; contents only up to the text limit."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(target)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    base, rows = fs.resolvePath(top).toString(), []
+    found = fs.listFiles(top, True)
+    while found.hasNext():
+        f = found.next()
+        path, n = f.getPath().toString(), f.getLen()
+        inner = path.removeprefix(base) if path.startswith(base) and path != base else path.rpartition("/")[2]
+        hidden = re.search(r"(^|/)[._]", inner)
+        if n and not hidden:
+            continue
+        content = None
+        if n <= MAX_TEXT:
+            stream = fs.open(f.getPath())
+            content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            stream.close()
+        rows.append((path, datetime.fromtimestamp(f.getModificationTime() / 1000), n, content))
+    return rows
 
 
 def extension(path: Column) -> Column:

@@ -16,7 +16,7 @@ from ..functions.network import classify_ip, hex_address
 from ..functions.severity import finding
 from ..functions.text import real_domain
 
-_NO_COMMENT = ~F.col("value").rlike("^\\s*(#|$)")
+_NO_COMMENT = "value not rlike '^[ \\t]*(#|$)'"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +141,7 @@ def package_findings(packages: DataFrame) -> DataFrame:
 
 def crontab(rows: DataFrame) -> DataFrame:
     """(path, schedule, line): entries of six fields or more that are neither comments nor assignments (SW-17)."""
-    f = rows.where(_NO_COMMENT & ~F.col("value").rlike("^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*=")).withColumn("f", _fields())
+    f = rows.where(_NO_COMMENT).where(~F.col("value").rlike("^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*=")).withColumn("f", _fields())
     return f.where(F.size("f") >= 6).select("path", F.array_join(F.slice("f", 1, 5), " ").alias("schedule"), F.trim("value").alias("line"))
 
 
@@ -162,7 +162,7 @@ def rc_local(whole: DataFrame) -> DataFrame:
 
 def cpuinfo(rows: DataFrame) -> DataFrame:
     """(path, model, cores) (HW-01)."""
-    key, val = F.trim(F.split_part("value", F.lit(":"), F.lit(1))), F.trim(F.split_part("value", F.lit(":"), F.lit(2)))
+    key, val = F.regexp_extract("value", "^(.*?)\\s*:", 1), F.regexp_extract("value", ":\\s*(.*?)\\s*$", 1)
     return rows.groupBy("path").agg(F.max(F.when(key == "model name", val)).alias("model"), F.count_if(key == "processor").alias("cores"))
 
 
