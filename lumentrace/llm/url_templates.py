@@ -83,11 +83,11 @@ def judged(
     prior = (total[0] or 0) / total[1] if total[1] else 0.0
     masked = F.regexp_replace("template", "^((?:/\\*)*)/[^*/][^/]*", "$1/{}")
     leaves = leaves.withColumn("masked", masked)
-    pooled = leaves.where(F.col("l") >= min_labelled).groupBy("host", "masked").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+    pooled = leaves.where(F.col("l") >= min_labelled).groupBy("host", "masked").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"), F.count("*").alias("pn"))
     met = leaves.join(pooled, ["host", "masked"], "left")
     share, pool = F.col("b") / F.col("l"), F.col("pb") / F.col("pl")
     chance = F.sqrt(pool * (1 - pool) * (1 / F.col("l") + 1 / F.col("pl")))
-    similar = (F.col("l") >= min_labelled) & (F.abs(F.when(F.col("l") > 0, share) - pool) <= MERGE_DEVIATIONS * chance)
+    similar = (F.col("pn") > 1) & (F.col("l") >= min_labelled) & (F.abs(F.when(F.col("l") > 0, share) - pool) <= MERGE_DEVIATIONS * chance)
     merged = met.withColumn("similar", F.coalesce(similar, F.lit(False)))
     groups = merged.where("similar").groupBy("host", "masked").agg(F.sum("l").alias("gl"), F.sum("b").alias("gb"))
     final = merged.join(groups, ["host", "masked"], "left").select(
@@ -127,8 +127,8 @@ t0 as (select host, path, count(rule) as l, count(*) filter (ruled = 'block') as
 tree as (select host, path, l, b, case when len(s) > {max_depth} then template || '/**' else template end as leaf from {last}),
 leaves as (select host, leaf, sum(l) as l, sum(b) as b, regexp_replace(leaf, '^((?:/\\*)*)/[^*/][^/]*', '\\1/{{}}') as masked from tree group by host, leaf),
 prior as (select coalesce(sum(b) / nullif(sum(l), 0), 0) as p from leaves),
-pooled as (select host, masked, sum(l) as pl, sum(b) as pb from leaves where l >= {MIN_LABELLED} group by all),
-m as (select leaves.*, coalesce(leaves.l >= {MIN_LABELLED} and abs(case when l > 0 then b / l end - pb / pl) <= {MERGE_DEVIATIONS} * sqrt((pb / pl) * (1 - pb / pl) * (1 / l + 1 / pl)), false) as alike
+pooled as (select host, masked, sum(l) as pl, sum(b) as pb, count(*) as pn from leaves where l >= {MIN_LABELLED} group by all),
+m as (select leaves.*, coalesce(pn > 1 and leaves.l >= {MIN_LABELLED} and abs(case when l > 0 then b / l end - pb / pl) <= {MERGE_DEVIATIONS} * sqrt((pb / pl) * (1 - pb / pl) * (1 / l + 1 / pl)), false) as alike
   from leaves left join pooled on leaves.host = pooled.host and leaves.masked = pooled.masked),
 g as (select host, masked, sum(l) as gl, sum(b) as gb from m where alike group by all),
 f as (select m.host, leaf, case when alike then m.masked else leaf end as template, cast(case when alike then gl else l end as bigint) as labelled, case when alike then gb else b end as bad
