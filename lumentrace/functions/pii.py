@@ -11,6 +11,8 @@ from .tables import PII_RULES
 
 RULES = {r["id"]: r for r in PII_RULES}
 CONTEXT_BYTES = 40
+#: Literals without which a rule can't match.
+NEEDS = {"EMAIL": "@", "PRIVATE_KEY_BLOCK": "PRIVATE KEY-----"}
 MATCH = "array<struct<ord:int,rule_id:string,label:string,pos:bigint,raw:string,value:string,base_severity:string,severity:string,importance:int,checksum_passed:boolean,context_matched:string>>"
 
 
@@ -83,7 +85,7 @@ def rule_matches(text: Column, rule_id: str, order: int = 0) -> Column:
             F.lit(r["importance_score"]).alias("importance"), passed.alias("checksum_passed"), near.alias("context_matched"),
         )
 
-    return F.transform(match_all(text, r["pattern"]), told).cast(MATCH)
+    return F.transform(match_all(text, r["pattern"], NEEDS.get(rule_id, "")), told).cast(MATCH)
 
 
 def all_matches(text: Column, rules: list[str] | None = None) -> Column:

@@ -33,9 +33,16 @@ def java_pattern(pattern: str) -> str:
     return "".join(out)
 
 
-def match_all(text: Column, pattern: str) -> Column:
-    """array<struct<pos long, value string>>: all matches in turn, pos in UTF-8 bytes from 0; null text has none."""
+def match_all(text: Column, pattern: str, needs: str = "") -> Column:
+    """array<struct<pos long, value string>>: all matches in turn, pos in UTF-8 bytes from 0; null text has none.
+
+    A text without the literal ``needs``, or without any match of the pattern less its word boundaries, can have
+    none; that is tried first, as boundaries are what costs time in a long text.
+    """
     p = java_pattern(pattern)
+    possible = F.contains(text, F.lit(needs)) if needs else F.lit(True)
+    if "\\b" in pattern:
+        possible = possible & text.rlike(java_pattern(pattern.replace("\\b", "")))
     none = F.array().cast("array<struct<pos:bigint,value:string>>")
 
     def places(found: Column) -> Column:
@@ -48,5 +55,5 @@ def match_all(text: Column, pattern: str) -> Column:
         )
         return F.aggregate(parts, start, step, lambda s: s["out"])
 
-    found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    found = F.when(possible, F.regexp_extract_all(text, F.lit(p), F.lit(0)))
     return F.coalesce(let(found, lambda f: F.when(F.size(f) > 0, places(f)).otherwise(none)), none)
