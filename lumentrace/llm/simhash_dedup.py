@@ -30,6 +30,8 @@ from .common import connected_components, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 MAX_BITS = 2  # what the three cyclic segment pairs guarantee
+#: Indexed fingerprints of a key beyond which finer keys take its place.
+CROWDED = 2000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -130,14 +132,49 @@ def _key_rows(fps: DataFrame, probe: bool) -> DataFrame:
     return fps.mapInArrow(run, "key long, fp long")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (src < dst) of distinct values of ``fps.fp`` at ``max_bits`` (at most 2) or fewer differing bits."""
+def _finer(rows: DataFrame) -> DataFrame:
+    """(key, fp): for rows of a crowded key, keys of 43 bits or more of the fingerprint itself.
+
+    The key's exact segment stays. Of the other two either the next is exact too, and a third of the last, as two errors
+    leave one of three parts whole; or each has one error at most, which leaves one half of each whole.
+    """
+    lo, width = (F.array(*[F.lit(s[n]) for s in SEGMENTS]) for n in (0, 1))
+    i = F.shiftrightunsigned("key", 34).cast("int")
+
+    def bits(segment, start: int, n: int | None):
+        at = F.get(lo, segment) + start
+        size = F.get(width, segment) - start if n is None else F.lit(n)
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
+        return F.call_function("shiftrightunsigned", F.col("fp"), at).bitwiseAND(mask)
+
+    j, k = (i + 1) % 3, (i + 2) % 3
+    thirds = [F.struct(F.lit(n).alias("kind"), bits(j, 0, None).alias("a"), bits(k, 7 * n, 7 if n < 2 else None).alias("b")) for n in range(3)]
+    halves = [F.struct(F.lit(3 + 2 * m + n).alias("kind"), bits(j, 11 * m, 11 if m == 0 else None).alias("a"), bits(k, 11 * n, 11 if n == 0 else None).alias("b")) for m in (0, 1) for n in (0, 1)]
+    parts = rows.select("fp", F.shiftrightunsigned("key", 12).alias("exact"), F.explode(F.array(*thirds, *halves)).alias("p"))
+    return parts.select(F.struct("exact", "p.kind", "p.a", "p.b").alias("key"), "fp").distinct()
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
+    """Pairs (src < dst) of distinct values of ``fps.fp`` at ``max_bits`` (at most 2) or fewer differing bits.
+
+    Keys with more than ``crowded`` indexed fingerprints, as a large group of near copies makes them, are left to
+    finer keys that miss no pair either, so that no group is compared with itself all over.
+    """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"max_bits must be 0 to {MAX_BITS}")
-    probe = _key_rows(fps, True).withColumnRenamed("fp", "src")
-    index = _key_rows(fps, False).withColumnRenamed("fp", "dst")
+    probe, index = _key_rows(fps, True), written(_key_rows(fps, False), "simhash-index")
+    hot = written(index.groupBy("key").count().where(F.col("count") > crowded).select("key"), "simhash-crowded")
     near = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits)
-    return probe.join(index.withColumnRenamed("key", "ikey"), (F.col("key") == F.col("ikey")) & near).select("src", "dst").distinct()
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        right = right.select(F.col("key").alias("ikey"), F.col("fp").alias("dst"))
+        return left.withColumnRenamed("fp", "src").join(right, (F.col("key") == F.col("ikey")) & near).select("src", "dst")
+
+    if hot.isEmpty():
+        return met(probe, index).distinct()
+    cool = met(probe.join(hot, "key", "left_anti"), index.join(hot, "key", "left_anti"))
+    finer = met(_finer(probe.join(hot, "key", "left_semi")), _finer(index.join(hot, "key", "left_semi")))
+    return cool.unionByName(finer).distinct()
 
 
 def near_duplicate_classes(

@@ -82,6 +82,9 @@ def test_links_miss_no_pair(spark):
     got = {(r.src, r.dst) for r in simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
     assert got == want
+    for crowded in (0, 3, 20):
+        finer = simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), crowded=crowded)
+        assert {(r.src, r.dst) for r in finer.collect()} == want
     with pytest.raises(ValueError):
         simhash_dedup.links(spark.range(1).select(F.col("id").alias("fp")), 3)
 
