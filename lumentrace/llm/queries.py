@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, written
-from .url_templates import oracle as url_oracle
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,4 +125,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_target": op9_prefix_target,
     "op10_rotated_one_bit": op10_rotated_one_bit,
 }
-ORACLES: dict[str, str] = {"op2_template_tree": url_oracle()}
