@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regex import let
+
 #: What each class of address is said to be.
 SCOPES = ("loopback", "unspecified", "link_local", "multicast", "broadcast", "cgnat", "documentation", "private", "public")
 #: Fixed values: (first address, prefix length, class) in the order in which IPv4 classes are tried.
@@ -27,12 +29,15 @@ def ipv4_number(ip: Column) -> Column:
 
 def ipv4_scope(ip: Column) -> Column:
     """The class of an IPv4 address in built-in functions; null if it is none."""
-    n = ipv4_number(ip)
-    out = F.lit("public")
-    for first, bits, scope in reversed(V4_BLOCKS):
-        low = int(ipaddress.ip_address(first))
-        out = F.when(n.between(low, low + (1 << (32 - bits)) - 1), scope).otherwise(out)
-    return F.when(n.isNotNull(), out)
+
+    def scope_of(n: Column) -> Column:
+        out = F.lit("public")
+        for first, bits, scope in reversed(V4_BLOCKS):
+            low = int(ipaddress.ip_address(first))
+            out = F.when(n.between(low, low + (1 << (32 - bits)) - 1), scope).otherwise(out)
+        return F.when(n.isNotNull(), out)
+
+    return let(ipv4_number(ip), scope_of)
 
 
 def _v6_scope(text: str | None) -> str | None:
@@ -67,11 +72,14 @@ def _v6(ip: Column) -> Column:
 
 def classify_ip(ip: Column, with_v6: bool = True) -> Column:
     """struct<valid, version, scope, is_public> (NET-01); without ``with_v6`` no Python runs and IPv6 counts as invalid."""
-    four = ipv4_scope(ip)
     six = _v6(ip) if with_v6 else F.lit(None).cast("string")
-    scope = F.coalesce(four, six)
-    version = F.when(four.isNotNull() | ip.rlike("(?i)^::ffff:[0-9.]+$"), "IPv4").when(six.isNotNull(), "IPv6")
-    return F.struct(scope.isNotNull().alias("valid"), version.alias("version"), scope.alias("scope"), F.coalesce(scope == "public", F.lit(False)).alias("is_public"))
+
+    def told(s: Column) -> Column:
+        scope = F.coalesce(s["four"], s["six"])
+        version = F.when(s["four"].isNotNull() | s["mapped"], "IPv4").when(s["six"].isNotNull(), "IPv6")
+        return F.struct(scope.isNotNull().alias("valid"), version.alias("version"), scope.alias("scope"), F.coalesce(scope == "public", F.lit(False)).alias("is_public"))
+
+    return let(F.struct(ipv4_scope(ip).alias("four"), six.alias("six"), ip.rlike("(?i)^::ffff:[0-9.]+$").alias("mapped")), told)
 
 
 def hex_address(field: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regex import let
+
 #: Kinds of hash by number of hexadecimal digits, and by beginning.
 BY_LENGTH = {
     32: ["MD5", "NTLM", "MD4", "LM hash"], 40: ["SHA-1", "MySQL5"], 56: ["SHA-224", "SHA3-224"], 64: ["SHA-256", "SHA3-256"],
@@ -42,8 +44,13 @@ def _json_part(segment: Column) -> Column:
 def decode_jwt(token: Column, now: Column) -> Column:
     """struct<valid, header json, payload json, warnings> at the time ``now`` (epoch seconds); the signature isn't checked (TOOL-03)."""
     parts = F.split(F.trim(token), "\\.")
-    header, payload = _json_part(F.get(parts, F.lit(0))), _json_part(F.get(parts, F.lit(1)))
-    valid = (F.size(parts) == 3) & header.isNotNull() & payload.isNotNull()
+    read = lambda p: F.struct((F.size(p) == 3).alias("three"), _json_part(F.get(p, F.lit(0))).alias("header"), _json_part(F.get(p, F.lit(1))).alias("payload"))
+    return let(let(parts, read), lambda j: _told(j, now))
+
+
+def _told(j: Column, now: Column) -> Column:
+    header, payload = j["header"], j["payload"]
+    valid = j["three"] & header.isNotNull() & payload.isNotNull()
     number = lambda name: F.floor(F.get_json_object(payload, f"$.{name}").try_cast("double")).cast("long")
     stamp = lambda n: F.date_format(F.timestamp_seconds(n), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     warnings = F.array_compact(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pii import all_matches
-from ..functions.regex import match_all
+from ..functions.regex import let, match_all
 from ..functions.severity import finding
 from .names import FORENAMES, SURNAMES
 
@@ -52,7 +52,7 @@ def document_score(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     m = all_matches(F.col(text_col))
     names = match_all(F.col(text_col), NAME_PATTERN)
     both = F.filter(names, lambda n: F.lower(F.split(n["value"], " ")[0]).isin([x.lower() for x in FORENAMES]) & F.lower(F.split(n["value"], " ")[1]).isin([x.lower() for x in SURNAMES]))
-    first = F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["rule_id"] != x["rule_id"]))
+    first = let(m, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["rule_id"] != x["rule_id"])))
     weight = lambda x: (
         x["importance"] * F.when(x["context_matched"].isNotNull(), 1.3).otherwise(1.0)
         * F.when(F.coalesce(x["checksum_passed"], F.lit(False)) & (x["base_severity"] == "critical"), 1.2).otherwise(1.0)
