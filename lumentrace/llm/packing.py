@@ -34,7 +34,7 @@ GENERATIONS = 3
 #: Bins filled less than this go to the next level.
 WELL_FILLED = 0.98
 #: Words whose ids a worker remembers before it starts anew.
-WORD_CACHE = 1_000_000
+WORD_CACHE = 700_000
 
 
 class _Tokens:
