@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrace.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity
+from lumentrace.llm import decontaminate, line_dedup, packing, shingle_dedup, toxicity
 from lumentrace.llm.common import row_key, written
 
 
@@ -29,9 +29,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (3-word shingles, two bits) the document with the least id stays."""
-    classes = written(simhash_dedup.near_duplicate_classes(docs, "doc_id", "text", shingle=3, max_bits=2), "pipeline-classes")
-    least = classes.where("doc_id = component_id").select("doc_id")
+    """Of each class of near duplicates (5-word shingles, similarity 0.8) the document with the least id stays."""
+    classes = written(shingle_dedup.near_duplicate_classes(docs, "doc_id", "text", width=5, similarity=0.8), "pipeline-classes")
+    least = classes.groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
     kept = docs.join(least.hint("shuffle_hash"), "doc_id", "left_semi")
     if least.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept.select(*docs.columns)
