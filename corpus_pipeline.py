@@ -29,13 +29,19 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (5-word shingles, similarity 0.8) the document with the least id stays."""
+    """Of each class of near duplicates (5-word shingles, similarity 0.8) exactly one document stays.
+
+    It is the one with the least id, where ids are shared the least row key; null ids come last.
+    """
     classes = written(shingle_dedup.near_duplicate_classes(docs, "doc_id", "text", width=5, similarity=0.8), "pipeline-classes")
-    least = classes.groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
-    kept = docs.join(least.hint("shuffle_hash"), "doc_id", "left_semi")
-    if least.groupBy("doc_id").count().where("count > 1").isEmpty():
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rk"))
+    least = written(classes.groupBy("component").agg(F.min(order).alias("r"), F.count("*").alias("n")).select("r.id", "r.rk", "n"), "pipeline-least")
+    keyed = docs.withColumn("_rk", row_key(*docs.columns))
+    kept = keyed.join(least.hint("shuffle_hash"), keyed.doc_id.eqNullSafe(least.id) & (keyed._rk == least.rk), "left_semi")
+    repeated = classes.join(least.where("n > 1").select(F.col("id").alias("i"), F.col("rk").alias("k")), F.expr("id <=> i and rk = k")).groupBy("id", "rk").count().where("count > 1")
+    if repeated.isEmpty():
         return kept.select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "_rk"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

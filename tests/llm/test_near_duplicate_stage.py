@@ -33,3 +33,13 @@ def test_near_copies_of_five_word_shingles_go(spark):
                 part[b] = a
     got = {r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()}
     assert got == {root(i) for i in s} and 4 * 12 > len(got) > 12
+
+
+def test_null_and_shared_ids_keep_one_row_of_each_class(spark):
+    a, b, c, d = (" ".join(f"{n}{i}" for i in range(50)) for n in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c), (1, c), (1, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
+    shared = spark.createDataFrame([(1, a, "en", "s", 9), (0, b, "en", "s", 9), (1, b, "en", "s", 9)], docs.schema)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_duplicates(spark, shared, "").collect()} == {(1, a), (0, b)}
