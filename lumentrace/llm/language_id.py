@@ -2,9 +2,8 @@
 
 Texts become lower-case letters with single spaces for everything between them, as UTF-16 units. Four-grams are
 counted per language over all training texts; the lower orders are the counts of their distinct
-continuations. Each order's table is held in a sorted array of hashes: a gram's hash has
-``HASH_BITS`` bits, so a table has at most 2**HASH_BITS entries per language, however large the corpus
-is; grams that share a hash share their counts. For every gram that any language
+continuations. Each order's table is held in a sorted array of the grams themselves, which fit into
+64 bits, so no two grams share a count and a table grows with the distinct grams of the corpus. For every gram that any language
 has, the interpolated probabilities of all languages are worked out beforehand; a gram that
 none has takes its context's back-off weight and the next shorter gram.
 
@@ -20,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 ORDER = 4
-HASH_BITS = 20
 #: Training texts, chosen by a hash of the id, whose cross-entropies calibrate rejection.
 CALIBRATION_SAMPLE = 4_000
 REJECT = 6.0
@@ -73,13 +72,6 @@ def _packed(u: np.ndarray) -> np.ndarray:
     return k
 
 
-def _hash(k: np.ndarray) -> np.ndarray:
-    k = k.astype(np.uint64)
-    k = (k ^ (k >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    k = (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (k >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-
-
 def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, k long, c long): four-gram counts over the whole texts of all rows with a language."""
 
@@ -119,7 +111,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 @dataclass
 class Tables:
-    """Sorted hashes with natural logarithms [entry, language]: probabilities by order, back-off weights by context length."""
+    """Sorted grams with natural logarithms [entry, language]: probabilities by order, back-off weights by context length."""
 
     langs: list[str]
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
@@ -127,35 +119,26 @@ class Tables:
     limits: np.ndarray
 
 
-def _slots(table: DataFrame, order: int, langs: list[str]):
-    """Counts of one order by hash, and its contexts' totals and kinds; hashes are taken on the executors, so at most 2**HASH_BITS rows a language come back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = b.column(1).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(_hash(k)), pa.array(_hash(k >> np.uint64(16)))], names=["lang", "k", "c", "s", "x"])
-
-    both = table.select("lang", "k", "c").mapInArrow(run, "lang string, k long, c long, s long, x long")
-    grams = both.groupBy("lang", "s").agg(F.sum("c").alias("c"), F.min("k").alias("k")).toArrow()
-    contexts = both.groupBy("lang", "x").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
-    number = {lang: i for i, lang in enumerate(langs)}
+def _counted(table: DataFrame, langs: list[str]):
+    """Counts of one order's grams, and its contexts' totals and kinds."""
+    grams = table.select("lang", "k", "c").toArrow()
+    contexts = table.groupBy("lang", F.shiftrightunsigned("k", 16).alias("x")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
 
     def grid(t: pa.Table, at: str, *cols: str):
-        where, inv = np.unique(t[at].to_numpy(), return_inverse=True)
-        lang = np.array([number[x] for x in t["lang"].to_pylist()], np.int64)
+        where, inv = np.unique(t[at].to_numpy().view(np.uint64), return_inverse=True)
+        lang = np.zeros(len(inv), np.int64)
+        for i, name in enumerate(langs):
+            lang[pc.equal(t["lang"], name).to_numpy()] = i
         out = []
         for c in cols:
             m = np.zeros((len(where), len(langs)))
             m[inv, lang] = t[c].to_numpy()
             out.append(m)
-        return where, inv, out
+        return where, out
 
-    s, inv, (c,) = grid(grams, "s", "c")
-    key = np.zeros(len(s), np.uint64)
-    order_of = np.argsort(grams["k"].to_numpy())[::-1]
-    key[inv[order_of]] = grams["k"].to_numpy()[order_of].view(np.uint64)  # the least key of each hash
-    x, _, (total, kinds) = grid(contexts, "x", "c", "n")
-    return s, c, key, x, total, kinds
+    key, (c,) = grid(grams, "k", "c")
+    x, (total, kinds) = grid(contexts, "x", "c", "n")
+    return c, key, x, total, kinds
 
 
 def _at(where: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,18 +159,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return out
     below = None
     for n in range(1, ORDER + 1):
-        s, c, key, x, total, kinds = _slots(tables[n], n, langs)
+        c, key, x, total, kinds = _counted(tables[n], langs)
         once, twice = (c == 1).sum(0), (c == 2).sum(0)
         d = np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5)
         weight = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        i, ok = _at(x, _hash(key >> np.uint64(16)))
+        i, ok = _at(x, key >> np.uint64(16))
         tot, lam = np.where(ok[:, None], total[i], 0), np.where(ok[:, None], weight[i], 1.0)
         if n == 1:
             base = np.full(c.shape, 1.0 / (1 << 16))
         else:
             base = np.exp(_log_p(out, key & np.uint64((1 << 16 * (n - 1)) - 1), n - 1))
         p = np.maximum(c - d, 0) / np.maximum(tot, 1) + lam * base
-        out.grams[n] = s, np.log(p).astype(np.float32)
+        out.grams[n] = key, np.log(p).astype(np.float32)
         out.backoff[n] = x, np.log(np.clip(weight, 1e-12, None)).astype(np.float32)
     sample = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), text_col, F.col(lang_col).cast("string").alias("lang"))
     ids = F.broadcast(sample.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_SAMPLE))
@@ -200,13 +183,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def _log_p(t: Tables, k: np.ndarray, n: int) -> np.ndarray:
     """Natural logarithms [gram, language] of the interpolated probabilities of grams of n units."""
     s, logs = t.grams[n]
-    i, ok = _at(s, _hash(k))
+    i, ok = _at(s, k)
     got = logs[i]
     miss = np.nonzero(~ok)[0]
     if len(miss):
         left = k[miss]
         x, weights = t.backoff[n]
-        j, seen = _at(x, _hash(left >> np.uint64(16)))
+        j, seen = _at(x, left >> np.uint64(16))
         lam = np.where(seen[:, None], weights[j], np.float32(0))
         below = _log_p(t, left & np.uint64((1 << 16 * (n - 1)) - 1), n - 1) if n > 1 else np.full((len(left), len(t.langs)), -np.log(1 << 16), np.float32)
         got[miss] = lam + below
