@@ -181,7 +181,7 @@ _FLAT = "(select page_id, repeat('aaaabbbbccccdddd', 64) || left(html, 3000) as
 )
 def entropy_spike(spark, sf_dir):
     """ENT-05 on a flat beginning followed by a page; entropies of texts are raised by three bits so that the bands are met."""
-    html = F.concat(F.repeat(F.lit("aaaabbbbccccdddd"), 64), F.left("html", F.lit(3000)))
+    html = F.concat(F.repeat(F.lit("aaaabbbbccccdddd"), 64), F.col("html"))
     d = _t(spark, sf_dir, "pages").select("page_id", F.encode(html, "UTF-8").alias("c"))
     w = entropy_windows.windows(d, "page_id", "c", 256).withColumn("entropy", F.round("entropy", 9) + 3)
     got = entropy_windows.spikes(w, "page_id")
@@ -190,9 +190,8 @@ def entropy_spike(spark, sf_dir):
 
 @query("text_sniff", "select page_id, regexp_full_match(html, '(?s)[\\t\\n\\r\\x20-\\x7e]*') or ratio > 0.6 as is_text from (select page_id, html, len(regexp_extract_all(left(html, 2000), '[\\t\\n\\r\\x20-\\x7e]')) / strlen(left(html, 2000)) as ratio from pages)")
 def text_sniff(spark, sf_dir):
-    """SRC-04 on the beginnings of pages: valid UTF-8 throughout."""
-    head = F.encode(F.left("html", F.lit(2000)), "UTF-8")
-    return _t(spark, sf_dir, "pages").select("page_id", X.looks_like_text(head).alias("is_text"))
+    """SRC-04 on whole pages, of which the operator itself reads 8192 bytes."""
+    return _t(spark, sf_dir, "pages").select("page_id", X.looks_like_text(F.encode("html", "UTF-8")).alias("is_text"))
 
 
 @query("extracted_text_gate", r"select page_id, coalesce(strlen(trim(html, chr(32) || chr(9) || chr(10) || chr(13))) >= 20 and len(regexp_extract_all(html, '[\p{L}\p{Nd}]')) / greatest(len(regexp_extract_all(html, '[^ \n\t\r]')), 1) > 0.75, false) as ok from pages")
@@ -501,7 +500,7 @@ def caesar_candidates(spark, sf_dir):
 @query("crack_classical")
 def crack_classical(spark, sf_dir):
     """CRK-03, CRK-07..16: conversations under a cipher that depends on the turn, cracked."""
-    c = _t(spark, sf_dir, "conversations").where("length(text) > 60").select("conv_id", "turn", "text")
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     t = F.col("text")
     coded = F.when(F.col("turn") % 2 == 0, N.caesar(t, 7)).otherwise(N.atbash(t))
     return c.select("conv_id", "turn", crack.crack_column(coded).alias("r")).select("conv_id", "turn", "r.method", "r.key", "r.language", F.round("r.confidence", 6).alias("confidence"))
