@@ -65,7 +65,7 @@ def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = read_archive(*write_archive(_table(spark, sf_dir, "pages"), min_revisit=1000))
     return got.select(
-        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+        F.col("id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast("long").alias("refers_to")
     )
 
 
@@ -73,8 +73,8 @@ def op10_rotated_one_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest by inner product of every embedding whose id is divisible by 20."""
     from .rotated_codes import build_index, nearest
 
-    index, centres = build_index(_table(spark, sf_dir, "embeddings"))
-    return nearest(index, index.where("id % 20 = 0"), centres, k=20)
+    index, cells = build_index(_table(spark, sf_dir, "embeddings"))
+    return nearest(index, index.where("id % 20 = 0"), cells, k=20)
 
 
 def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

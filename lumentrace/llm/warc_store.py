@@ -26,7 +26,8 @@ def write_archive(
     """(records, payloads) written to the shared folder.
 
     A null payload is empty, a null url leaves its header out, line ends within a url are
-    percent-encoded. Rows that repeat an id and a payload are each the response if
+    percent-encoded; urls may hold any other character. A null id has a record id of its own form and owns a payload
+    only if no other id has it. Rows that repeat an id and a payload are each the response if
     that id is the largest. An empty table gives empty archives; other columns are ignored.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
@@ -36,15 +37,13 @@ def write_archive(
         rows.select("id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "warc-digests"
     )
     owners = digests.groupBy("sha256", "sha1", "n").agg(F.max("id").alias("owner"))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    kept = rows.select(key("id").alias("key"), F.sha2("payload", 256).alias("digest"), "payload").join(
-        owners.select(key("owner").alias("key"), F.col("sha256").alias("digest")), ["key", "digest"]
-    )
-    payloads = written(kept.dropDuplicates(["key", "digest"]).select("digest", "payload"), "warc-payloads")
+    own = F.expr("id <=> owner and digest = sha256")
+    kept = rows.select("id", F.sha2("payload", 256).alias("digest"), "payload").join(owners.select("owner", "sha256"), own, "left_semi")
+    payloads = written(kept.dropDuplicates(["id", "digest"]).select("digest", "payload"), "warc-payloads")
     met = digests.join(owners, ["sha256", "sha1", "n"])
     revisit = (F.col("n") >= min_revisit) & ~F.col("id").eqNullSafe(F.col("owner"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(F.col(c).cast("string")), F.lit(">")), F.lit("<urn:nopage>"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
@@ -81,17 +80,22 @@ def reconstruct(records: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def read_archive(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Per record, parsed from its reconstructed bytes: id, url (as string), record_type, refers_to, payload_bytes, payload_digest."""
+    """Per record, parsed from its reconstructed bytes: id, url (as string), record_type, refers_to, payload_bytes, payload_digest.
+
+    The header ends at the first empty line, searched and cut by bytes. The id of a record written for a null id is null.
+    """
     got = reconstruct(records, payloads)
-    head = got.select(F.decode(F.expr("substring(record, 1, position(unhex('0D0A0D0A') in record) + 1)"), "UTF-8").alias("head"), "record", "payload_sha1", "payload_bytes")
+    blank = F.instr(F.decode("record", "ISO-8859-1"), "\r\n\r\n")  # one character a byte
+    head = got.select(F.substring("record", F.lit(1), blank + 1).cast("string").alias("head"), F.octet_length("record").alias("size"), "payload_sha1", "payload_bytes")
     field = lambda name, value: F.regexp_extract("head", rf"\r\n{name}: {value}\r\n", 1)
+    page = lambda name: F.when(F.contains("head", F.lit(f"\r\n{name}: <urn:page:")), F.url_decode(field(name, "<urn:page:([^>\r]*)>")))
     told = F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]+)\r\n", 1)
     fails = F.raise_error(F.lit("a header's digest or length differs from the payload's"))
     return head.select(
-        field("WARC-Record-ID", "<urn:page:([^>\r]*)>").alias("id"),
+        page("WARC-Record-ID").alias("id"),
         F.nullif(field("WARC-Target-URI", "([^\r]*)"), F.lit("")).alias("url"),
         field("WARC-Type", "([a-z]+)").alias("record_type"),
-        F.nullif(field("WARC-Refers-To", "<urn:page:([^>\r]*)>"), F.lit("")).alias("refers_to"),
+        page("WARC-Refers-To").alias("refers_to"),
         "payload_bytes",
-        F.when((told == F.col("payload_sha1")) & (field("Content-Length", "([0-9]+)").cast("long") == F.octet_length("record") - F.octet_length(F.encode("head", "UTF-8")) - 6), told).otherwise(fails).alias("payload_digest"),
+        F.when((told == F.col("payload_sha1")) & (field("Content-Length", "([0-9]+)").cast("long") == F.col("size") - F.octet_length("head") - 6), told).otherwise(fails).alias("payload_digest"),
     )
