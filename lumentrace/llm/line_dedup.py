@@ -1,84 +1,129 @@
 """Removal of repeated passages by content-defined chunks of lines, in DataFrame functions alone.
 
-Lines are hashed, and a rolling hash over each two neighbouring line hashes stands for the step from
-one line to the next. Steps that occur once in the corpus are boundaries: a chunk is a run of lines joined by
-steps that occur elsewhere too, so inserting or removing lines before it doesn't shift it. A
-line of ``min_words`` words or more is a chunk by itself. Chunks of ``min_words`` words or more are removed,
-except where they occur first (least document id, then place).
-
-Bytes are compared: lines are grouped by their text, and a hash that two different texts share takes
-no part, so equal hashes mean equal bytes.
+Every line is hashed, and a rolling hash over each two neighbouring line hashes stands for the gap between them. A gap is
+a boundary where the rolling hash falls under a mask (one in 2**``MASK_BITS``), where it occurs in one place of the corpus
+only (there shared text ends), and after ``MAX_LINES`` lines. So boundaries depend on the lines around them alone and don't shift
+when lines come or go elsewhere; a passage that documents share is cut at its own edges. Chunks have at
+least one line.
+
+Chunks are grouped by a digest of their line hashes. A digest's first occurrence (least document id, then row key, then place; null
+ids last) always stays; a later one goes if, with its neighbours, it forms a passage: consecutive chunks whose first
+occurrences are consecutive in one document too, with ``min_words`` words or more in all. So whatever goes stands
+elsewhere as a whole, in a place that nothing is removed from.
+
+Bytes are compared: chunks are grouped by digest and text, and a digest that two different texts share takes no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, written
 
 MIN_WORDS = 50
-#: log2 of the bits of the bitmap of repeated line hashes.
+#: A gap's rolling hash is a boundary if this many of its bits are zero; a chunk ends after so many lines at the latest.
+MASK_BITS, MAX_LINES = 3, 64
+#: Fixed values of the rolling hash: factor and modulus.
+FACTOR, MODULUS = 257, 65_521
+#: log2 of the bits of the bitmap of documents that have repeated chunks.
 BITMAP_BITS = 24
 
 
-def _words(line):
+def _words(line: Column) -> Column:
     """Words between blanks; a line without any has none."""
     return F.when(F.trim(line) == "", 0).otherwise(F.size(F.split(F.trim(line), r"\s+")))
 
 
+def _value(line: Column) -> Column:
+    """What the rolling hash is made of: the first 28 bits of the line's MD5."""
+    return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
+
+
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rk, pos, h, nxt, words, nxt_words) per line; nxt and nxt_words tell of the following line, null at the end."""
+    """(id, rk, pos, a, b, words, next_words, masked) per line.
+
+    a is the line's hash, b the following line's (null at the end); masked tells whether the gap between them falls under the mask.
+    """
     lines = F.split(F.col(text_col), "\n", -1)
-    told = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).cast("int").alias("w")))
+    told = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).cast("int").alias("w"), _value(x).alias("v")))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), row_key(text_col).alias("rk"), told.alias("t"))
-    paired = F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("b"))
+    paired = F.arrays_zip(F.col("t").alias("l"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("r"))
+    rolled = (F.col("p.l.v") * FACTOR + F.col("p.r.v")) % MODULUS
     return rows.select("id", "rk", F.posexplode(paired).alias("pos", "p")).select(
-        "id", "rk", "pos", F.col("p.a.h").alias("h"), F.col("p.b.h").alias("nxt"), F.col("p.a.w").alias("words"), F.col("p.b.w").alias("nxt_words")
-    )
+        "id", "rk", "pos", F.col("p.l.h").alias("a"), F.col("p.r.h").alias("b"), F.col("p.l.w").alias("words"), F.col("p.r.w").alias("next_words"),
+        (rolled % (1 << MASK_BITS) == 0).alias("masked"),
+    )
 
 
-def _slot(h):
-    return F.shiftrightunsigned(h, 64 - BITMAP_BITS)
+def chunks(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, rk, first, last, words, digest): the chunks that may occur in two places, from ``line_rows``.
 
-
-def _bit(h: str):
-    return F.expr(f"shiftleft(1L, cast(shiftrightunsigned({h}, {64 - BITMAP_BITS}) % 64 as int))")
+    These are the chunks of lines with a repeated gap beside them, and repeated lines of ``min_words`` words alone.
+    """
+    gap = F.struct(F.lit(False).alias("alone"), F.col("a").alias("a"), F.col("b").alias("b"))
+    long_line = F.struct(F.lit(True).alias("alone"), F.col("a").alias("a"), F.col("a").alias("b"))
+    units = F.array_compact(F.array(F.when(F.col("b").isNotNull(), gap), F.when(F.col("words") >= min_words, long_line)))
+    met = rows.select("id", "rk", "pos", F.col("a").alias("h"), F.col("b").alias("nh"), "words", "next_words", "masked", F.explode(units).alias("u")).select("*", "u.*").drop("u")
+    place = F.xxhash64("id", "rk", "pos")
+    seen = met.groupBy("alone", "a", "b").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("alone", "a", "b")
+    repeated = met.join(written(seen, "line-gaps"), ["alone", "a", "b"]).drop("a", "b")
+    # one exchange by document serves all that follows; equal rows are one document
+    own = repeated.repartition("id", "rk").dropDuplicates(["id", "rk", "pos", "alone"])
+    doc = Window.partitionBy("id", "rk")
+    beside = F.max(F.when(~F.col("alone"), True)).over(doc.orderBy("pos").rangeBetween(-1, 0))
+    own = own.withColumn("beside", beside).where(~F.col("alone") | F.col("beside").isNull())
+    order = doc.orderBy("pos")
+    before, after = F.lag("pos").over(order), F.lead("pos").over(order)
+    own = own.withColumns({"joined": F.coalesce((before == F.col("pos") - 1) & ~F.lag("alone").over(order), F.lit(False)) & ~F.col("alone"), "ends": F.coalesce(after != F.col("pos") + 1, F.lit(True)), "cut": F.coalesce(F.lag("masked").over(order), F.lit(False))})
+    line = F.struct("pos", "h", "words", (~F.col("joined") | F.col("cut")).alias("starts"))
+    following = F.struct((F.col("pos") + 1).alias("pos"), F.col("nh").alias("h"), F.col("next_words").alias("words"), F.col("masked").alias("starts"))
+    lines = own.select("id", "rk", F.explode(F.array_compact(F.array(line, F.when(F.col("ends") & ~F.col("alone"), following)))).alias("l")).select("id", "rk", "l.*")
+    start = F.max(F.when(F.col("starts"), F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("start", start)
+    first = F.col("pos") - (F.col("pos") - F.col("start")) % MAX_LINES
+    whole = lines.groupBy("id", "rk", first.alias("first")).agg(F.max("pos").alias("last"), F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hs"))  # MAX_LINES lines at most
+    return whole.select("id", "rk", "first", "last", "words", F.xxhash64(F.transform("hs", lambda x: x["h"])).alias("digest"))
+
+
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BITMAP_BITS)
 
 
-def clashing_hashes(docs: DataFrame, repeated: DataFrame, text_col: str = "text") -> DataFrame:
-    """Those of the hashes ``repeated.h`` that lines of different bytes share: distinct texts, counted by hash.
+def clashing_digests(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of the digests of ``found`` (chunks) that stand for different bytes: distinct texts, counted by digest.
 
-    Only lines whose hash a bitmap of ``repeated`` lets pass are compared. The bitmap is a table of 2**BITMAP_BITS
-    bits in words of 64, a few megabytes to broadcast at most, whatever the corpus.
+    Only documents that a bitmap of those in ``found`` lets pass are read on; it has 2**BITMAP_BITS bits in
+    words of 64, a few megabytes to broadcast at most, whatever the corpus.
     """
-    marks = repeated.groupBy((_slot("h") / 64).cast("long").alias("w")).agg(F.bit_or(_bit("h")).alias("bits"))
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")).withColumn("h", F.xxhash64("line"))
-    some = lines.withColumn("lw", (_slot("h") / 64).cast("long")).join(F.broadcast(marks), F.col("lw") == F.col("w"))
-    texts = some.where(F.col("bits").bitwiseAND(_bit("h")) != 0).select("line").distinct()
-    return texts.groupBy(F.xxhash64("line").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h")
+    key = F.xxhash64("id", "rk")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (_slot(h) % 64).cast("int"))
+    marks = found.select(key.alias("k")).groupBy((_slot(F.col("k")) / 64).cast("long").alias("w")).agg(F.bit_or(bit(F.col("k"))).alias("bits"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), row_key(text_col).alias("k"), F.col(text_col).alias("t")).withColumn("x", F.xxhash64("i", "k"))
+    some = texts.withColumn("xw", (_slot(F.col("x")) / 64).cast("long")).join(F.broadcast(marks), F.col("xw") == F.col("w")).where(F.col("bits").bitwiseAND(bit(F.col("x"))) != 0).select("i", "k", "t")
+    spans = found.groupBy("id", "rk").agg(F.collect_list(F.struct("first", "last", "digest")).alias("cs"))
+    met = some.join(spans.hint("shuffle_hash"), F.expr("i <=> id and k = rk")).select(F.split("t", "\n", -1).alias("ls"), F.explode("cs").alias("c"))
+    text = F.array_join(F.slice("ls", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n")
+    distinct = met.select(F.col("c.digest").alias("digest"), text.alias("text")).distinct()
+    return distinct.groupBy("digest").count().where("count > 1").select("digest")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, rk, first, last, words): runs of lines to remove, by position from 0; rk tells rows apart that share an id."""
-    rows = written(line_rows(docs, id_col, text_col), "lines")
-    step = F.struct(F.lit(0).alias("single"), F.col("h").alias("a"), F.col("nxt").alias("b"), "words", "nxt_words")
-    alone = F.struct(F.lit(1).alias("single"), F.col("h").alias("a"), F.col("h").alias("b"), "words", F.lit(0).alias("nxt_words"))
-    units = F.array_compact(F.array(F.when(F.col("nxt").isNotNull(), step), F.when(F.col("words") >= min_words, alone)))
-    met = rows.select("id", "rk", "pos", F.explode(units).alias("u")).select("id", "rk", "pos", "u.*")
-    first = F.min(F.struct("id", "rk", "pos"))
-    seen = written(met.groupBy("single", "a", "b").agg(F.count("*").alias("n"), first.alias("o")).where("n > 1"), "line-steps")
-    clash = clashing_hashes(docs, seen.select(F.explode(F.array("a", "b")).alias("h")), text_col)
-    seen = seen.join(clash.withColumnRenamed("h", "a"), "a", "left_anti").join(clash.withColumnRenamed("h", "b"), "b", "left_anti")
-    later = met.join(seen.select("single", "a", "b", "o"), ["single", "a", "b"]).where(F.struct("id", "rk", "pos") != F.col("o"))
-    later = later.select("id", "rk", "pos", (F.col("pos") + 1 - F.col("single")).alias("end"), "single", "words", "nxt_words")
-    doc = Window.partitionBy("id", "rk").orderBy("pos", "single")
-    reach = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    starts = later.withColumn("reach", reach).withColumn("new", (F.col("reach").isNull() | (F.col("pos") > F.col("reach"))).cast("int"))
-    runs = starts.withColumn("run", F.sum("new").over(doc)).withColumn(
-        "adds", F.when(F.col("new") == 1, F.col("words") + F.col("nxt_words")).otherwise(F.when(F.col("end") > F.col("reach"), F.col("nxt_words")).otherwise(0))
-    )
-    spans = runs.groupBy("id", "rk", "run").agg(F.min("pos").alias("first"), F.max("end").alias("last"), F.sum("adds").alias("words"))
+    """(id, rk, first, last, words): passages to remove, by position of lines from 0; rk tells rows apart that share an id."""
+    every = written(chunks(written(line_rows(docs, id_col, text_col), "lines"), min_words), "line-chunks")
+    # null ids last
+    origin = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rk", "first"))
+    place = F.xxhash64("id", "rk", "first")
+    again = every.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("digest")
+    found = written(every.join(again, "digest"), "line-repeated")
+    origins = found.groupBy("digest").agg(origin.alias("o"))
+    sound = origins.join(clashing_digests(docs, found, id_col, text_col), "digest", "left_anti")
+    later = found.join(sound, "digest").where(~(F.col("id").eqNullSafe(F.col("o.id")) & (F.col("rk") == F.col("o.rk")) & (F.col("first") == F.col("o.first"))))
+    order = Window.partitionBy("id", "rk").orderBy("first")
+    was = lambda c: F.lag(c).over(order)
+    goes_on = (was("last") + 1 == F.col("first")) & was("o.id").eqNullSafe(F.col("o.id")) & (was("o.rk") == F.col("o.rk")) & (was("first") - was("o.first") == F.col("first") - F.col("o.first"))
+    runs = later.withColumn("fresh", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
+    spans = runs.groupBy("id", "rk", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("words").alias("words"))
     return spans.where(F.col("words") >= min_words).select("id", "rk", "first", "last", "words")
 
 
@@ -87,21 +132,25 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts stay as they are. A text whose every line goes becomes empty. Equal rows
     (same id and text) count as one document and keep equal texts; rows that
-    share an id but not a text are documents of their own. Other columns stay; a column of ``docs``
+    share an id but not a text are documents of their own; null ids come last in order. Other columns stay, whatever their names; a column of ``docs``
     named removed_lines or removed_words gives way. An empty table stays empty.
     """
-    spans = repeated_spans(docs, id_col, text_col, min_words)
-    gone = spans.groupBy(F.col("id").alias("_id"), F.col("rk").alias("_rk")).agg(
-        F.collect_list(F.struct("first", "last")).alias("_spans"),
-        F.sum(F.col("last") - F.col("first") + 1).alias("_lines"),
-        F.sum("words").alias("_words"),
+    new = ("removed_lines", "removed_words")
+    own = [c for c in docs.columns if c not in new]
+    spans = repeated_spans(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, min_words)
+    gone = spans.groupBy("id", "rk").agg(
+        F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"), F.sum(F.col("last") - F.col("first") + 1).alias("lines"), F.sum("words").alias("words")
     )
-    keyed = docs.drop("removed_lines", "removed_words").withColumn("_key", row_key(text_col))
-    met = keyed.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_rk")), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.exists("_spans", lambda s: (i >= s["first"]) & (i <= s["last"])))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    # all columns of docs travel in one struct, so that no name of theirs can clash
+    keyed = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("i"), row_key(text_col).alias("k"))
+    met = keyed.join(gone.hint("shuffle_hash"), F.expr("i <=> id and k = rk"), "left")
+    old, lines, cuts = F.col("row").getField(text_col), F.split(F.col("row").getField(text_col), "\n", -1), F.col("cuts")
+    # the lines between one cut and the next: each line is copied once
+    start = lambda n: F.when(n == 0, 0).otherwise(F.get(cuts, n - 1)["last"] + 1)
+    stop = lambda n: F.coalesce(F.get(cuts, n)["first"], F.size(lines))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda n: F.slice(lines, start(n) + 1, stop(n) - start(n))))
+    text = F.when(cuts.isNull(), old).otherwise(F.array_join(kept, "\n"))
     return met.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("removed_lines", "removed_words")],
-        count("_lines").alias("removed_lines"), count("_words").alias("removed_words"),
-    )
+        *[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in own],
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n) for c, n in zip(("lines", "words"), new)],
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import line_dedup
 from .chat_format import MARKS
 from .url_templates import oracle as url_oracle
 
@@ -36,17 +37,20 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
 select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
 """
 
-_LINES = r"""
+_LINES = rf"""
 with l as (select doc_id, i - 1 as pos, ls[i] as line, ls[i + 1] as nxt, i < len(ls) as has_next from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null))),
-w as (select *, case when trim(line) = '' then 0 else len(string_split_regex(trim(line), '\s+')) end as n, case when not has_next or trim(nxt) = '' then 0 else len(string_split_regex(trim(nxt), '\s+')) end as m from l),
-u as (select doc_id, pos, pos + 1 as fin, 0 as kind, line as a, nxt as b, n, m from w where has_next union all select doc_id, pos, pos, 1, line, '', n, 0 from w where n >= 50),
-later as (select * from (select *, row_number() over (partition by kind, a, b order by doc_id, pos) as k from u) where k > 1),
-r as (select *, max(fin) over (partition by doc_id order by pos, kind rows between unbounded preceding and 1 preceding) as reach from later),
-s as (select *, case when reach is null or pos > reach then 1 else 0 end as fresh from r),
-t as (select *, sum(fresh) over (partition by doc_id order by pos, kind rows unbounded preceding) as run, case when fresh = 1 then n + m when fin > reach then m else 0 end as adds from s),
-spans as (select doc_id, run, min(pos) as lo, max(fin) as hi, sum(adds) as words from t group by doc_id, run having sum(adds) >= 50),
-gone as (select distinct doc_id, unnest(range(lo, hi + 1)) as pos from spans),
-kept as (select w.doc_id, coalesce(string_agg(line, chr(10) order by w.pos) filter (gone.pos is null), '') as text, count(gone.pos) as removed_lines from w left join gone on w.doc_id = gone.doc_id and w.pos = gone.pos group by w.doc_id),
+w as (select *, case when trim(line) = '' then 0 else len(string_split_regex(trim(line), '\s+')) end as n,
+  has_next and (cast('0x' || substr(md5(line), 1, 7) as bigint) * {line_dedup.FACTOR} + cast('0x' || substr(md5(coalesce(nxt, '')), 1, 7) as bigint)) % {line_dedup.MODULUS} % {1 << line_dedup.MASK_BITS} = 0 as masked,
+  has_next and count(*) over (partition by line, nxt, has_next) > 1 as gap, count(*) over (partition by line) > 1 as known from l),
+b as (select *, coalesce(lag(gap) over (partition by doc_id order by pos), false) as gap_before, coalesce(lag(masked) over (partition by doc_id order by pos), false) as cut from w),
+c as (select *, max(case when not gap_before or cut then pos end) over (partition by doc_id order by pos) as start from b where gap or gap_before or (known and n >= {line_dedup.MIN_WORDS})),
+chunk as (select doc_id, pos - (pos - start) % {line_dedup.MAX_LINES} as lo, max(pos) as hi, sum(n) as n, string_agg(line, chr(10) order by pos) as t from c group by 1, 2),
+o as (select *, first_value(doc_id) over s as o_doc, first_value(lo) over s as o_lo from chunk window s as (partition by t order by doc_id, lo)),
+later as (select *, lag(hi) over s as p_hi, lag(o_doc) over s as p_doc, lag(lo - o_lo) over s as p_off from o where doc_id <> o_doc or lo <> o_lo window s as (partition by doc_id order by lo)),
+run as (select *, sum(case when p_hi + 1 = lo and p_doc = o_doc and p_off = lo - o_lo then 0 else 1 end) over (partition by doc_id order by lo) as run from later),
+spans as (select doc_id, min(lo) as lo, max(hi) as hi, sum(n) as words from run group by doc_id, run having sum(n) >= {line_dedup.MIN_WORDS}),
+gone as (select doc_id, unnest(range(lo, hi + 1)) as pos from spans),
+kept as (select l.doc_id, coalesce(string_agg(line, chr(10) order by l.pos) filter (gone.pos is null), '') as text, count(gone.pos) as removed_lines from l left join gone on l.doc_id = gone.doc_id and l.pos = gone.pos group by l.doc_id),
 total as (select doc_id, cast(sum(words) as bigint) as removed_words from spans group by doc_id)
 select d.doc_id, kept.text, coalesce(removed_lines, 0) as removed_lines, coalesce(removed_words, 0) as removed_words from documents d left join kept using (doc_id) left join total using (doc_id)
 """

@@ -159,44 +159,90 @@ def test_winnowing_finds_every_window(spark):
 
 
 def brute_removal(rows, least):
+    """Texts after removal, document by document and line by line."""
     n = lambda s: len(s.split())
-    first, plan = {}, {}
-    order = sorted(dict.fromkeys((d, t) for d, t in rows if t is not None), key=lambda r: (r[0], r[1]))
-    units = lambda ls: [((0, ls[i], ls[i + 1]), i, i + 1) for i in range(len(ls) - 1)] + [((1, s, ""), i, i) for i, s in enumerate(ls) if n(s) >= least]
+    value = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16)
+    masked = lambda a, b: (value(a) * line_dedup.FACTOR + value(b)) % line_dedup.MODULUS % (1 << line_dedup.MASK_BITS) == 0
+    order = sorted(dict.fromkeys((d, t) for d, t in rows if t is not None), key=lambda r: (r[0] is None, r[0], r[1]))
+    gaps = Counter(g for _, t in order for g in zip(t.split("\n"), t.split("\n")[1:]))
+    first, own = {}, {}
     for d, t in order:
-        for u, i, _ in units(t.split("\n")):
-            first[u] = min(first.get(u, (d, t, i)), (d, t, i))
-    for d, t in order:
-        ls, runs = t.split("\n"), []
-        for a, z in sorted((a, z) for u, a, z in units(ls) if first[u] != (d, t, a)):
-            if runs and a <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], z)
+        ls, at, cs = t.split("\n"), 0, []
+        for i in range(1, len(ls) + 1):
+            if i == len(ls) or gaps[ls[i - 1], ls[i]] < 2 or masked(ls[i - 1], ls[i]) or i - at == line_dedup.MAX_LINES:
+                cs.append((at, i))
+                first.setdefault(tuple(ls[at:i]), (d, t, at))
+                at = i
+        own[d, t] = cs
+    plan = {}
+    for (d, t), cs in own.items():
+        ls, runs, last = t.split("\n"), [], None
+        for a, z in cs:
+            o = first[tuple(ls[a:z])]
+            if o == (d, t, a):
+                last = None
+                continue
+            if last == (o[0], o[1], a - o[2]):
+                runs[-1][1] = z
             else:
                 runs.append([a, z])
-        gone = {i for a, z in runs if sum(map(n, ls[a : z + 1])) >= least for i in range(a, z + 1)}
+            last = o[0], o[1], a - o[2]
+        gone = {i for a, z in runs if sum(map(n, ls[a:z])) >= least for i in range(a, z)}
         plan[d, t] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
     return plan
 
 
-def test_repeated_passages(spark):
-    rng = random.Random(3)
-    passage = [sentence(rng, 20) for _ in range(4)]
-    long_line = sentence(rng, 60)
-    rows = [(0, "\n".join([sentence(rng, 9), *passage, sentence(rng, 9)])), (1, "\n".join([*passage, sentence(rng, 5)])), (2, "\n".join([sentence(rng, 7), passage[1], passage[2], "mid", passage[3]]))]
-    rows += [(3, long_line), (4, sentence(rng, 4) + "\n" + long_line), (5, "\n".join(["short line"] * 5)), (6, "short line\nother"), (7, None), (8, ""), (9, "\n\n\n"), (3, long_line)]
-    rows += [(10, "\n".join(passage + ["x"] + passage)), (11, "\n".join(sentence(rng, 12) for _ in range(3000)))]
+def check_removal(spark, rows, least=50):
     d = docs_of(spark, rows)
-    got = line_dedup.remove_repeated(d, min_words=50)
+    got = line_dedup.remove_repeated(d, min_words=least)
     assert got.columns == [*d.columns, "removed_lines", "removed_words"] and got.count() == len(rows)
-    plan = brute_removal(rows, 50)
+    plan = brute_removal(rows, least)
     want = Counter((i, None if t is None else plan[i, t]) for i, t in rows)
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
-    assert want[4, rows[4][1].split("\n")[0]] == 1 and line_dedup.remove_repeated(d.limit(0)).count() == 0
+    return want
 
 
-def test_lines_that_share_a_hash_stay(spark):
-    d = docs_of(spark, [(0, "a\nb"), (1, "a\nb")])
-    assert line_dedup.clashing_hashes(d, spark.createDataFrame([(1,)], "h long")).count() == 0
+def test_repeated_passages(spark):
+    rng = random.Random(3)
+    passage = [sentence(rng, 20) for _ in range(4)]
+    long_line = sentence(rng, 60)
+    rows = [(0, "\n".join([sentence(rng, 9), *passage, sentence(rng, 9)])), (1, "\n".join([*passage, sentence(rng, 5)])), (2, "\n".join([sentence(rng, 7), passage[1], passage[2], "mid", passage[3]]))]
+    rows += [(3, long_line), (4, sentence(rng, 4) + "\n" + long_line), (5, "\n".join(["short line"] * 5)), (6, "short line\nother"), (7, None), (8, ""), (9, "\n\n\n"), (3, long_line)]
+    rows += [(10, "\n".join(passage + ["x"] + passage)), (11, "\n".join(sentence(rng, 12) for _ in range(3000))), (12, "\n".join(["one line again"] * 400)), (13, "\n".join(["one line again"] * 300))]
+    rows += [(14, rows[11][1]), (14, sentence(rng, 9) + "\n" + long_line), (15, "\n".join(passage[:2] + [long_line] + passage[2:]))]
+    want = check_removal(spark, rows)
+    assert want[4, rows[4][1].split("\n")[0]] == 1 and want[1, rows[1][1].split("\n")[-1]] == 1
+    assert line_dedup.remove_repeated(docs_of(spark, rows).limit(0)).count() == 0
+    small = [sentence(rng, 6) for _ in range(12)]
+    check_removal(spark, [(i, "\n".join(rng.choice(small) for _ in range(rng.randrange(1, 40)))) for i in range(60)], 12)
+
+
+def test_passages_that_stand_nowhere_whole_stay(spark):
+    rng = random.Random(8)
+    a, b, c, x, y, z, q = (sentence(rng, 30) for _ in range(7))
+    joined = [(0, f"{a}\n{b}\n{x}"), (1, f"{b}\n{c}\n{y}"), (2, f"{a}\n{b}\n{c}\n{z}")]
+    chained = [(0, f"{a}\n{b}\n{x}"), (1, f"{a}\n{b}\n{c}\n{y}"), (2, f"{q}\n{b}\n{c}\n{z}")]
+    for rows in (joined, chained):
+        kept = [t for i, t in sorted(check_removal(spark, rows)) if t is not None]
+        for r in rows:  # whatever went from a text stands whole in another
+            gone = [s for s in r[1].split("\n") if s not in dict(zip(range(3), kept))[r[0]].split("\n")]
+            assert not gone or any("\n".join(gone) in k for k in kept)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_key", "_id", "_rk", "_spans", "_lines", "_words", "id", "rk", "row", "i", "k", "cuts", "lines", "words", "removed_words"]
+    d = spark.createDataFrame([(0, "a b\nc", *range(len(names))), (1, "a b\nc", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    got = line_dedup.remove_repeated(d, min_words=2)
+    assert sorted((r.doc_id, r.text, r.removed_words) for r in got.collect()) == [(0, "a b\nc", 0), (1, "", 3)]
+    assert all(tuple(r[n] for n in names[:-1]) == tuple(range(len(names) - 1)) for r in got.collect())
+
+
+def test_chunks_of_different_bytes_stay(spark):
+    d = docs_of(spark, [(0, "a\nb"), (1, "c\nd")])
+    keyed = d.select("doc_id", line_dedup.row_key("text").alias("rk"))
+    found = keyed.selectExpr("doc_id as id", "rk", "0 as first", "1 as last", "2 as words", "cast(7 as long) as digest")
+    assert [r.digest for r in line_dedup.clashing_digests(d, found).collect()] == [7]
+    assert line_dedup.clashing_digests(d, found.where("id = 0")).count() == 0
 
 
 # --- packing ----------------------------------------------------------------------------------------------------------
