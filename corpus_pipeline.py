@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages from ``documents`` to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``docs``. ``run`` writes each stage's result to the shared folder and reads it for the
-next, so a lost executor repeats one stage at most.
+columns of ``docs``, whatever other columns there are. ``run`` writes each stage's result to the shared folder and reads it for the
+next, so a lost executor repeats one stage at most, and removes what a stage wrote on its way.
 """
 
 from __future__ import annotations
@@ -10,22 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrace.llm import decontaminate, line_dedup, packing, shingle_dedup, toxicity
-from lumentrace.llm.common import row_key, written
+from lumentrace.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity
+from lumentrace.llm.common import forget, parted, row_key, scratch, written
+
+
+def _without(docs: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
+    """``docs`` less the rows whose doc_id and ``row_key`` of ``key`` are those of ``gone`` (id, rk); only rows that may go are shuffled."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), row_key(*key).alias("k"))
+    some, others = parted(rows, F.xxhash64("i", "k"), gone.select(F.xxhash64("id", "rk").alias("k")))
+    kept = some.join(gone.hint("shuffle_hash"), F.expr("i <=> id and k = rk"), "left_anti").unionByName(others)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 stay; the model learns from all labelled toxic documents and unlabelled text."""
+    """Documents that score below 0.5 stay; the model learns from a bounded sample of labelled toxic documents and of all text (``toxicity.MAX_POSITIVE``, ``MAX_UNLABELLED``)."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = toxicity.score(docs.withColumn("_text", F.col("text")), model, "_text", *docs.columns).where("score < 0.5")
-    return kept.select(*docs.columns)
+    whole = F.struct(*docs.columns).alias("row")
+    kept = toxicity.score(docs.select("text", whole), model, "text", "row").where("score < 0.5")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; passages of 50 words or more that an earlier one has leave its text, and n_chars follows."""
-    got = line_dedup.remove_repeated(docs, "doc_id", "text", min_words=50)
-    n_chars = F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
-    return got.withColumn("n_chars", n_chars).select(*docs.columns)
+    """Every document stays; passages of 50 words or more that an earlier one has leave its text, and n_chars, if there is one, follows."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    got = line_dedup.remove_repeated(rows, "doc_id", "text", min_words=50)
+    cut = F.col("removed_lines") > 0
+    new = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text")).otherwise(F.expr("row.n_chars")).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return got.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,23 +44,25 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
     It is the one with the least id, where ids are shared the least row key; null ids come last.
     """
-    classes = written(shingle_dedup.near_duplicate_classes(docs, "doc_id", "text", width=5, similarity=0.8), "pipeline-classes")
+    classes = written(simhash_dedup.similar_classes(docs, "doc_id", "text", shingle=5, similarity=0.8), "pipeline-classes")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rk"))
-    least = written(classes.groupBy("component").agg(F.min(order).alias("r"), F.count("*").alias("n")).select("r.id", "r.rk", "n"), "pipeline-least")
-    keyed = docs.withColumn("_rk", row_key(*docs.columns))
-    kept = keyed.join(least.hint("shuffle_hash"), keyed.doc_id.eqNullSafe(least.id) & (keyed._rk == least.rk), "left_semi")
-    repeated = classes.join(least.where("n > 1").select(F.col("id").alias("i"), F.col("rk").alias("k")), F.expr("id <=> i and rk = k")).groupBy("id", "rk").count().where("count > 1")
+    least = classes.groupBy("component").agg(F.min(order).alias("r"), F.count("*").alias("n")).where("n > 1")
+    least = written(least.select("component", F.struct("r.id", "r.rk").alias("first")), "pipeline-least")
+    member = classes.join(least, "component")
+    gone = written(member.where("not (id <=> first.id and rk = first.rk)").select("id", "rk").distinct(), "pipeline-near-copies")
+    kept = _without(docs, gone, *docs.columns)
+    repeated = member.where("id <=> first.id and rk = first.rk").groupBy("id", "rk").count().where("count > 1")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "_rk"]).select(*docs.columns)
+        return kept
+    rows = kept.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id").alias("i"), row_key(*docs.columns).alias("k"))
+    return rows.dropDuplicates(["i", "k"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words inside benchmark windows go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     bad = written(decontaminate.judged(*decontaminate.contamination(docs, benchmark), share=20).where("contaminated").select("id", "rk").distinct(), "pipeline-contaminated")
-    keyed = docs.withColumn("_rk", row_key("text"))
-    return keyed.join(bad, keyed.doc_id.eqNullSafe(bad.id) & (keyed._rk == bad.rk), "left_anti").select(*docs.columns)
+    return _without(docs, bad, "text")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
@@ -77,6 +90,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of ``documents`` after all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = None
+    for name, stage in STAGES:
+        with scratch(spark) as outside:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}", outside)
+        if before is not None:
+            forget(before)
+        before = docs
+    return docs

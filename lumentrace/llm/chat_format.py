@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy, written
+
 #: What stands before and after the escaped text of a role's turn.
 MARKS = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n")}
 _OTHER = re.compile(r"<\|((?:\\.|[^\\\[\]<>|])*)\|>(.*)<\|end\|>", re.S)
@@ -87,7 +89,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             )
 
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, f"conv_id {kind}, {_FORMATTED}")
+    return dealt.mapInArrow(tidy(run), f"conv_id {kind}, {_FORMATTED}")
 
 
 def examples(formatted: DataFrame) -> DataFrame:
@@ -143,4 +145,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield flush()
 
     rows = formatted.select("conv_id", "seq", "rendered", "start", "target_start", "target_stop").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

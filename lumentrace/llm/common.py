@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,99 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, scope: str | None = None) -> DataFrame:
     """``df`` as Parquet in the shared folder, read again: a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumentrace-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_SCOPE[-1] if scope is None else scope}lumentrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+_SCOPE = [""]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What ``written`` writes inside goes into a folder of its own, which is removed at the end; gives the scope outside."""
+    folder = f"lumentrace-scratch-{uuid.uuid4().hex}/"
+    _SCOPE.append(folder)
+    try:
+        yield _SCOPE[-2]
+    finally:
+        _SCOPE.pop()
+        _remove(spark, f"{shared_dir(spark)}/{folder}")
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a table from ``written`` that nothing reads any more."""
+    _remove(df.sparkSession, df._written_to)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: log2 of the bits of a bitmap.
+BITMAP_BITS = 24
+
+
+def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose 64-bit ``key`` may be among ``keys.k``, and those whose key isn't.
+
+    The first are all that are and, as the bitmap fills, some that aren't: they are joined exactly afterwards; the others need no
+    shuffle. The bitmap has 2**BITMAP_BITS bits in words of 64: a few megabytes to broadcast at most, whatever the corpus.
+    """
+    slot = lambda h: F.shiftrightunsigned(h, 64 - BITMAP_BITS)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (slot(h) % 64).cast("int"))
+    word = lambda h: F.shiftright(slot(h), 6)
+    marks = keys.groupBy(word(F.col("k")).alias("_bitmap_word")).agg(F.bit_or(bit(F.col("k"))).alias("_bitmap_bits"))
+    met = df.withColumn("_bitmap_key", key).withColumn("_bitmap_at", word(F.col("_bitmap_key"))).join(F.broadcast(marks), F.col("_bitmap_at") == F.col("_bitmap_word"), "left")
+    may = F.coalesce(F.col("_bitmap_bits").bitwiseAND(bit(F.col("_bitmap_key"))) != 0, F.lit(False))
+    return met.where(may).select(*df.columns), met.where(~may).select(*df.columns)
+
+
+def passing(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The first part of ``parted``."""
+    return parted(df, key, keys)[0]
+
+
+_held: dict[str, object] = {}
+
+
+def worker_cache(owner: str, make: Callable[[], object]) -> object:
+    """``owner``'s cache in this Python worker, made by ``make`` where there is none; those of other owners go.
+
+    A worker serves one stage after another, so it holds one stage's cache at a time.
+    """
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
+def tidy(run: Callable[[Iterator], Iterator], caches: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, after whose last batch the worker gives free memory back; without ``caches`` it holds none of other stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        if not caches:
+            _held.clear()
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
 
 
 def row_key(*cols: str) -> Column:
@@ -73,7 +162,8 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
             .where("hi <> lo")
             .distinct()
         )
-        stars = written(small, name)
+        last, stars = stars, written(small, name)
+        forget(last)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import row_key, tidy, worker_cache, written
 
 WINDOW = 13
 GRAM = 7
 #: log2 of the bitmap's bits: 2 MB, however many fingerprints the benchmark has.
 BITMAP_BITS = 24
-#: Words whose hashes a worker remembers before it starts anew.
-WORD_CACHE = 300_000
+#: Bytes of words and hashes that a worker remembers before it starts anew.
+CACHE_BYTES = 48 << 20
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _CAND = "struct<kind:int,h:bigint,pos:int,core:string,l:array<string>,r:array<string>>"
@@ -38,16 +38,17 @@ _ARROW_CAND = pa.struct(
 
 
 class _WordHashes(dict):
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
+        self.size += len(word) + 170  # the word, the hash and their place in the table
+        if self.size > CACHE_BYTES:
             self.clear()
+            self.size = 0
         self[word] = h = xxhash.xxh64_intdigest(word, 7)
         return h
 
 
-_hashes = _WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Runs of digits, letters and non-ASCII characters, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
@@ -78,7 +79,7 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 def _picked(words: list[bytes], kinds: tuple[int, ...], window: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, hashes, places): kind 0 for winnowed grams, n for every n-gram."""
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("word-hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     for kind in kinds:
         if kind:
             g = gram_hashes(h, kind)
@@ -125,7 +126,7 @@ def _fingerprinted(df: DataFrame, id_col: str, text_col: str, kinds, bitmap, win
 
     kind = dict(df.select(id_col).dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), row_key(text_col).alias("rk"), F.col(text_col))
-    return rows.mapInArrow(run, f"id {kind}, rk long, n_words long, cands array<{_CAND}>")
+    return rows.mapInArrow(tidy(run, caches=True), f"id {kind}, rk long, n_words long, cands array<{_CAND}>")
 
 
 def _bitmap(prints: DataFrame) -> bytes:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 ORDER = 4
 #: Training texts, chosen by a hash of the id, whose cross-entropies calibrate rejection.
@@ -105,7 +105,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for lang in list(sums):
             yield rows(lang)
 
-    got = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(run, "lang string, k long, c long")
+    got = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(tidy(run), "lang string, k long, c long")
     return got.groupBy("lang", "k").agg(F.sum("c").alias("c"))
 
 
@@ -242,4 +242,4 @@ def predict(docs: DataFrame, tables: Tables, text_col: str = "text", *keep: str)
 
     kinds = dict(docs.dtypes)
     schema = [f"`{c}` {kinds[c]}" for c in keep] + ["lang_pred string, score double, cross_entropy double, rejected boolean"]
-    return docs.select(F.col(text_col), *keep).mapInArrow(run, ", ".join(schema))
+    return docs.select(F.col(text_col), *keep).mapInArrow(tidy(run), ", ".join(schema))

@@ -19,15 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import parted, passing, row_key, written
 
 MIN_WORDS = 50
 #: A gap's rolling hash is a boundary if this many of its bits are zero; a chunk ends after so many lines at the latest.
 MASK_BITS, MAX_LINES = 3, 64
 #: Fixed values of the rolling hash: factor and modulus.
 FACTOR, MODULUS = 257, 65_521
-#: log2 of the bits of the bitmap of documents that have repeated chunks.
-BITMAP_BITS = 24
 
 
 def _words(line: Column) -> Column:
@@ -86,21 +84,10 @@ def chunks(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return whole.select("id", "rk", "first", "last", "words", F.xxhash64(F.transform("hs", lambda x: x["h"])).alias("digest"))
 
 
-def _slot(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BITMAP_BITS)
-
-
 def clashing_digests(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those of the digests of ``found`` (chunks) that stand for different bytes: distinct texts, counted by digest.
-
-    Only documents that a bitmap of those in ``found`` lets pass are read on; it has 2**BITMAP_BITS bits in
-    words of 64, a few megabytes to broadcast at most, whatever the corpus.
-    """
-    key = F.xxhash64("id", "rk")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (_slot(h) % 64).cast("int"))
-    marks = found.select(key.alias("k")).groupBy((_slot(F.col("k")) / 64).cast("long").alias("w")).agg(F.bit_or(bit(F.col("k"))).alias("bits"))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), row_key(text_col).alias("k"), F.col(text_col).alias("t")).withColumn("x", F.xxhash64("i", "k"))
-    some = texts.withColumn("xw", (_slot(F.col("x")) / 64).cast("long")).join(F.broadcast(marks), F.col("xw") == F.col("w")).where(F.col("bits").bitwiseAND(bit(F.col("x"))) != 0).select("i", "k", "t")
+    """Those of the digests of ``found`` (chunks) that stand for different bytes: distinct texts, counted by digest."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), row_key(text_col).alias("k"), F.col(text_col).alias("t"))
+    some = passing(texts, F.xxhash64("i", "k"), found.select(F.xxhash64("id", "rk").alias("k")))
     spans = found.groupBy("id", "rk").agg(F.collect_list(F.struct("first", "last", "digest")).alias("cs"))
     met = some.join(spans.hint("shuffle_hash"), F.expr("i <=> id and k = rk")).select(F.split("t", "\n", -1).alias("ls"), F.explode("cs").alias("c"))
     text = F.array_join(F.slice("ls", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n")
@@ -141,9 +128,12 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = spans.groupBy("id", "rk").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"), F.sum(F.col("last") - F.col("first") + 1).alias("lines"), F.sum("words").alias("words")
     )
-    # all columns of docs travel in one struct, so that no name of theirs can clash
+    gone = written(gone, "line-cuts")
+    # all columns of docs travel in one struct, so that no name of theirs can clash; only documents with cuts are shuffled
     keyed = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("i"), row_key(text_col).alias("k"))
-    met = keyed.join(gone.hint("shuffle_hash"), F.expr("i <=> id and k = rk"), "left")
+    some, others = parted(keyed, F.xxhash64("i", "k"), gone.select(F.xxhash64("id", "rk").alias("k")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in gone.dtypes]
+    met = some.join(gone.hint("shuffle_hash"), F.expr("i <=> id and k = rk"), "left").unionByName(others.select("*", *none))
     old, lines, cuts = F.col("row").getField(text_col), F.split(F.col("row").getField(text_col), "\n", -1), F.col("cuts")
     # the lines between one cut and the next: each line is copied once
     start = lambda n: F.when(n == 0, 0).otherwise(F.get(cuts, n - 1)["last"] + 1)

@@ -5,7 +5,7 @@ shards of bounded size; each shard is packed by several islands, which start fro
 best-fit orders of their own. A crossover injects whole well-filled bins of a donor into a
 receiver, drops the receiver's bins that hold the same pieces and best-fits the pieces
 displaced by that. After each epoch an island's elite migrates to all islands of its shard. A
-shard stops once it meets a lower bound on the number of bins. Pieces in
+shard stops once it meets a lower bound on the number of bins, which plain best fit often does already. Pieces in
 poorly filled bins go on to the next level's fewer shards, so that the waste of shards meets.
 """
 
@@ -22,19 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, worker_cache, written
 
 CAPACITY = 4096
 #: Pieces in a shard, on average; they are dealt by hash, so that no key makes a shard larger.
 SHARD = 8192
 ISLANDS = 2
-EPOCHS = 2
-POPULATION = 3
-GENERATIONS = 3
+EPOCHS = 3
+POPULATION = 6
+GENERATIONS = 8
+#: Levels at most; what the last one leaves poorly filled stays so.
+LEVELS = 6
 #: Bins filled less than this go to the next level.
 WELL_FILLED = 0.98
-#: Words whose ids a worker remembers before it starts anew.
-WORD_CACHE = 700_000
+#: Bytes of words and ids that a worker remembers: half of them words met of late, half those met before.
+CACHE_BYTES = 96 << 20
 
 
 class _Tokens:
@@ -74,31 +76,30 @@ class _Tokens:
 
 
 class _WordIds(dict):
-    """A word's ids as bytes, encoded where first met."""
+    """A word's ids as bytes, encoded where first met. Once full, words that aren't met again go."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.before, self.size = tokenizer, {}, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORD_CACHE:
+        got = self.before.pop(word, None)
+        if got is None:
+            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self.size += len(word) + len(got) + 180  # the word, its ids and their place in the table
+        if self.size > CACHE_BYTES // 2:
+            self.before = dict(self)
             self.clear()
-        self[word] = got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            self.size = 0
+        self[word] = got
         return got
 
 
-_loaded: dict[int, _Tokens] = {}
-
-
 def _tokens(spec: str) -> _Tokens:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = zlib.crc32(spec.encode())
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = _Tokens(spec)
-    return _loaded[key]
+    return worker_cache(f"tokens-{zlib.crc32(spec.encode())}", lambda: _Tokens(spec))
 
 
 def pieces(
@@ -132,7 +133,7 @@ def pieces(
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run, caches=True), schema)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -200,8 +201,11 @@ def crossover(receiver: list[list[int]], donor: list[list[int]], lengths: list[i
     return best_fit(lengths, sorted(displaced, key=lambda x: -lengths[x]), capacity, injected + kept)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int, population: int) -> list[int]:
-    """The best assignment found (a bin number for each piece), from ``elites`` or from best-fit starts; lengths fall."""
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int, population: int) -> tuple[list[int], int]:
+    """(the best assignment found: a bin number for each piece, generations that ran), from ``elites`` or from best-fit starts; lengths fall.
+
+    Best fit in falling order is among the starts, so no result is worse.
+    """
     rng = random.Random(seed)
     floor = lower_bound(np.asarray(lengths, np.int64), capacity)
     key = lambda bins: fitness(bins, lengths, capacity)
@@ -213,28 +217,25 @@ def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[int]]
         people.append(bins)
     if not people:
         people.append(best_fit(lengths, list(range(len(lengths))), capacity))
-    best = max(people, key=key)
+    best, ran = max(people, key=key), 0
     if len(best) > floor:
         while len(people) < population:
             noisy = sorted(range(len(lengths)), key=lambda x: -lengths[x] * rng.uniform(0.8, 1.2))
             people.append(best_fit(lengths, noisy, capacity))
-        for _ in range(generations):
+        while ran < generations and len(best) > floor:
             people.sort(key=key, reverse=True)
-            best = people[0]
-            if len(best) <= floor:
-                break
             a, b = rng.sample(people, 2)
-            people = people[: population - 2] + [crossover(best, b, lengths, capacity, rng), crossover(a, best, lengths, capacity, rng)]
-        best = max([best, *people], key=key)
+            people = people[: population - 2] + [crossover(people[0], b, lengths, capacity, rng), crossover(a, people[0], lengths, capacity, rng)]
+            best, ran = max([best, *people], key=key), ran + 1
     genes = [0] * len(lengths)
     for at, b in enumerate(best):
         for x in b:
             genes[x] = at
-    return genes
+    return genes, ran
 
 
 def _epoch(shards: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """(shard, island, n_bins, floor, genes) from rows (shard, island, lengths, elites)."""
+    """(shard, island, n_bins, floor, generations, genes) from rows (shard, island, lengths, elites)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,68 +243,89 @@ def _epoch(shards: DataFrame, capacity: int, epoch: int) -> DataFrame:
             out = [evolve(r["lengths"], capacity, r["shard"] * 1009 + r["island"] * 31 + epoch, r["elites"], GENERATIONS, POPULATION) for r in rows]
             floor = [lower_bound(np.asarray(r["lengths"], np.int64), capacity) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([max(g) + 1 for g in out], pa.int32()), pa.array(floor, pa.int32()), pa.array(out, pa.list_(pa.int32()))],
-                names=["shard", "island", "n_bins", "floor", "genes"],
+                [b.column(0), b.column(1), pa.array([max(g) + 1 for g, _ in out], pa.int32()), pa.array(floor, pa.int32()), pa.array([n for _, n in out], pa.int32()), pa.array([g for g, _ in out], pa.list_(pa.int32()))],
+                names=["shard", "island", "n_bins", "floor", "generations", "genes"],
             )
 
-    return shards.select("shard", "island", "lengths", "elites").mapInArrow(run, "shard long, island int, n_bins int, floor int, genes array<int>")
+    return shards.select("shard", "island", "lengths", "elites").mapInArrow(tidy(run), "shard long, island int, n_bins int, floor int, generations int, genes array<int>")
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length", shard: int = SHARD) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length", shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, told: list[DataFrame] | None = None) -> DataFrame:
     """``rows`` with sequence_id and offset: rows of one sequence lie gapless from 0 and end at ``capacity`` at most.
 
     Every row is packed once, repeated rows each by itself; lengths must be from 0 to
-    ``capacity``. Columns must be orderable. An empty table gives an empty result.
+    ``capacity``. Columns must be orderable and may have any names but sequence_id and offset. An empty table gives an empty result.
+    ``told`` gets, by level, a table (level, shard, best_fit, n_bins, floor, generations, migrations): bins of the first
+    epoch's plain best fit, of the result, of the lower bound, and the work of all islands on it.
     """
-    rest, done, level, before = rows, [], 0, None
+    rest, done, level, before = rows.select(F.struct(*rows.columns).alias("row"), F.col(length_col).cast("int").alias("length")), [], 0, None
     while True:
         n = -(-rest.count() // shard)
         if n == 0 and done:
             break
         n = max(1, n)
-        last = n == 1 or n == before or level == 5
-        cols = [F.col(c) for c in rows.columns]
-        item = F.struct((-F.col(length_col)).alias("_neg"), *cols)
-        dealt = F.pmod(F.xxhash64(*cols, F.lit(level)), F.lit(n))
+        last = n == 1 or n == before or level == LEVELS - 1
         # equal rows would all meet in one shard: their number within a task spreads them
-        spread = F.pmod(dealt + F.pmod(F.monotonically_increasing_id(), F.lit(n)), F.lit(n)) if level == 0 else dealt
+        dealt = F.pmod(F.xxhash64("row", F.lit(level)) + F.monotonically_increasing_id(), F.lit(n))
         shards = written(
-            rest.select(spread.alias("shard"), item.alias("item")).groupBy("shard").agg(F.sort_array(F.collect_list("item")).alias("items")), "pack-shards"
+            rest.select(dealt.alias("shard"), F.struct((-F.col("length")).alias("neg"), "row").alias("item")).groupBy("shard").agg(F.sort_array(F.collect_list("item")).alias("items")), "pack-shards"
         ).repartition(min(n, 2000), "shard")
-        lengths = F.transform("items", lambda x: (-x["_neg"]).cast("int")).alias("lengths")
-        lots = shards.select("shard", lengths).select("shard", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "lengths")
-        state = lots.withColumn("elites", F.array().cast("array<array<int>>"))
-        for epoch in range(EPOCHS):
-            got = written(_epoch(state.repartition(min(n * ISLANDS, 2000), "shard", "island"), capacity, epoch), "pack-elites")
+        lengths = F.transform("items", lambda x: (-x["neg"]).cast("int")).alias("lengths")
+        lots = shards.select("shard", lengths).select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), "lengths")
+        state, solved, work = lots.withColumn("elites", F.array().cast("array<array<int>>")), [], []
+        for epoch in range(epochs):
+            got = written(_epoch(state.repartition(min(n * islands, 2000), "shard", "island"), capacity, epoch), "pack-elites")
             best = got.groupBy("shard").agg(F.min_by("genes", F.struct("n_bins", "island")).alias("genes"), F.min("n_bins").alias("n_bins"), F.max("floor").alias("floor"))
-            if best.where("n_bins > floor").isEmpty():
+            work.append(got.select("shard", F.lit(epoch).alias("epoch"), "island", "n_bins", "floor", "generations"))
+            open_ = best.where("n_bins > floor").select("shard")
+            if epoch + 1 == epochs or open_.isEmpty():
+                solved.append(best)
                 break
-            if epoch + 1 < EPOCHS:
-                elites = got.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_bins", "island", "genes"))), lambda x: x["genes"]).alias("elites"))
-                state = lots.join(elites, "shard")
-        packed = shards.join(best.select("shard", "genes"), "shard").select("shard", F.explode(F.arrays_zip("items", "genes")).alias("z"))
-        packed = packed.select("shard", F.col("z.genes").alias("_bin"), "z.items.*").drop("_neg")
-        packed = written(_offsets(packed, length_col, level, [c for c in rows.columns]), "pack-level")
+            solved.append(best.where("n_bins <= floor"))
+            elites = got.join(open_, "shard", "left_semi").groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_bins", "island", "genes"))), lambda x: x["genes"]).alias("elites"))
+            state = lots.join(elites, "shard")
+        if told is not None:
+            told.append(_told(_all(work), shards.select("shard", lengths), level, capacity))
+        packed = shards.join(_all(solved).select("shard", "genes"), "shard").select("shard", F.explode(F.arrays_zip("items", "genes")).alias("z"))
+        packed = packed.select("shard", F.col("z.genes").alias("bin"), F.col("z.items.row").alias("row"), (-F.col("z.items.neg")).alias("length"))
+        packed = written(_offsets(packed, level), "pack-level")
         if last:
             done.append(packed)
             break
-        full = F.col("_fill") >= int(WELL_FILLED * capacity)
+        full = F.col("fill") >= int(WELL_FILLED * capacity)
         done.append(packed.where(full))
-        rest, level, before = packed.where(~full).select(*rows.columns), level + 1, n
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.drop("_fill")
+        rest, level, before = packed.where(~full).select("row", "length"), level + 1, n
+    return _all(done).select(*[F.col("row").getField(c).alias(c) for c in rows.columns], "sequence_id", "offset")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _told(work: DataFrame, shards: DataFrame, level: int, capacity: int) -> DataFrame:
+    """What each shard's islands did; plain best fit is worked out again for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(best_fit(x, list(range(len(x))), capacity)) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["shard", "best_fit"])
+
+    least = F.min_by("n_bins", F.struct(-F.col("epoch"), "n_bins"))
+    ran = work.groupBy("shard").agg(least.alias("n_bins"), F.max("floor").alias("floor"), F.sum("generations").alias("generations"), F.max("epoch").alias("migrations"))
+    return ran.join(shards.mapInArrow(tidy(run), "shard long, best_fit int"), "shard").select(F.lit(level).alias("level"), "shard", "best_fit", "n_bins", "floor", "generations", "migrations")
 
 
-def _offsets(packed: DataFrame, length_col: str, level: int, cols: list[str]) -> DataFrame:
+def _offsets(packed: DataFrame, level: int) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("shard", "_bin")
-    order = w.orderBy(*[F.col(c) for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("shard", "bin")
+    order = w.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return packed.select(
-        *cols,
-        (F.lit(level) * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 24) + F.col("_bin")).cast("long").alias("sequence_id"),
-        F.coalesce(F.sum(length_col).over(order), F.lit(0)).cast("long").alias("offset"),
-        F.sum(length_col).over(w).cast("long").alias("_fill"),
-    )
+        "row", "length",
+        (F.lit(level) * F.lit(1 << 56) + F.col("shard") * F.lit(1 << 24) + F.col("bin")).cast("long").alias("sequence_id"),
+        F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"),
+        F.sum("length").over(w).cast("long").alias("fill"),
+    )

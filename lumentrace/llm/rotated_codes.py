@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 #: Rows of a block of vectors and of a block of queries, on average.
 VECTOR_BLOCK, QUERY_BLOCK = 32_768, 8_192
@@ -123,7 +123,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
                     names=["id", "dim", "cell", "vector", "code", "length", "fit"],
                 )
 
-    return written(rows.mapInArrow(run, f"id {kind}, dim int, cell int, vector array<{element}>, code binary, length double, fit double"), "codes"), cells
+    return written(rows.mapInArrow(tidy(run), f"id {kind}, dim int, cell int, vector array<{element}>, code binary, length double, fit double"), "codes"), cells
 
 
 def search_block(q: np.ndarray, own: np.ndarray, floor: np.ndarray, x: np.ndarray, order: np.ndarray, code, length, fit, centre, k: int, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def _met_cells(queries: DataFrame, cells: Cells, radius: dict[tuple[int, int], f
                             got = part.take(pa.array(keep))
                             yield pa.RecordBatch.from_arrays([*got.columns, pa.array(floor[keep]), pa.array(np.full(len(keep), cell, np.int32))], names=[*got.schema.names, "floor", "cell"])
 
-    return queries.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kind.items()) + ", floor double, cell int")
+    return queries.mapInArrow(tidy(run), ", ".join(f"{c} {t}" for c, t in kind.items()) + ", floor double, cell int")
 
 
 def nearest(

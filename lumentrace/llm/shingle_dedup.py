@@ -1,7 +1,9 @@
-"""Near-duplicate classes by the Jaccard similarity of word shingles.
+"""The verified banding of ``simhash_dedup``: near-duplicate classes by the Jaccard similarity of word shingles.
 
-A text is the set of its shingles' 64-bit hashes; equal sets are one node. Nodes meet where all rows of a MinHash band
-agree: with ``BANDS`` bands of ``ROWS`` rows a pair at similarity 0.8 meets but for 3 in 1,000,000, and more similar
+A text is the set of its shingles' 64-bit hashes; equal sets are one node. Two SimHash fingerprints of texts at similarity 0.8
+differ in ten of 64 bits on average, which segments with one error each can't reach; so nodes meet by their Golay keys
+where fingerprints lie within two bits, and by MinHash bands beyond that:
+with ``BANDS`` bands of ``ROWS`` rows a pair at similarity 0.8 meets but for 3 in 1,000,000, and more similar
 ones more surely. Every pair that meets is checked on the sets themselves.
 
 A band's nodes are first compared with its least node only. Pairs that are then in one component already need no
@@ -18,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, row_key, written
+from .common import connected_components, passing, row_key, tidy, written
+from .simhash_dedup import links, majority
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -26,7 +29,7 @@ _random = np.random.default_rng(42)
 _FLIP = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
 #: Shingles hashed at once.
-BLOCK = 1 << 12
+BLOCK = 1 << 10
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -52,7 +55,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE) -> DataFrame:
-    """(id, rk, node, bands, hashes): one row per input row; rk tells rows that share an id apart."""
+    """(id, rk, node, fp, bands, hashes): one row per input row; rk tells rows that share an id apart, fp is the fingerprint of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -60,48 +63,65 @@ def sets(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE) -> D
                 b = whole.slice(at, 256)
                 got = [shingles(t.as_py(), width) for t in b.column(2)]
                 node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in got], np.uint64).view(np.int64)
-                longs = pa.list_(pa.int64())
+                fp = np.array([majority(h) for h in got], np.uint64).view(np.int64)
+                ends = np.cumsum([0] + [len(h) for h in got])
+                bands = [band_keys(h) for h in got]
+                tops = np.cumsum([0] + [len(k) for k in bands])
+                lists = lambda e, v: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *v])))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(node), pa.array([band_keys(h) for h in got], longs), pa.array([h.view(np.int64) for h in got], longs)],
-                    names=["id", "rk", "node", "bands", "hashes"],
+                    [b.column(0), b.column(1), pa.array(node), pa.array(fp), lists(tops, bands), lists(ends, [h.view(np.int64) for h in got])], names=["id", "rk", "node", "fp", "bands", "hashes"]
                 )
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(id_col, row_key(*docs.columns), text_col).mapInArrow(run, f"id {kind}, rk long, node long, bands array<long>, hashes array<long>")
-
-
-def _similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (src, dst) whose sets have the similarity."""
-    some = written(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "shingle-some")
-    held = written(nodes.join(some, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    return docs.select(id_col, row_key(*docs.columns), text_col).mapInArrow(tidy(run), f"id {kind}, rk long, node long, fp long, bands array<long>, hashes array<long>")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (src, dst) whose sets have the similarity; only sets that some pair asks for are shuffled."""
+    some = written(pairs.select(F.explode(F.array("src", "dst")).alias("k")).distinct(), "shingle-some")
+    asked = passing(rows.select("node", F.size("hashes").alias("size"), "hashes"), F.xxhash64("node"), some.select(F.xxhash64("k").alias("k")))
+    held = written(asked.dropDuplicates(["node"]), "shingle-sets")
+    sizes = held.select("node", "size")
+    a, b = sizes.toDF("src", "m"), sizes.toDF("dst", "n")
+    can = F.least("m", "n") >= similarity * F.greatest("m", "n")  # else the smaller set is too small
+    near = written(pairs.join(a, "src").join(b, "dst").where(can).select("src", "dst"), "shingle-near")
     a, b = held.select(F.col("node").alias("src"), F.col("hashes").alias("a")), held.select(F.col("node").alias("dst"), F.col("hashes").alias("b"))
-    size_a, size_b = F.size("a"), F.size("b")
-    can = F.least(size_a, size_b) >= similarity * F.greatest(size_a, size_b)
-    both = F.when(can, F.size(F.array_intersect("a", "b"))).otherwise(0)
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", both.alias("n"), (size_a + size_b).alias("m")).where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("src", "dst")
+    both = near.join(a, "src").join(b, "dst").select("src", "dst", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
+    return both.where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("src", "dst")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
     """(id, rk, component): one row per input row; rows of a component are linked by pairs of at least ``similarity``.
 
-    Texts without words are one class.
+    Texts without words are one class. rk is ``row_key`` of all columns of ``docs``. An empty table gives an empty result.
     """
     rows = written(sets(docs, id_col, text_col, width), "shingle-rows")
-    nodes = rows.select("node", "hashes")
-    index = written(rows.select("node", "bands").dropDuplicates(["node"]), "shingle-index").select("node", F.explode("bands").alias("key"))
-    least = written(index.groupBy("key").agg(F.min("node").alias("src"), F.count("*").alias("n")).where("n > 1").select("key", "src"), "shingle-least")
-    shared = written(index.join(least, "key"), "shingle-shared")  # most keys have one node only
-    first = written(shared.where("node <> src").select("src", F.col("node").alias("dst")).distinct(), "shingle-pairs")
-    links = written(_similar(first, nodes, similarity), "shingle-links")
-    comps = connected_components(links, "shingle-stars")
+    index = rows.select("node", F.explode("bands").alias("key"))
+    least = written(index.groupBy("key").agg(F.min("node").alias("src"), F.max("node").alias("hi")).where("src <> hi").select("key", "src"), "shingle-least")
+    # most keys have one node only
+    some = passing(index, F.col("key"), least.select(F.col("key").alias("k")))
+    shared = written(some.distinct().join(least, "key"), "shingle-shared")
+    first = shared.where("node <> src").select("src", F.col("node").alias("dst"))
+    first = written(first.unionByName(_by_fingerprint(rows)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "shingle-pairs")
+    found = written(_similar(first, rows, similarity), "shingle-links")
+    comps = connected_components(found, "shingle-stars")
     named = written(shared.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "shingle-named")
     mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     open_ = named.join(mixed, "key", "left_semi")
     right = open_.select("key", F.col("node").alias("dst"), F.col("component").alias("other"))
     left = open_.withColumnRenamed("node", "src")
     more = left.join(right, (left.key == right.key) & (left.src < right.dst) & (left.component != right.other)).select("src", "dst").distinct()
-    tried = first.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    more = written(more.join(tried, ["src", "dst"], "left_anti"), "shingle-more")
+    more = written(more.join(first, ["src", "dst"], "left_anti"), "shingle-more")
     if not more.isEmpty():
-        comps = connected_components(links.unionByName(_similar(more, nodes, similarity)), "shingle-stars")
-    return rows.join(comps, "node", "left").select("id", "rk", F.coalesce("component", "node").alias("component"))
+        comps = connected_components(found.unionByName(_similar(more, rows, similarity)), "shingle-stars")
+    return rows.select("id", "rk", "node").join(comps, "node", "left").select("id", "rk", F.coalesce("component", "node").alias("component"))
+
+
+def _by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes whose fingerprints meet by Golay keys: a fingerprint's least node with its others and with those of near fingerprints."""
+    prints = written(rows.select("fp", "node").distinct(), "shingle-prints")
+    least = written(prints.groupBy("fp").agg(F.min("node").alias("src")), "shingle-print-least")
+    same = prints.join(least, "fp").where("src <> node").select("src", F.col("node").alias("dst"))
+    near = links(least.select("fp")).toDF("a", "b")
+    met = near.join(least.toDF("a", "src"), "a").join(least.toDF("b", "dst"), "b").select("src", "dst")
+    return same.unionByName(met)

@@ -17,7 +17,6 @@ node before the join, so groups of copies cost nothing there.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, tidy, worker_cache, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, width)
 MAX_BITS = 2  # what the three cyclic segment pairs guarantee
@@ -47,7 +46,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)]
@@ -64,10 +67,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["id", "fp"])
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
-@lru_cache(maxsize=1)
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(syndrome of each 23-bit word's high and low part, nearest error pattern by syndrome, the distance-four patterns).
 
@@ -96,7 +98,7 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def golay_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest codeword index of each 23-bit word, and an [n, 6] array of all its keys (-1: none)."""
-    rem, leader, wide = golay_tables()
+    rem, leader, wide = worker_cache("golay", golay_tables)
     s = rem[words]
     near = (words ^ leader[s]) >> 11
     more = np.where(wide[s] < 0, -1, (words[:, None] ^ wide[s]) >> 11)
@@ -129,7 +131,7 @@ def _key_rows(fps: DataFrame, probe: bool) -> DataFrame:
                 k, o = _keys(b.column(0).to_numpy(zero_copy_only=False), probe)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(o)], names=["key", "fp"])
 
-    return fps.mapInArrow(run, "key long, fp long")
+    return fps.mapInArrow(tidy(run, caches=True), "key long, fp long")
 
 
 def _finer(rows: DataFrame) -> DataFrame:
@@ -193,3 +195,14 @@ def near_duplicate_classes(
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_fp = named.join(ids, "component").select("fp", "component_id")
     return prints.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, rk, component): classes over links of at least ``similarity`` between sets of shingles, one row per input row.
+
+    Fingerprints within two bits meet by their Golay keys, all others by the verified banding of ``shingle_dedup``, which
+    tells why keys of single errors don't reach that far.
+    """
+    from .shingle_dedup import near_duplicate_classes as banded
+
+    return banded(docs, id_col, text_col, shingle, similarity)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 FEATURE_BITS = 20
 #: Texts of the training sample, chosen by a hash of the id: the bound on what fitting gathers.
@@ -54,7 +54,7 @@ def featurised(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFrame
             yield pa.RecordBatch.from_arrays(b.columns[1:] + [pa.array(got, pa.list_(pa.int32()))], names=[*keep, "features"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(text_col, *keep).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["features array<int>"]))
+    return docs.select(text_col, *keep).mapInArrow(tidy(run), ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["features array<int>"]))
 
 
 @dataclass
@@ -138,7 +138,7 @@ def train(
             got = [np.sort(x[np.isin(x, names)]) for x in (np.asarray(v.values) for v in b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["positive", "features"])
 
-    rows = [(bool(r["positive"]), np.array(r["features"], np.int64)) for r in seen.mapInArrow(only, seen.schema).toArrow().to_pylist()]
+    rows = [(bool(r["positive"]), np.array(r["features"], np.int64)) for r in seen.mapInArrow(tidy(only), seen.schema).toArrow().to_pylist()]
     # in one order, so that fitting doesn't depend on which task ended first
     rows.sort(key=lambda r: r[1].tobytes())
     return fit([f for p, f in rows if p], [f for p, f in rows if not p], names, prior)
@@ -176,4 +176,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *keep: str) ->
             yield pa.RecordBatch.from_arrays(b.columns[1:] + [pa.array(1 / (1 + np.exp(-z)))], names=[*keep, "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(F.col(text_col), *keep).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["score double"]))
+    return docs.select(F.col(text_col), *keep).mapInArrow(tidy(run), ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["score double"]))
