@@ -7,9 +7,9 @@ continuations. Each order's table is held in a sorted array of the grams themsel
 has, the interpolated probabilities of all languages are worked out beforehand; a gram that
 none has takes its context's back-off weight and the next shorter gram.
 
-The language of the lowest cross-entropy per character wins. A text whose cross-entropy lies above
-what the training texts of that language show (mean and ``REJECT`` standard deviations) is marked
-rejected; ``score`` is the probability among the languages at a fixed temperature.
+The language of the lowest cross-entropy per character wins. Rejection is calibrated on texts whose grams aren't counted, one in
+``CALIBRATION_MOD`` by a hash of id and text: a text is marked rejected if its cross-entropy lies above
+that of all but ``REJECT`` of them in the language, with some room for few texts; ``score`` is the probability among the languages at a fixed temperature.
 """
 
 from __future__ import annotations
@@ -26,33 +26,44 @@ from pyspark.sql import functions as F
 from .common import tidy, written
 
 ORDER = 4
-#: Training texts, chosen by a hash of the id, whose cross-entropies calibrate rejection.
-CALIBRATION_SAMPLE = 4_000
-REJECT = 6.0
+#: One in so many texts calibrates rejection and isn't counted, but where a language would be left without counts; their number grows with the corpus.
+CALIBRATION_MOD = 32
+#: Share of a language's own texts that calibration lets be rejected, and nats added to its limit.
+REJECT, ROOM = 0.005, 0.1
 #: Characters that the softmax counts as independent.
 TEMPERATURE = 20.0
 #: Characters of texts worked on at once.
 CHUNK = 1 << 20
 
-_letters: np.ndarray | None = None
+_letters: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _letter_table() -> np.ndarray:
-    """Whether each UTF-16 unit belongs to a word: letters, marks and halves of characters beyond the first plane."""
+def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter, and whether it belongs to a word, as marks do too."""
     global _letters
     if _letters is None:
         import unicodedata
 
-        _letters = np.array([unicodedata.category(chr(i))[0] in "LM" or 0xD800 <= i < 0xE000 for i in range(1 << 16)])
+        kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
+        _letters = np.array([k == "L" for k in kinds]), np.array([k in "LM" for k in kinds])
     return _letters
 
 
 def units(text: str | None) -> np.ndarray:
-    """The text's units: letters, one space for each run of others, ORDER - 1 spaces before and one after; empty without letters."""
-    raw = np.frombuffer((text or "").lower().encode("utf-16-le", "surrogatepass"), "<u2")
-    ok = _letter_table()[raw]
-    if not ok.any():
-        return np.zeros(0, np.uint64)
+    """The text's units: letters and marks, one space for each run of others, ORDER - 1 spaces before and one after; empty without letters."""
+    low = (text or "").lower()
+    raw = np.frombuffer(low.encode("utf-16-le", "surrogatepass"), "<u2")
+    letters, words = _letter_tables()
+    half = (raw >= 0xD800) & (raw < 0xE000)
+    ok = words[raw]
+    if not half.any():
+        if not letters[raw].any():
+            return np.zeros(0, np.uint64)
+    else:
+        points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+        if not letters[points].any():
+            return np.zeros(0, np.uint64)
+        ok = np.repeat(words[points], np.where(points > 0xFFFF, 2, 1))
     body = np.where(ok, raw, 32)
     keep = ok.copy()
     keep[1:] |= ok[:-1]
@@ -147,8 +158,17 @@ def _at(where: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tables:
-    """Tables from the whole texts of all rows whose language is not null; without any, tables of no language."""
-    counts = written(count_grams(docs, text_col, lang_col), "lm-4")
+    """Tables from the whole texts of all rows whose language is not null, but those that calibrate; without any, tables of no language.
+
+    Languages of which every text would calibrate are counted all the same and reject nothing, as do those whose
+    calibrating texts are all taken for others. Null texts and texts without letters count nothing.
+    """
+    known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col), F.col(text_col), F.col(lang_col).cast("string").alias("lang"))
+    aside = F.pmod(F.xxhash64(id_col, text_col), F.lit(CALIBRATION_MOD)) == 0
+    spread = [r.lang for r in known.groupBy("lang").agg(F.count_if(~aside).alias("n")).where("n > 0").collect()]
+    aside = aside & F.col("lang").isin(spread)
+    calibrating = known.where(aside)
+    counts = written(count_grams(known.where(~aside), text_col, "lang"), "lm-4")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     tables, lower = {ORDER: counts}, counts
     for n in range(ORDER - 1, 0, -1):
@@ -172,11 +192,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         p = np.maximum(c - d, 0) / np.maximum(tot, 1) + lam * base
         out.grams[n] = key, np.log(p).astype(np.float32)
         out.backoff[n] = x, np.log(np.clip(weight, 1e-12, None)).astype(np.float32)
-    sample = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), text_col, F.col(lang_col).cast("string").alias("lang"))
-    ids = F.broadcast(sample.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_SAMPLE))
-    own = predict(sample.join(ids, "id").select(text_col, "lang"), out, text_col, "lang").where("lang_pred = lang").groupBy("lang")
-    for r in own.agg(F.avg("cross_entropy").alias("m"), F.coalesce(F.stddev("cross_entropy"), F.lit(0.1)).alias("s")).collect():
-        out.limits[langs.index(r.lang)] = r.m + REJECT * max(r.s, 0.02)
+    limit = F.percentile_approx("cross_entropy", 1 - REJECT, 10_000)
+    for r in predict(calibrating, out, text_col, "lang").where("lang_pred = lang").groupBy("lang").agg(limit.alias("m")).collect():
+        out.limits[langs.index(r.lang)] = r.m + ROOM
     return out
 
 

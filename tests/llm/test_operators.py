@@ -447,7 +447,7 @@ def test_urls(spark):
 def test_learned_verdicts_beat_a_constant_where_rules_are_hidden(spark):
     rng = random.Random(9)
     rows = []
-    for n in range(400):
+    for n in range(900):
         tld, lang = rng.choice(("net", "com")), rng.choice(("en", "de", "es", "fr"))
         rows.append((n, f"http://s{n % 12}.example.{tld}/{lang}/{n}{rng.choice(('', '.html', '/'))}"))
     pages = spark.createDataFrame(rows, "page_id long, url string")
