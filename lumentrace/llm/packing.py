@@ -183,22 +183,22 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[i
 
 
 def crossover(receiver: list[list[int]], donor: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """The donor's well-filled bins, the receiver's bins without pieces of these, and the rest best-fitted."""
-    good = [b for b in donor if sum(lengths[x] for x in b) >= WELL_FILLED * capacity]
-    injected = [b for b in good if rng.random() < 0.5]
+    """A share of the donor's well-filled bins, the receiver's bins without pieces of these, and the rest best-fitted.
+
+    Of the receiver's poorly filled bins the emptiest are dealt anew too (mutation). The displaced go by falling
+    length, more or less strictly: strictly they would meet in the same bins again.
+    """
+    fill = lambda b: sum(lengths[x] for x in b)
+    well = WELL_FILLED * capacity
+    share, again, loose = rng.choice((0.3, 0.6, 0.9)), rng.choice((0.05, 0.1, 0.25)), rng.choice((0.0, 0.2, 0.5))
+    injected = [b for b in donor if fill(b) >= well and rng.random() < share]
     taken = {x for b in injected for x in b}
-    kept, displaced = [], []
-    for b in receiver:
-        if taken.isdisjoint(b):
-            kept.append(b)
-        else:
-            displaced += [x for x in b if x not in taken]
-    if kept and rng.random() < 0.9:  # mutation: the emptiest bins of those kept are dealt anew
-        kept.sort(key=lambda b: sum(lengths[x] for x in b))
-        n = max(1, len(kept) // 20)
-        displaced += [x for b in kept[:n] for x in b]
-        kept = kept[n:]
-    return best_fit(lengths, sorted(displaced, key=lambda x: -lengths[x]), capacity, injected + kept)
+    free = [b for b in receiver if taken.isdisjoint(b)]
+    poor = sorted((i for i, b in enumerate(free) if fill(b) < well), key=lambda i: fill(free[i]))[: 1 + int(len(free) * again)]
+    displaced = [x for b in receiver if not taken.isdisjoint(b) for x in b if x not in taken] + [x for i in poor for x in free[i]]
+    anew = set(poor)
+    kept = [b for i, b in enumerate(free) if i not in anew]
+    return best_fit(lengths, sorted(displaced, key=lambda x: -lengths[x] * rng.uniform(1 - loose, 1 + loose)), capacity, injected + kept)
 
 
 def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int, population: int) -> tuple[list[int], int]:
@@ -217,16 +217,17 @@ def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[int]]
         people.append(bins)
     if not people:
         people.append(best_fit(lengths, list(range(len(lengths))), capacity))
-    best, ran = max(people, key=key), 0
-    if len(best) > floor:
+    ran = 0
+    if max(map(len, people), default=0) > floor:
         while len(people) < population:
             noisy = sorted(range(len(lengths)), key=lambda x: -lengths[x] * rng.uniform(0.8, 1.2))
             people.append(best_fit(lengths, noisy, capacity))
-        while ran < generations and len(best) > floor:
-            people.sort(key=key, reverse=True)
+        people.sort(key=key, reverse=True)
+        while ran < generations and len(people[0]) > floor:
             a, b = rng.sample(people, 2)
-            people = people[: population - 2] + [crossover(people[0], b, lengths, capacity, rng), crossover(a, people[0], lengths, capacity, rng)]
-            best, ran = max([best, *people], key=key), ran + 1
+            children = [crossover(people[0], b, lengths, capacity, rng), crossover(a, people[0], lengths, capacity, rng)]
+            people, ran = sorted(people + children, key=key, reverse=True)[:population], ran + 1
+    best = people[0] if ran else max(people, key=key)
     genes = [0] * len(lengths)
     for at, b in enumerate(best):
         for x in b:
