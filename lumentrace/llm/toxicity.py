@@ -83,31 +83,33 @@ class _Rows:
         return np.bincount(self.col, g[self.row], self.k)
 
 
+def gradient(p: _Rows, u: _Rows, w: np.ndarray, b: float, prior: float) -> tuple[np.ndarray, float, float]:
+    """(by weight, by bias, the corrected negative part) of the risk; of that part reversed where it is below zero."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    fp, fu = p.times(w) + b, u.times(w) + b
+    negative = (np.logaddexp(0, fu).mean() if u.n else 0.0) - prior * np.logaddexp(0, fp).mean()
+    as_toxic, as_harmless, unlabelled = prior * (sigmoid(fp) - 1) / p.n, prior * sigmoid(fp) / p.n, sigmoid(fu) / max(1, u.n)
+    on_p, on_u = (as_toxic - as_harmless, unlabelled) if negative >= 0 else (as_harmless, -unlabelled)
+    return p.back(on_p) + u.back(on_u), float(on_p.sum() + on_u.sum()), float(negative)
+
+
 def fit(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.5, l1: float = 1e-5
 ) -> Model:
-    """Minimises the non-negative risk over the features ``names`` (sorted) by proximal steps with per-weight scaled gradients."""
+    """Minimises the non-negative risk over the features ``names`` (sorted) by proximal steps with per-weight scaled gradients.
+
+    Without positive texts all scores are the same and low.
+    """
     if not positive:
         return Model({}, -3.0)
     p, u = _Rows(positive, names), _Rows(unlabelled, names)
     w, b = np.zeros(len(names)), -2.0
     seen, seen_b = np.full(len(names), 1e-8), 1e-8
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for _ in range(rounds):
-        fp, fu = p.times(w) + b, u.times(w) + b
-        as_negative = np.logaddexp(0, fu).mean() if u.n else 0.0
-        negative = as_negative - prior * np.logaddexp(0, fp).mean()
-        gp, gu = sigmoid(fp) / p.n, sigmoid(fu) / max(1, u.n)
-        up = prior * (sigmoid(fp) - 1) / p.n  # gradient of the positive part
-        if negative >= 0:
-            on_p, on_u = up - prior * gp, gu
-        else:
-            on_p, on_u = prior * gp, -gu
-        g, gb = p.back(on_p) + u.back(on_u), on_p.sum() + on_u.sum()
+        g, gb, _ = gradient(p, u, w, b, prior)
         seen += g * g
         seen_b += gb * gb
-        step = rate / np.sqrt(seen)
-        w = np.maximum(0, w - step * (g + l1))
+        w = np.maximum(0, w - rate / np.sqrt(seen) * (g + l1))
         b -= rate * gb / np.sqrt(seen_b)
     return Model({int(n): float(x) for n, x in zip(names, w) if x > 0}, float(b))
 
@@ -119,7 +121,8 @@ def train(
     """A model from the texts of ``docs`` that ``labels`` marks toxic and from texts of ``docs`` at large, both as bounded samples.
 
     ``prior`` is the share of toxic texts; by default that among the labelled ids. An id counts as
-    toxic if any of its label rows says so. Without positive texts every score is the same and low.
+    toxic if any of its label rows says so. Without positive texts, as in empty tables, every score is the same and low. Rows
+    with a null id can't be chosen; null texts count as empty.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(id_col).agg(F.max(toxic_col).alias("t"))
     by_hash = lambda df, n: df.orderBy(F.xxhash64(id_col), id_col).limit(n)
@@ -155,7 +158,7 @@ def telling(sample: DataFrame) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", *keep: str) -> DataFrame:
-    """(keep..., score double): the probability that each whole text is toxic; null texts count as empty."""
+    """(keep..., score double): the probability that each whole text is toxic; null texts count as empty, repeated rows stay, an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
