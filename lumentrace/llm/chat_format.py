@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import tidy
 
 #: What stands before and after the escaped text of a role's turn.
 MARKS = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n")}
@@ -105,44 +105,57 @@ def expanded(formatted: DataFrame) -> DataFrame:
     return met.groupBy("conv_id", "example", F.col("target_start").alias("loss_start"), F.col("target_stop").alias("loss_stop")).agg(whole.alias("text"))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation: turns parsed from the rendered text and digests of turns and of the text under the loss spans."""
+def read_back(formatted: DataFrame, told: DataFrame) -> DataFrame:
+    """Per conversation: turns parsed from the rendered text, and digests of turns and of the text under the loss spans of ``told`` (``examples``).
+
+    A conversation's text is streamed in order with each example behind the turn that holds its target, so that its context is
+    all that has passed; one whose context doesn't end where its target's turn begins, or that has none, fails.
+    """
     kind = dict(formatted.dtypes)["conv_id"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state = object(), None
+        conv, state, start, turn = object(), None, 0, ""
         done: list[tuple] = []
 
         def close() -> None:
             if state:
-                n, all_turns, chars, loss, size = state
+                n, all_turns, chars, loss, size, _ = state
                 done.append((conv, n, all_turns.hexdigest(), chars, loss.hexdigest(), size))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*done)) or [()] * 6
             kinds = [first, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            got = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            got = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names=names)
             done.clear()
             return got
 
         for b in batches:
             first = b.column(0).type
-            for c, rendered, start, lo, hi in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+            for c, at, example, rendered, stop, context in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if c != conv or state is None:
                     close()
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parse(rendered)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if lo is not None:
-                    masked = unescape(rendered[lo - start : hi - start])
+                    conv, state, start, turn = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], 0, ""
+                if example is None:
+                    role, text = parse(rendered)
+                    start, turn = at, rendered
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                    state[4] += len(rendered)
+                else:
+                    if context != start or not start <= at <= stop <= start + len(turn) or example != state[5] or parse(turn)[0] != "assistant":
+                        raise ValueError("an example doesn't fit its conversation")
+                    masked = unescape(turn[at - start : stop - start])
                     state[2] += len(masked)
                     state[3].update(masked.encode("utf-8", "surrogatepass"))
-                state[4] += len(rendered)
+                    state[5] += 1
             yield flush()
         if state:
             close()
             yield flush()
 
-    rows = formatted.select("conv_id", "seq", "rendered", "start", "target_start", "target_stop").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    none = lambda t: F.lit(None).cast(t)
+    text = formatted.select("conv_id", F.col("start").alias("at"), none("long").alias("example"), "rendered", "stop", none("long").alias("context"))
+    spans = told.select("conv_id", F.col("target_start").alias("at"), "example", none("string").alias("rendered"), F.col("target_stop").alias("stop"), F.col("context_stop").alias("context"))
+    rows = text.unionByName(spans).repartition("conv_id").sortWithinPartitions("conv_id", "at", F.asc_nulls_first("example"))
     return rows.mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -51,12 +51,13 @@ def _document_pieces(docs: DataFrame, tokenizer_path: str | None = None) -> Data
 
 def op9_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted, written and read back."""
-    from .chat_format import format_turns, read_back
+    from .chat_format import examples, format_turns, read_back
 
     hard = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return read_back(written(format_turns(turns), "chat-formatted"))
+    formatted = written(format_turns(turns), "chat-formatted")
+    return read_back(formatted, written(examples(formatted), "chat-examples"))
 
 
 def op3_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,7 +255,7 @@ def test_packing_parts(spark):
     assert floor <= len(packing.best_fit(lengths, list(range(300)), 100)) and floor >= -(-sum(lengths) // 100)
     assert packing.lower_bound(np.array([60] * 10), 100) == 10
     hard = sorted([51, 27, 26, 23, 23, 50, 34, 16] * 12, reverse=True)
-    genes = packing.evolve(hard, 100, 1, [], 5, 4)
+    genes, _ = packing.evolve(hard, 100, 1, [], 5, 4)
     load = Counter()
     for x, at in zip(hard, genes):
         load[at] += x
@@ -265,6 +265,38 @@ def test_packing_parts(spark):
     assert sorted(x for c in child for x in c) == list(range(len(hard))) and all(sum(hard[x] for x in c) <= 100 for c in child)
 
 
+def test_crossover_and_migration_close_the_gap_that_best_fit_leaves(spark):
+    rng = random.Random(11)
+    lengths = ([51, 26, 23] * 6 + [27, 27, 23, 23] * 3) * 4  # 36 full bins; best fit puts 27 to 51 and needs 44
+    rng.shuffle(lengths)
+    d = spark.createDataFrame(list(enumerate(lengths)), "item long, length int").withColumn("shard", F.lit("clash"))
+    plain = len(packing.best_fit(sorted(lengths, reverse=True), list(range(len(lengths))), 100))
+    starts = min(max(packing.evolve(sorted(lengths, reverse=True), 100, i, [], 0, 40)[0]) + 1 for i in range(2))
+    told = []
+    got = packing.pack(d, 100, told=told, epochs=6)
+    rows = got.collect()
+    assert got.columns == ["item", "length", "shard", "sequence_id", "offset"] and Counter(r["item"] for r in rows) == Counter(range(len(lengths)))
+    t = told[0].collect()[0]
+    assert t.best_fit == plain == 44 and t.floor == 36 and t.generations > 0 and t.migrations > 0
+    assert t.n_bins <= 38 and t.n_bins < starts  # better than best fit of as many random orders
+    assert len({r.sequence_id for r in rows}) == t.n_bins
+
+
+def test_equal_rows_spread_at_every_level(spark):
+    d = spark.range(600).select(F.lit(7).alias("doc_id"), F.lit(60).cast("long").alias("length"))
+    told = []
+    assert packing.pack(d.repartition(3), 100, shard=50, told=told).count() == 600
+    sizes = [[r["count"] for r in spark.read.parquet(x).select(F.size("items").alias("count")).collect()] for x in _shard_files(spark)]
+    assert len(told) > 1 and all(max(s) <= 4 * 50 for s in sizes[-len(told) :])
+
+
+def _shard_files(spark):
+    from pathlib import Path
+
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return [str(p) for p in sorted(root.glob("lumentrace-pack-shards-*"), key=lambda p: p.stat().st_mtime)]
+
+
 def test_pieces_and_sequences(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -326,6 +358,33 @@ def test_toxicity(spark):
     assert {round(r.score, 3) for r in toxicity.score(d.limit(3), none, "text").collect()} == {0.047} and toxicity.score(d.limit(0), model, "text").count() == 0
 
 
+def risk(p, u, names, w, b, prior):
+    """The non-negative risk, text by text."""
+    at = {n: i for i, n in enumerate(names)}
+    f = lambda x: sum(w[at[i]] for i in x if i in at) + b
+    loss = lambda z: float(np.log1p(np.exp(-abs(z))) + max(0.0, -z))  # noqa: E731  of a positive one
+    plus, minus = np.mean([loss(f(x)) for x in p]), np.mean([loss(-f(x)) for x in p])
+    rest = np.mean([loss(-f(x)) for x in u]) - prior * minus
+    return prior * plus + max(0.0, rest), rest
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.7])
+def test_steps_follow_the_gradient_of_the_risk(prior):
+    rng = np.random.default_rng(2)
+    names = np.arange(12)
+    p = [np.sort(rng.choice(12, 4, replace=False)) for _ in range(15)]
+    u = [np.sort(rng.choice(12, 3, replace=False)) for _ in range(40)]
+    w, b = rng.random(12), -0.5
+    g, gb, rest = toxicity.gradient(toxicity._Rows(p, names), toxicity._Rows(u, names), w, b, prior)
+    whole, want_rest = risk(p, u, names, w, b, prior)
+    assert abs(rest - want_rest) < 1e-9
+    part = (lambda w, b: risk(p, u, names, w, b, prior)[0]) if rest >= 0 else (lambda w, b: -risk(p, u, names, w, b, prior)[1])  # below zero the step undoes
+    for i in range(12):
+        e = np.eye(12)[i] * 1e-6
+        assert abs((part(w + e, b) - part(w - e, b)) / 2e-6 - g[i]) < 1e-6
+    assert abs((part(w, b + 1e-6) - part(w, b - 1e-6)) / 2e-6 - gb) < 1e-6
+
+
 def test_non_negative_risk_does_not_overfit():
     p = [np.array([1, 2]), np.array([1, 3])] * 20
     u = [np.array([2]), np.array([3]), np.array([4])] * 60 + p[:20]
@@ -384,7 +443,7 @@ def test_chat(spark):
     rows += [(7, i, ("user", "assistant")[i % 2], f"turn {i} " * 20) for i in range(400)]
     d = spark.createDataFrame([(c, t, r, x, 1) for c, t, r, x in rows], "conv_id long, turn long, role string, text string, seq int")
     done = chat_format.format_turns(d)
-    got = {r.conv_id: r for r in chat_format.read_back(done).collect()}
+    got = {r.conv_id: r for r in chat_format.read_back(done, chat_format.examples(done)).collect()}
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((-1 if t is None else t, r or "", x or ""))
@@ -397,7 +456,13 @@ def test_chat(spark):
     ex = {(r.conv_id, r.example): r for r in chat_format.expanded(done.where("conv_id in (-1, 2)")).collect()}
     assert len(ex) == 4 and all(chat_format.unescape(r.text[r.loss_start : r.loss_stop]) in (hard, "b", "a\\<|x|>") for r in ex.values())
     assert ex[2, 2].text.startswith(ex[2, 0].text) and chat_format.examples(done).where("conv_id = 7").count() == 200
-    assert chat_format.read_back(chat_format.format_turns(d.limit(0))).count() == 0
+    none = chat_format.format_turns(d.limit(0))
+    assert chat_format.read_back(none, chat_format.examples(none)).count() == 0
+    moved = chat_format.examples(done).withColumn("context_stop", F.col("context_stop") + 1)
+    with pytest.raises(Exception, match="doesn't fit"):
+        chat_format.read_back(done, moved).collect()
+    named = chat_format.format_turns(d.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string"))))
+    assert chat_format.read_back(named, chat_format.examples(named)).count() == len(by)
 
 
 def test_search(spark):
