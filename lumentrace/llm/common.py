@@ -29,9 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+#: Rows that go to Python at once, at most: documents are long.
+BATCH_ROWS = 1_000
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str, scope: str | None = None) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: a lost executor costs no recomputation."""
+    """``df`` as Parquet in the shared folder, read again: a lost executor costs no recomputation.
+
+    Lowers the session's Arrow batches to ``BATCH_ROWS`` where they are larger.
+    """
     spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_BATCHES)) <= BATCH_ROWS:
+        spark.conf.set(_BATCHES, str(BATCH_ROWS))
     path = f"{shared_dir(spark)}/{_SCOPE[-1] if scope is None else scope}lumentrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
