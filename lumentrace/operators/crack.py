@@ -7,8 +7,10 @@ words a transposition is never accepted and without bigrams that gate is skipped
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import permutations
 
 import pandas as pd
@@ -28,6 +30,37 @@ _SETS = {c: frozenset(w) for c, (_, w) in PROFILES.items()}
 COLUMNAR_WORDS = "KEY CODE SECRET PASSWORD CRYPTO ENCRYPT ALPHA ZEBRA ROYAL MATRIX CIPHER SIMPLE ABCD XYZ CBA".split()
 
 
+_STOP = {w: tuple(c for c in _SETS if w in _SETS[c]) for c in _SETS for w in _SETS[c]}
+#: Letters whose lower case has a letter of a to z that they aren't.
+_ODD = re.compile("[\u0130\u212a]")
+
+
+def _shifted_stopwords() -> dict[str, list[tuple[int, str]]]:
+    """Word -> (trial, language) wherever the word is a stopword's cipher text: trials 1 to 25 by Caesar's shift, 0 by mirrored letters."""
+    got = defaultdict(list)
+    for w, langs in _STOP.items():
+        for trial in range(26):
+            coded = C.caesar(w, trial) if trial else C.encode("atbash", w)
+            got[coded] += [(trial, c) for c in langs]
+    return dict(got)
+
+
+_CODED = _shifted_stopwords()
+
+
+def likely_shifts(text: str, floor: float) -> list[int]:
+    """Trials whose plain text's best stopword score reaches ``floor``: the text is split into words once and the stopwords are shifted instead."""
+    if _ODD.search(text):
+        return list(range(26))
+    words = Counter(_LETTERS.findall(text.lower()))
+    sums: Counter[tuple[int, str]] = Counter()
+    for w, k in words.items():
+        for at in _CODED.get(w, ()):
+            sums[at] += k
+    n = words.total()
+    return sorted({trial for (trial, _), k in sums.items() if k / n >= floor})
+
+
 @dataclass(frozen=True)
 class LanguageData:
     """Words for transpositions and, by language, known bigrams; both may be empty."""
@@ -86,7 +119,7 @@ def _numbers(text: str) -> list[int]:
 
 def _coincidence(column: list[int]) -> float:
     n = len(column)
-    return sum(k * (k - 1) for k in (column.count(x) for x in set(column))) / (n * (n - 1)) if n > 1 else 0.0
+    return sum(k * (k - 1) for k in Counter(column).values()) / (n * (n - 1)) if n > 1 else 0.0
 
 
 def key_length(letters: list[int]) -> int | None:
@@ -101,7 +134,7 @@ def key_length(letters: list[int]) -> int | None:
 
 
 def _column_key(column: list[int], plain: Callable[[int, int], int]) -> int:
-    counts = [column.count(x) for x in range(26)]
+    counts = Counter(column)
     shifted = lambda k: [counts[plain(k, x)] for x in range(26)]
     return min(range(26), key=lambda k: _chi(shifted(k)))
 
@@ -120,25 +153,106 @@ def beaufort_key(text: str) -> str | None:
     if not n:
         return None
     key = [_column_key(letters[i::n], lambda k, x: (k - x) % 26) for i in range(n)]
-    score = lambda k: language(C.beaufort(text, "".join(chr(65 + x) for x in k)))[2]
-    best, moved = score(key), True
+    words = _PlacedWords(text, n, key)
+    moved = True
     while moved:
         moved = False
         for i in range(n):
-            for x in range(26):
-                trial = key[:i] + [x] + key[i + 1 :]
-                if x != key[i] and (s := score(trial)) > best:
-                    key, best, moved = trial, s, True
-    return "".join(chr(65 + x) for x in key)
+            scores = words.scores(i)
+            if max(scores) > words.best:
+                words.change(i, scores.index(max(scores)))
+                moved = True
+    return "".join(chr(65 + x) for x in words.key)
+
+
+@lru_cache(maxsize=16)
+def _gapped(n: int) -> dict[str, list[tuple[str, tuple[str, ...]]]]:
+    """Stopwords with every n-th letter, from each of the first n on, left out: pattern -> (letters left out, languages)."""
+    got = defaultdict(list)
+    for w, langs in _STOP.items():
+        at = [k for k, c in enumerate(w) if "a" <= c <= "z"]
+        for r in range(min(n, len(at))):
+            out = at[r::n]
+            got["".join("?" if k in out else c for k, c in enumerate(w))].append(("".join(w[k] for k in out), langs))
+    return dict(got)
+
+
+class _PlacedWords:
+    """A text's words with the places of their letters under a key of ``n``, and the stopword score of the plain text.
+
+    For one place of the key all 26 letters are scored at once: a word whose other letters fit a stopword tells which letter it wants.
+    Words of equal letters at equal places are counted once.
+    """
+
+    def __init__(self, text: str, n: int, key: list[int]):
+        at, kinds = 0, Counter()
+        for w in _LETTERS.findall(text.lower()):
+            kinds[w, at % n] += 1
+            at += sum("a" <= c <= "z" for c in w)
+        self.n, self.key, self.total = n, list(key), kinds.total()
+        self.words, self.gaps = list(kinds.items()), _gapped(n)
+        self.meets: list[list[int]] = [[] for _ in range(n)]
+        for j, ((w, start), _) in enumerate(self.words):
+            for k in range(min(n, sum("a" <= c <= "z" for c in w))):
+                self.meets[(start + k) % n].append(j)
+        self.hits = [_STOP.get(self._plain(j)[0], ()) for j in range(len(self.words))]
+        self.sums = Counter()
+        for j in range(len(self.words)):
+            self._count(self.sums, j, 1)
+        self.best = self._score(self.sums)
+
+    def _plain(self, j: int, gap: int | None = None) -> tuple[str, str]:
+        """A word's plain text with letters at the key's place ``gap`` left out, and their cipher letters."""
+        (w, at), out, left = self.words[j][0], [], []
+        for c in w:
+            if "a" <= c <= "z":
+                i = at % self.n
+                if i == gap:
+                    left.append(c)
+                    c = "?"
+                else:
+                    c = chr(97 + (self.key[i] - ord(c) + 97) % 26)
+                at += 1
+            out.append(c)
+        return "".join(out), "".join(left)
+
+    def _count(self, sums: dict[str, int], j: int, sign: int) -> None:
+        for c in self.hits[j]:
+            sums[c] = sums.get(c, 0) + sign * self.words[j][1]
+
+    def _score(self, sums: dict[str, int]) -> float:
+        return max(sums.get(c, 0) for c in _SETS) / self.total if self.total else 0.0
+
+    def scores(self, i: int) -> list[float]:
+        """The score with each letter at the key's place ``i``."""
+        rest, gains = dict(self.sums), [Counter() for _ in range(26)]
+        for j in self.meets[i]:
+            self._count(rest, j, -1)
+            pattern, coded = self._plain(j, i)
+            for letters, langs in self.gaps.get(pattern, ()):
+                wanted = {(ord(p) + ord(c) - 194) % 26 for p, c in zip(letters, coded)}
+                if len(wanted) == 1:
+                    for lang in langs:
+                        gains[min(wanted)][lang] += self.words[j][1]
+        return [self._score({c: rest.get(c, 0) + g[c] for c in _SETS}) for g in gains]
+
+    def change(self, i: int, letter: int) -> None:
+        self.key[i] = letter
+        for j in self.meets[i]:
+            self._count(self.sums, j, -1)
+            self.hits[j] = _STOP.get(self._plain(j)[0], ())
+            self._count(self.sums, j, 1)
+        self.best = self._score(self.sums)
 
 
 def digraph_distance(text: str) -> float:
     low = text.lower()
-    pairs = [p for p in (low[i : i + 2] for i in range(len(low) - 1)) if "a" <= p[0] <= "z" and "a" <= p[1] <= "z"]
-    if len(pairs) < FEW_PAIRS:
+    pairs = Counter(p for p in map("".join, zip(low, low[1:])) if "a" <= p[0] <= "z" and "a" <= p[1] <= "z")
+    n = pairs.total()
+    if n < FEW_PAIRS:
         return NO_SCORE
-    expected = {p: DIGRAPH_SHARE.get(p, FLOOR_SHARE) / 10000 * len(pairs) for p in set(pairs)}
-    return sum((pairs.count(p) - e) ** 2 / e for p, e in sorted(expected.items()))
+    expected = {p: DIGRAPH_SHARE.get(p, FLOOR_SHARE) / 10000 * n for p in pairs}
+    return sum((pairs[p] - e) ** 2 / e for p, e in sorted(expected.items()))
 
 
 def coverage(text: str, words: frozenset[str]) -> float:
@@ -187,8 +301,10 @@ def transpositions(text: str, words: frozenset[str]) -> Iterator[dict]:
 
 def crack(text: str, data: LanguageData = LanguageData(), boost: Callable[[str], float] | None = None) -> dict | None:
     """The most confident plain text over all methods, the earlier of equals (CRK-16)."""
-    trials: list[tuple[str, str, str]] = [("caesar", str(n), C.caesar(text, -n)) for n in range(1, 26)]
-    trials.append(("atbash", "", C.decode("atbash", text)))
+    likely = likely_shifts(text, SURE)
+    trials: list[tuple[str, str, str]] = [("caesar", str(n), C.caesar(text, -n)) for n in likely if n]
+    if 0 in likely:
+        trials.append(("atbash", "", C.decode("atbash", text)))
     if k := vigenere_key(text):
         trials.append(("vigenere", k, C.vigenere(text, k, -1)))
     if k := beaufort_key(text):
