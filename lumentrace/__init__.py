@@ -1 +1 @@
-"""Spark-native forensic text and file analytics."""
+"""Spark-native text and file analytics."""

@@ -16,18 +16,16 @@ LETTER_SHARE = dict(
 )
 #: English digraphs per 10,000, in falling order but for the last two.
 DIGRAPH_SHARE = {
-    p: int(n)
-    for p, n in (
-        x.split(":")
-        for x in (
-            "th:307 he:269 in:225 er:204 an:197 re:171 on:159 at:147 en:144 nd:139 ti:138 es:134 or:131 te:128 of:125 ed:120 is:116 it:113 al:110 ar:108 "
-            "st:105 to:104 nt:102 ng:99 se:98 ha:98 as:96 ou:94 io:91 le:89 ve:87 co:86 me:84 de:82 hi:80 ri:79 ro:79 ic:78 ne:76 ea:74 ra:73 ce:72 li:71 "
-            "ch:69 ll:68 be:67 ma:66 si:65 om:64 ur:63 ca:62 el:61 ta:60 la:59 ns:58 di:58 fo:58 ho:57 pe:57 ec:56 pr:56 no:55 ct:55 us:55 ac:52 od:51 "
-            "cc:51 tr:50 il:50 ly:50 nc:49 ut:49 ru:48 em:48 lu:47 bo:47 yo:46 so:46 op:45 na:43 pa:42 do:41 im:40 ba:40 wa:39 ge:39 sa:38 sl:38 cr:37 "
-            "su:37 sp:37 fi:35 cl:35 ft:33 oi:33 am:32 ry:31 mt:29 tt:29 wh:29 id:28 wn:27 ke:27 da:27 rd:26 pl:26 fe:25 ds:25 pi:25 gr:25 ck:25 wr:25 "
-            "nf:25 mp:24 po:24 um:24 mu:24 ap:24 ay:24 gh:24 gl:23 ia:23 ty:23 ss:23 ad:22 lo:22 sh:22 vi:22 ko:21 mo:44 wo:43"
-        ).split()
-    )
+    "th": 307, "he": 269, "in": 225, "er": 204, "an": 197, "re": 171, "on": 159, "at": 147, "en": 144, "nd": 139, "ti": 138, "es": 134, "or": 131,
+    "te": 128, "of": 125, "ed": 120, "is": 116, "it": 113, "al": 110, "ar": 108, "st": 105, "to": 104, "nt": 102, "ng": 99, "se": 98, "ha": 98,
+    "as": 96, "ou": 94, "io": 91, "le": 89, "ve": 87, "co": 86, "me": 84, "de": 82, "hi": 80, "ri": 79, "ro": 79, "ic": 78, "ne": 76, "ea": 74,
+    "ra": 73, "ce": 72, "li": 71, "ch": 69, "ll": 68, "be": 67, "ma": 66, "si": 65, "om": 64, "ur": 63, "ca": 62, "el": 61, "ta": 60, "la": 59,
+    "ns": 58, "di": 58, "fo": 58, "ho": 57, "pe": 57, "ec": 56, "pr": 56, "no": 55, "ct": 55, "us": 55, "ac": 52, "od": 51, "cc": 51, "tr": 50,
+    "il": 50, "ly": 50, "nc": 49, "ut": 49, "ru": 48, "em": 48, "lu": 47, "bo": 47, "yo": 46, "so": 46, "op": 45, "na": 43, "pa": 42, "do": 41,
+    "im": 40, "ba": 40, "wa": 39, "ge": 39, "sa": 38, "sl": 38, "cr": 37, "su": 37, "sp": 37, "fi": 35, "cl": 35, "ft": 33, "oi": 33, "am": 32,
+    "ry": 31, "mt": 29, "tt": 29, "wh": 29, "id": 28, "wn": 27, "ke": 27, "da": 27, "rd": 26, "pl": 26, "fe": 25, "ds": 25, "pi": 25, "gr": 25,
+    "ck": 25, "wr": 25, "nf": 25, "mp": 24, "po": 24, "um": 24, "mu": 24, "ap": 24, "ay": 24, "gh": 24, "gl": 23, "ia": 23, "ty": 23, "ss": 23,
+    "ad": 22, "lo": 22, "sh": 22, "vi": 22, "ko": 21, "mo": 44, "wo": 43,
 }
 FLOOR_SHARE, FEW_PAIRS, NO_SCORE = 0.8, 8, 1e9
 

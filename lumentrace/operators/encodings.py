@@ -10,7 +10,7 @@ from ..functions.regex import match_all
 from ..functions.severity import finding
 from ..functions.text import looks_meaningful, truncated
 
-MOST = 30
+MOST, SHOWN = 30, 200
 #: What a piece of each encoding looks like, in the order of search.
 CANDIDATES = {
     "base64": r"[A-Za-z0-9+/_-]{16,}={0,2}",
@@ -45,31 +45,31 @@ def base32(text: Column) -> Column:
     return F.when(ok & (body != ""), F.unhex(F.array_join(octets, "")))
 
 
-def _told(kind: str, i: int):
+def _told(kind: str, i: int, shown: int | None):
     def told(m: Column) -> Column:
         out = _decoded(kind, m["value"])
+        plain = lambda t: t if shown is None else truncated(t, shown)
         return F.struct(
             F.lit(i).alias("ord"), F.lit(kind).alias("kind"), m["pos"].alias("pos"), truncated(m["value"], 60).alias("sample"), out.isNotNull().alias("decodable"),
-            looks_meaningful(out).alias("meaningful"), F.when(out.isNotNull(), truncated(F.make_valid_utf8(out.cast("string")), 200)).alias("decoded"),
+            looks_meaningful(out).alias("meaningful"), F.when(out.isNotNull(), plain(F.make_valid_utf8(out.cast("string")))).alias("decoded"),
         )
 
     return told
 
 
-def detect(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None = None) -> DataFrame:
+def detect(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None = None, most: int | None = MOST, shown: int | None = SHOWN) -> DataFrame:
     """(id, kind, pos, sample, decodable, meaningful, decoded) in the order of search (ENC-10).
 
-    Each kind gives at most 30 pieces of a text, and every kind but hex stops once 30 are gathered in all: these
-    are the method's own limits. Pieces of hex that don't decode to text are told as hex; XOR cracking of them is ``crack.xor_hex``.
+    Each kind gives at most ``most`` pieces of a text, and every kind but hex stops once so many are gathered in all; ``decoded`` is
+    cut after ``shown`` bytes. These are the method's own limits; with None there are none. Pieces of hex that don't decode to text are told as hex; XOR cracking of them is ``crack.xor_hex``.
     """
     arrays = []
     for i, kind in enumerate(kinds or CANDIDATES):
-        ms = F.slice(match_all(F.col(text_col), CANDIDATES[kind]), 1, MOST)
-
-        got = F.transform(ms, _told(kind, i))
+        ms = match_all(F.col(text_col), CANDIDATES[kind])
+        got = F.transform(ms if most is None else F.slice(ms, 1, most), _told(kind, i, shown))
         arrays.append(F.filter(got, lambda x: x["meaningful"]) if kind in ONLY_MEANINGFUL else got)
     total = F.concat(*arrays)
-    counted = F.filter(total, lambda x, i: (i < MOST) | (x["kind"] == "hex"))
+    counted = total if most is None else F.filter(total, lambda x, i: (i < most) | (x["kind"] == "hex"))
     return df.select(F.col(id_col), F.explode(counted).alias("m")).select(id_col, "m.*").drop("ord")
 
 

@@ -21,24 +21,24 @@ def matches(content: Column, checkpoints: list[tuple[int, str, list[str]]]) -> C
 
 
 def check(df: DataFrame, id_col: str, content_col: str, ext_col: str, signatures=FILE_SIGNATURES) -> DataFrame:
-    """(id, claimed_ext, known_ext, matched, heuristic_matched, actual_type, actual_description, header_hex) (SIG-02, SIG-03).
+    """(id, claimed_ext, known_ext, matched, heuristic_matched, actual_type, header_hex) (SIG-02, SIG-03).
 
     An extension is known if it has a reliable signature. Where no signature of it fits, the reliable
     one of another extension with the least id tells the actual type. Rules fold into one projection: no join, no shuffle.
     """
     content, ext = F.col(content_col), F.lower(F.regexp_replace(F.col(ext_col), "^\\.", ""))
     reliable, heuristic = F.lit(False), F.lit(False)
-    actual = F.lit(None).cast("struct<type:string,description:string>")
-    for _, e, _, sure, cps in signatures:
+    actual = F.lit(None).cast("string")
+    for _, e, sure, cps in signatures:
         hit = (ext == e) & matches(content, cps)
         reliable, heuristic = (reliable | hit, heuristic) if sure else (reliable, heuristic | hit)
-    for _, e, text, sure, cps in sorted(signatures, reverse=True):
+    for _, e, sure, cps in sorted(signatures, reverse=True):
         if sure:
-            actual = F.when((ext != e) & matches(content, cps), F.struct(F.lit(e).alias("type"), F.lit(text).alias("description"))).otherwise(actual)
-    known = ext.isin(sorted({e for _, e, _, sure, _ in signatures if sure}))
+            actual = F.when((ext != e) & matches(content, cps), e).otherwise(actual)
+    known = ext.isin(sorted({e for _, e, sure, _ in signatures if sure}))
     rows = df.select(F.col(id_col), ext.alias("claimed_ext"), known.alias("known_ext"), reliable.alias("matched"), heuristic.alias("heuristic_matched"), actual.alias("_a"), F.hex(F.substring(content, 1, 16)).alias("header_hex"))
     tell = ~F.col("matched")
-    return rows.select(id_col, "claimed_ext", "known_ext", "matched", "heuristic_matched", F.when(tell, F.col("_a.type")).alias("actual_type"), F.when(tell, F.col("_a.description")).alias("actual_description"), "header_hex")
+    return rows.select(id_col, "claimed_ext", "known_ext", "matched", "heuristic_matched", F.when(tell, F.col("_a")).alias("actual_type"), "header_hex")
 
 
 def mismatches(checked: DataFrame, id_col: str) -> DataFrame:

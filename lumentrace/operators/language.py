@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.regex import let
 from ..functions.tables import STOPWORDS
 
-PROFILES = {code: (name, words.split()) for code, (name, words) in STOPWORDS.items()}
+PROFILES = dict(STOPWORDS)
 FLOOR = 0.08
 _TRIM = "^[.,!?;:\"']+|[.,!?;:\"']+$"
 

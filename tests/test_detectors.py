@@ -187,8 +187,8 @@ def test_network_and_tools(spark):
 
 
 def test_reference_joins(spark):
-    s = spark.createDataFrame([(0, "UltraSurf portable"), (1, "surf"), (2, "Google Chrome"), (3, ""), (4, None)], "id long, name string")
-    assert {(r.id, r.entity_name) for r in intel.blacklisted(s, "name").collect()} == {(0, "UltraSurf"), (1, "UltraSurf")}
+    s = spark.createDataFrame([(0, "TunnelToad portable"), (1, "toad"), (2, "Linden Logger"), (3, ""), (4, None)], "id long, name string")
+    assert {(r.id, r.entity_name) for r in intel.blacklisted(s, "name").collect()} == {(0, "TunnelToad"), (1, "TunnelToad")}
     assert {r.id for r in intel.vulnerable(s, "name").collect()} == {2} and intel.table(spark, "dns_providers").count() == 44
     u = spark.createDataFrame([("https://www.Bad.example:8080/x",), ("http://ok.example/",), ("nonsense",), (None,)], "url string")
     sites = spark.createDataFrame([("bad.example", "malware", 1)], "domain string, category string, is_malicious int")

@@ -104,7 +104,7 @@ def test_host_files(spark, tmp_path):
     assert H.os_release(lines(spark, 'NAME=x\nPRETTY_NAME="Some OS 1"')).first().name == "Some OS 1"
     u = H.user_findings(H.passwd(lines(spark, "root:x:0:0:r:/root:/bin/bash\ntoor:x:0:0::/:/bin/sh\nbin:x:1:1::/:/usr/sbin/nologin\nsvc:x:9:9::/:/bin/sh\nann:x:1000:1000::/h:/bin/sh\nbad")))
     assert {r.detail: r.severity for r in u.collect()} == {"root": "info", "toor": "critical", "bin": "info", "svc": "low", "ann": "info"}
-    (tmp_path / "status").write_text("Package: vim\nStatus: install ok installed\nVersion: 9\n\nPackage: UltraSurf\nStatus: deinstall ok config-files\nVersion: 1\n")
+    (tmp_path / "status").write_text("Package: vim\nStatus: install ok installed\nVersion: 9\n\nPackage: TunnelToad\nStatus: deinstall ok config-files\nVersion: 1\n")
     p = H.dpkg(spark, str(tmp_path / "status"))
     assert p.count() == 2 and {r.subtype for r in H.package_findings(p).collect()} == {"package_broken_state", "package_blacklisted"}
     assert H.rpm(lines(spark, "a\t1\tx\tg")).first().version == "1"
