@@ -362,6 +362,11 @@ def crack_column(text: Column, data: LanguageData = LanguageData()) -> Column:
     return _column(text, lambda t: crack(t, data))
 
 
+def only_column(text: Column, method: str) -> Column:
+    """The same of one polyalphabetic method alone, its best guess even where its language isn't sure (CRK-09)."""
+    return _column(text, lambda t: only(t, method))
+
+
 def xor_hex(text: Column, data: LanguageData = LanguageData()) -> Column:
     return _column(text, lambda t: crack_xor(t, data))
 

@@ -130,7 +130,8 @@ def word_lookup(spark, sf_dir):
     return language.lookup(words, "w", _dictionary(spark, sf_dir)).select("w", "n", "definition")
 
 
-@query("sentence_parts")
+@query("sentence_parts", f"""with d as {_DICT}, w as (select item_id, list_transform(list_filter(string_split_regex(lower(text), '[\\t\\n\\x0b\\f\\r ]+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[.,!?;:"'']+', ''), '[.,!?;:"'']+$', '')) as ws from benchmark)
+  select item_id, cast(i - 1 as int) as position, ws[i] as text from (select item_id, ws, unnest(range(1, len(ws) + 1)) as i from w) where ws[i] in (select text from d)""")
 def sentence_parts(spark, sf_dir):
     """LNG-07: known words of benchmark sentences."""
     return language.sentence_parts(_t(spark, sf_dir, "benchmark"), "item_id", "text", _dictionary(spark, sf_dir))
@@ -519,7 +520,11 @@ def crack_classical(spark, sf_dir):
     return c.select("conv_id", "turn", crack.crack_column(coded).alias("r")).select("conv_id", "turn", "r.method", "r.key", "r.language", F.round("r.confidence", 6).alias("confidence"))
 
 
-@query("crack_xor_hex")
+_CLEAN_WORDS = r"list_transform(list_filter(string_split_regex(text, '[\t\n\x0b\f\r ]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[.,!?;:''\"]+$', ''))"
+
+
+@query("crack_xor_hex", rf"""select item_id, case when ok then '42' end as key, case when ok then {_LANG} end as language from (select *, {_BEST} >= {crack.SURE} and len(ws) >= 4 and len(list_filter(ws, lambda w: regexp_full_match(w, '\p{{L}}+') and strlen(w) >= 2)) / greatest(len(ws), 1) >= 0.7 as ok
+  from (select *, {_SCORES} from (select item_id, text, {_TOKENS} as t, {_CLEAN_WORDS} as ws from benchmark)))""")
 def crack_xor_hex(spark, sf_dir):
     """CRK-10."""
     b = _t(spark, sf_dir, "benchmark").select("item_id", N.xor_hex(F.col("text"), 42).alias("h"))

@@ -50,10 +50,9 @@ def resolvers(rows: DataFrame) -> DataFrame:
     return f.where((F.size("f") == 2) & (F.get("f", F.lit(0)) == "nameserver")).select("path", F.get("f", F.lit(1)).alias("server"))
 
 
-def ipconfig_resolvers(rows: DataFrame) -> DataFrame:
-    """(path, server) of ``DNS Servers`` lines of captured ipconfig output and the bare addresses below them (NET-06)."""
-    whole = rows.groupBy("path").agg(F.array_join(F.collect_list("value"), "\n").alias("t"))
-    block = F.regexp_extract_all("t", F.lit("DNS Servers[ .]*:\\s*([0-9A-Fa-f:.%]+(?:\\n\\s+[0-9A-Fa-f:.%]+(?=\\s*(?:\\n|$)))*)"), F.lit(1))
+def ipconfig_resolvers(whole: DataFrame) -> DataFrame:
+    """(path, server) of ``DNS Servers`` lines of whole captured ipconfig outputs and the bare addresses below them (NET-06)."""
+    block = F.regexp_extract_all("value", F.lit("DNS Servers[ .]*:\\s*([0-9A-Fa-f:.%]+(?:\\n\\s+[0-9A-Fa-f:.%]+(?=\\s*(?:\\n|$)))*)"), F.lit(1))
     return whole.select("path", F.explode(F.flatten(F.transform(block, lambda b: F.split(F.trim(b), "\\s+")))).alias("server"))
 
 
@@ -109,16 +108,20 @@ def user_findings(users: DataFrame) -> DataFrame:
     return users.select(*finding("software", "local_user_account", "Local user account", sev, F.col("username"), F.col("path"), source="passwd", evidence=F.create_map(F.lit("uid"), F.col("uid").cast("string"), F.lit("shell"), F.col("shell")), tags=["user"]))
 
 
-def process_findings(processes: DataFrame, most: int = 500) -> DataFrame:
-    """Captured processes (pid, uid, exe, cmdline): medium if the program was deleted, low for root's without a known program (SW-03)."""
+def process_findings(processes: DataFrame, most: int | None = 500) -> DataFrame:
+    """The first ``most`` (None: all) captured processes (pid, uid, exe, cmdline): medium if the program was deleted, low for root's without a known program (SW-03)."""
     gone = F.endswith("exe", F.lit(" (deleted)"))
     sev = F.when(gone, "medium").when((F.col("uid") == 0) & F.col("exe").isNull() & (F.coalesce("cmdline", F.lit("")) != ""), "low").otherwise("clean")
-    return processes.orderBy("pid").limit(most).select(*finding("software", "process", "Running process", sev, F.coalesce("cmdline", "exe"), F.col("pid"), source="proc", tags=["process"]))
+    return (processes if most is None else processes.orderBy("pid").limit(most)).select(*finding("software", "process", "Running process", sev, F.coalesce("cmdline", "exe"), F.col("pid"), source="proc", tags=["process"]))
 
 
 def dpkg(spark: SparkSession, path: str) -> DataFrame:
     """(name, version, arch, section, status) of a dpkg status file's paragraphs (SW-04)."""
-    rows = spark.read.text(path, lineSep="\n\n")
+    return dpkg_paragraphs(spark.read.text(path, lineSep="\n\n"))
+
+
+def dpkg_paragraphs(rows: DataFrame) -> DataFrame:
+    """The same of paragraphs (value)."""
     field = lambda n: F.nullif(F.regexp_extract("value", rf"(?m)^{n}: *(.*)$", 1), F.lit(""))
     return rows.select(*[field(n).alias(a) for n, a in (("Package", "name"), ("Version", "version"), ("Architecture", "arch"), ("Section", "section"), ("Status", "status"))]).where("name is not null")
 

@@ -45,7 +45,7 @@ def read_table(files: DataFrame, table: str, path_col: str = "path", content_col
     return files.select(F.col(path_col), F.col(content_col)).mapInArrow(run, "path string, row long, data string")
 
 
-def firefox_history(files: DataFrame, max_rows: int = 2000) -> tuple[DataFrame, DataFrame]:
+def firefox_history(files: DataFrame, max_rows: int | None = 2000) -> tuple[DataFrame, DataFrame]:
     """(visits, bookmarks) of places.sqlite files: (path, url, title, visit_count) and (path, url, title) (SW-12)."""
     get = lambda c: F.get_json_object("data", f"$.{c}")
     places = read_table(files, "moz_places", max_rows=max_rows).select("path", get("id").alias("id"), get("url").alias("url"), get("title").alias("title"), get("visit_count").cast("long").alias("visit_count"))
@@ -53,7 +53,7 @@ def firefox_history(files: DataFrame, max_rows: int = 2000) -> tuple[DataFrame,
     return places.drop("id"), marks.join(places, ["path", "id"], "left").select("path", "url", F.coalesce("mark", "title").alias("title"))
 
 
-def chromium_history(files: DataFrame, max_rows: int = 2000) -> DataFrame:
+def chromium_history(files: DataFrame, max_rows: int | None = 2000) -> DataFrame:
     """(path, url, title, visit_count) of Chromium History files (SW-13)."""
     get = lambda c: F.get_json_object("data", f"$.{c}")
     return read_table(files, "urls", max_rows=max_rows).select("path", get("url").alias("url"), get("title").alias("title"), get("visit_count").cast("long").alias("visit_count"))

@@ -95,7 +95,7 @@ def test_host_files(spark, tmp_path):
     e = H.hosts(lines(spark, "127.0.0.1 localhost # c\n# x\n0.0.0.0 bank.example.com ads.example.com\n"))
     assert e.count() == 3 and {r.severity for r in H.hosts_findings(e).collect()} == {"info", "low"}
     assert [r.server for r in H.resolvers(lines(spark, "nameserver 1.1.1.1\nnameserver a b\nsearch x")).collect()] == ["1.1.1.1"]
-    assert [r.server for r in H.ipconfig_resolvers(lines(spark, "   DNS Servers . . . : 8.8.8.8\n        1.1.1.1\n   Other: x")).collect()] == ["8.8.8.8", "1.1.1.1"]
+    assert [r.server for r in H.ipconfig_resolvers(whole(spark, "   DNS Servers . . . : 8.8.8.8\n        1.1.1.1\n   Other: x")).collect()] == ["8.8.8.8", "1.1.1.1"]
     s = H.listening(lines(spark, "  sl  local\n   0: 0100007F:1F90 00000000:0000 0A 0:0 0:0 0 1000 0 1\n   1: 0100007F:1F91 00000000:0000 01 0:0 0:0 0 0 0 1")).collect()
     assert [(r.local_addr, r.local_port, r.uid, r.scope) for r in s] == [("127.0.0.1", 8080, 1000, "loopback")]
     w = H.wifi(whole(spark, "[wifi]\nssid=Home\n[wifi-security]\nkey-mgmt=wpa-psk\npsk=secret\n"))
