@@ -405,8 +405,12 @@ def findings(df: DataFrame, id_col: str, text_col: str, language_col: str, data:
     )
 
 
-def analyze(df: DataFrame, id_col: str, text_col: str, data: LanguageData = LanguageData()) -> DataFrame:
-    """(id, language, confidence, pii, crack, encodings) of each text (CRK-17): cracking only where no language is known."""
+def analyze(df: DataFrame, id_col: str, text_col: str, data: LanguageData = LanguageData(), dictionaries: dict[str, DataFrame] | None = None, language_code: str | None = None) -> DataFrame:
+    """(id, language, confidence, pii, crack, encodings) of each text (CRK-17): cracking only where no language is known.
+
+    With ``dictionaries`` also gloss, gloss_language and coverage (LNG-12): by the dictionary of ``language_code`` if given, else of the text's
+    language, else by the best of all, and that only where nothing was cracked.
+    """
     from ..functions.pii import all_matches
     from .encodings import detect as encodings_of
     from .language import detect
@@ -415,4 +419,19 @@ def analyze(df: DataFrame, id_col: str, text_col: str, data: LanguageData = Lang
     base = known.select(id_col, "language", "confidence", F.size(all_matches(F.col(text_col))).alias("pii"))
     cracked = known.where("language is null").select(id_col, crack_column(F.col(text_col), data).alias("crack"))
     found = encodings_of(df, id_col, text_col).groupBy(id_col).agg(F.count("*").alias("encodings"))
-    return base.join(cracked, id_col, "left").join(found, id_col, "left").fillna(0, ["encodings"])
+    told = base.join(cracked, id_col, "left").join(found, id_col, "left").fillna(0, ["encodings"])
+    return told if not dictionaries else _glossed(told, df, id_col, text_col, dictionaries, language_code)
+
+
+def _glossed(told: DataFrame, df: DataFrame, id_col: str, text_col: str, dictionaries: dict[str, DataFrame], language_code: str | None) -> DataFrame:
+    from .language import auto_gloss, gloss
+
+    texts = df.select(F.col(id_col), F.col(text_col)).join(told.select(id_col, "language", F.col("crack.method").alias("_method")), id_col)
+    own = F.lit(language_code) if language_code else F.col("language")
+    parts = [gloss(texts.where(own == lang), id_col, text_col, d, lang, by_rune=lang in ("ja", "zh")) for lang, d in dictionaries.items() if language_code in (None, lang)]
+    if not language_code:
+        parts.append(auto_gloss(texts.where("language is null and _method is null"), id_col, text_col, dictionaries))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return told.join(every.select(id_col, F.col("rough").alias("gloss"), F.col("language").alias("gloss_language"), "coverage"), id_col, "left")

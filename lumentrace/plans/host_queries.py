@@ -21,6 +21,7 @@ from ..operators.report import by_severity
 from ..sources import files, sqlite_source
 from ..sources import hostfiles as H
 from ..streaming import stream
+from . import scan as scans
 from .core_queries import ORACLES as ORACLES_OF_CORE
 from .core_queries import _dictionary, _t
 
@@ -430,3 +431,45 @@ def stream_windows(spark, sf_dir):
     """The streaming counts by ten-minute window, over events as they would arrive."""
     e = _t(spark, sf_dir, "events").selectExpr("cast(ts as timestamp) as seen_at", "case user_id % 3 when 0 then 'low' when 1 then 'high' else 'info' end as severity")
     return stream.severity_counts(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "severity", "n")
+
+
+@query("scan_categories", f"""with f as (select 'network' as category, 'hosts_entry' as subtype, case when ip = '127.0.0.1' then 'low' else 'info' end as severity from ({_HOSTS_SQL})
+  union all select 'software', 'local_user_account', case when uid = 0 and username <> 'root' then 'critical' when uid < 1000 and uid <> 0 and shell = '/bin/sh' then 'low' else 'info' end from {_USERS}
+  union all select 'storage', 'suid_sgid_binary', 'low' from customer where c_custkey % 2 = 0)
+  select category, subtype, severity, count(*) as n from f group by all""")
+def scan_categories(spark, sf_dir):
+    """FIL-05: one scan over captured files of many hosts and their permissions, hardware left out."""
+    captured = _rows(spark, sf_dir, "customer", _HOSTS, "concat('/h', c_custkey, '/etc/hosts')").unionByName(_rows(spark, sf_dir, "customer", _PASSWD, "concat('/h', c_custkey, '/etc/passwd')"))
+    perms = _t(spark, sf_dir, "customer").selectExpr("concat('/h/bin/x', c_custkey) as path", "cast(if(c_custkey % 2 = 0, 35309, 33261) as bigint) as mode", "false as is_dir")
+    found = scans.scan_all(spark, captured=captured, perms=perms, categories=["files", "network", "software"])
+    return found.groupBy("category", "subtype", "severity").agg(F.count("*").alias("n"))
+
+
+@query("interface_states", "select name, case when up and n = 0 then 'info' else 'clean' end as severity, vendor, case when n > 0 then case when s_suppkey % 2 = 0 then 'loopback,private' else 'private' end else '' end as scopes from (select s_suppkey, 'eth' || s_suppkey as name, s_suppkey % 3 <> 0 as up, case when s_suppkey % 4 = 0 then 0 else 1 end as n, case when s_suppkey % 5 = 0 then 'Acme' end as vendor from supplier)")
+def interface_states(spark, sf_dir):
+    """NET-03: vendors and classes of addresses."""
+    rows = _t(spark, sf_dir, "supplier").selectExpr(
+        "concat('eth', s_suppkey) as name", "concat(if(s_suppkey % 5 = 0, 'aa:bb:cc', '00:11:22'), ':00:00:01') as mac", "s_suppkey % 3 <> 0 as up",
+        "case when s_suppkey % 4 = 0 then array() when s_suppkey % 2 = 0 then array('10.0.0.1', '127.0.0.1') else array('10.0.0.1') end as addresses",
+    )
+    got = H.interface_findings(rows, spark.createDataFrame([("AABBCC", "Acme")], "prefix string, vendor string"))
+    return got.select(F.col("location").alias("name"), "severity", F.col("evidence")["vendor"].alias("vendor"), F.col("evidence")["scopes"].alias("scopes"))
+
+
+_LIST = "(select 'Entry ' || p_partkey as entry, lower(left(p_name, 9)) as k from part where p_partkey % 20 = 0)"
+
+
+@query("long_list_theta", f"select p_partkey, entry from part join {_LIST} on contains(lower(p_name), k) or contains(k, lower(p_name))")
+def long_list_theta(spark, sf_dir):
+    """SW-07..09 with a list that is a table: names of parts that contain an entry, or lie within one."""
+    p = _t(spark, sf_dir, "part")
+    entries = p.where("p_partkey % 20 = 0").selectExpr("concat('Entry ', p_partkey) as entry", "lower(left(p_name, 9)) as k")
+    return intel.match_table(p.select("p_partkey", "p_name"), "p_name", entries, "k").select("p_partkey", "entry")
+
+
+@query("analyze_glossed")
+def analyze_glossed(spark, sf_dir):
+    """LNG-12: analyses of conversations with a gloss by the benchmark's words."""
+    c = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    got = crack.analyze(c, "id", "text", dictionaries={"en": _dictionary(spark, sf_dir)})
+    return got.select("id", "language", "gloss_language", "coverage", F.md5("gloss").alias("gloss"))

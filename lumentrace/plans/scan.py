@@ -7,12 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.severity import finding
+from ..functions.severity import FINDING, finding
 from ..functions.text import hidden_path
 from ..operators import crack, encodings, entropy_windows, filesig, language, pii_scan
 from ..operators.report import by_category, by_severity, filter_checks, summary
+from ..sources import hostfiles as H
 from ..sources.files import extension, extraction_findings, read_files, with_text
 
+CATEGORIES = ("files", "network", "software", "hardware")
 ALL = ("hidden_files", "file_signature", "extraction", "pii", "custom_search", "encoded_content", "cipher", "entropy")
 
 
@@ -76,6 +78,45 @@ def scan_files(spark: SparkSession, target: str, detectors: Iterable[str] = ALL,
     return with_clean_rows(_union(parts), files, "path")
 
 
+#: Captured files by the end of their path: (category, how they are read, parser and findings).
+CAPTURED = {
+    "/etc/hosts": ("network", "lines", lambda r: H.hosts_findings(H.hosts(r))),
+    "/proc/net/tcp": ("network", "lines", lambda r: H.listening_findings(H.listening(r))),
+    ".nmconnection": ("network", "whole", lambda r: H.wifi_findings(H.wifi(r))),
+    "/etc/passwd": ("software", "lines", lambda r: H.user_findings(H.passwd(r))),
+    "/var/lib/dpkg/status": ("software", "paragraphs", lambda r: H.package_findings(H.dpkg_paragraphs(r))),
+    "/etc/crontab": ("software", "lines", lambda r: H.persistence_findings(H.crontab(r))),
+    "/etc/rc.local": ("software", "whole", lambda r: H.rc_local(r)),
+    "/cpu/vulnerabilities/meltdown": ("hardware", "whole", lambda r: H.cpu_vulnerability_findings(r)),
+}
+
+
+def scan_captured(captured: DataFrame, categories: Iterable[str] = ("software", "hardware", "network")) -> DataFrame:
+    """Findings of the chosen categories over captured host files (path, value: the whole text), of one host or of many.
+
+    A category left out isn't in the plan. Files of no known kind give nothing.
+    """
+    wanted, parts = set(categories), []
+    cut = {"whole": None, "lines": "\r?\n", "paragraphs": "\n\n"}
+    for end, (category, kind, found) in CAPTURED.items():
+        if category in wanted:
+            own = captured.where(F.endswith("path", F.lit(end))).select("path", "value")
+            parts.append(found(own if cut[kind] is None else own.select("path", F.explode(F.split("value", cut[kind], -1)).alias("value"))))
+    return _union(parts) if parts else captured.limit(0).select(*finding("storage", "", "", "", F.lit(""), F.col("path")))
+
+
+def scan_all(spark: SparkSession, target: str | None = None, captured: DataFrame | None = None, perms: DataFrame | None = None, categories: Iterable[str] = CATEGORIES, **options) -> DataFrame:
+    """One scan over all chosen categories (FIL-05): files below ``target``, captured host files, and, with the files, the checks of permissions (path, mode, is_dir)."""
+    wanted, parts = set(categories), []
+    if "files" in wanted and target is not None:
+        parts.append(scan_files(spark, target, **options))
+    if "files" in wanted and perms is not None:
+        parts += [H.ssh_findings(perms), H.suid_findings(perms), H.credential_findings(perms)]
+    if captured is not None and wanted - {"files"}:
+        parts.append(scan_captured(captured, wanted))
+    return _union(parts) if parts else spark.createDataFrame([], FINDING)
+
+
 def report(findings: DataFrame, checks: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """The filtered findings and their roll-ups: findings, by_category, by_severity, summary."""
     kept = filter_checks(findings, checks or {})

@@ -224,6 +224,17 @@ def disk_encryption(block_devices: DataFrame) -> DataFrame:
     return n.select(*finding("hardware", "disk_encryption", "Disk encryption", F.when(F.col("n") > 0, "clean").otherwise("low"), F.concat(F.col("n").cast("string"), F.lit(" encrypted devices")), F.lit("block"), source="sysfs", tags=["encryption"]))
 
 
+def interface_findings(rows: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Interfaces (name, mac, up, addresses): vendor of the address and classes of its addresses; info where one is up without any but isn't the loopback, else clean (NET-03)."""
+    from ..operators.intel import mac_vendor
+
+    known = rows.withColumn("vendor", F.lit(None).cast("string")) if registry is None else mac_vendor(rows, "mac", registry)
+    one = known.select("name", "mac", "up", "vendor", F.col("addresses"), F.explode_outer("addresses").alias("ip")).withColumn("scope", classify_ip(F.col("ip"))["scope"])
+    told = one.groupBy("name", "mac", "up", "vendor").agg(F.count("ip").alias("n"), F.sort_array(F.collect_set("scope")).alias("scopes"))
+    bare = F.col("up") & (F.col("n") == 0) & (F.col("name") != "lo")
+    return told.select(*finding("network", "interface", "Network interface", F.when(bare, "info").otherwise("clean"), F.concat_ws(" ", "name", "mac", "vendor"), F.col("name"), source="interfaces", evidence=F.create_map(F.lit("vendor"), F.col("vendor"), F.lit("scopes"), F.array_join("scopes", ",")), tags=["interface"]))
+
+
 def interfaces(spark: SparkSession) -> DataFrame:
     """(name, mac, up) of the driver's interfaces from /sys/class/net, none where that is missing (NET-03)."""
     rows, top = [], "/sys/class/net"

@@ -193,3 +193,25 @@ def test_reference_joins(spark):
     u = spark.createDataFrame([("https://www.Bad.example:8080/x",), ("http://ok.example/",), ("nonsense",), (None,)], "url string")
     sites = spark.createDataFrame([("bad.example", "malware", 1)], "domain string, category string, is_malicious int")
     assert [r.severity for r in intel.bad_domain_findings(intel.reputation(u, "url", sites)).collect()] == ["high"]
+
+
+def test_long_lists_match_like_short_ones(spark):
+    rows = [("publisher", k, "r", "high", "s") for k in ("TunnelToad", "ab", "x", "Lindén Press", "portable", "")]
+    names = [(0, "TunnelToad portable"), (1, "toad"), (2, "AB"), (3, "lindén press suite"), (4, ""), (5, None), (6, "tunneltoad"), (7, "x"), (8, "zz")]
+    s = spark.createDataFrame(names, "id long, name string")
+    table = spark.createDataFrame(rows, "entity_type string, entity_name string, reason string, severity string, source string")
+    for both in (True, False):
+        want = sorted((i, k) for i, n in names for _, k, *_ in rows if n and k and (n.lower() in k.lower() or both and k.lower() in n.lower()))
+        assert sorted((r.id, r.entity_name) for r in intel.match_table(s, "name", table, "entity_name", both).collect()) == want
+
+
+def test_glosses_in_analyses(spark):
+    from lumentrace.operators import crack
+
+    d = spark.createDataFrame([(0, "the dog of the house and the cat"), (1, "perro xx"), (2, "zz qq")], "id long, text string")
+    en = spark.createDataFrame([("dog", "animal"), ("house", "home")], "text string, definition string")
+    es = spark.createDataFrame([("perro", "dog")], "text string, definition string")
+    got = {r.id: r for r in crack.analyze(d, "id", "text", dictionaries={"en": en, "es": es}).collect()}
+    assert got[0].gloss == "the animal of the home and the cat" and got[0].gloss_language == "en"
+    assert (got[1].gloss, got[1].gloss_language) == ("dog xx", "es") and got[2].gloss is None
+    assert crack.analyze(d, "id", "text", dictionaries={"en": en, "es": es}, language_code="es").where("id = 0").first().gloss_language == "es"
