@@ -28,7 +28,7 @@ GRAM = 7
 #: log2 of the bitmap's bits: 2 MB, however many fingerprints the benchmark has.
 BITMAP_BITS = 24
 #: Bytes of words and hashes that a worker remembers before it starts anew.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _CAND = "struct<kind:int,h:bigint,pos:int,core:string,l:array<string>,r:array<string>>"

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -36,7 +37,7 @@ LEVELS = 6
 #: Bins filled less than this go to the next level.
 WELL_FILLED = 0.98
 #: Bytes of words and ids that a worker remembers: half of them words met of late, half those met before.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 48 << 20
 
 
 class _Tokens:
@@ -67,7 +68,16 @@ class _Tokens:
             steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": self.SPLIT} and steps[0].get("behavior") == "Removed"
             and steps[0].get("invert") is True and norms == ["NFC", "Replace", "Lowercase"] and d["model"].get("dropout") is None and not d.get("post_processor")
         )
-        self.known = _WordIds(self.tokenizer)
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.model = self.tokenizer.model
+        self.known = _WordIds(self._model_ids if self.by_word and steps[1:] == [bytewise] else self._ids)
+
+    def _ids(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _model_ids(self, word: str) -> list[int]:
+        """The same for a word that is split and lower-cased already: only the model is left to run, on the bytes' characters."""
+        return [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode())))]
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word or self.UNSAFE.search(text):
@@ -75,17 +85,23 @@ class _Tokens:
         return b"".join(map(self.known.__getitem__, self.WORDS.findall(text.lower())))
 
 
+#: The character that stands for each byte: itself if it can be seen, else the next from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_SEEN}))}
+
+
 class _WordIds(dict):
     """A word's ids as bytes, encoded where first met. Once full, words that aren't met again go."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, encode):
         super().__init__()
-        self.tokenizer, self.before, self.size = tokenizer, {}, 0
+        self.encode, self.before, self.size = encode, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         got = self.before.pop(word, None)
         if got is None:
-            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.encode(word)
+            got = struct.pack(f"<{len(ids)}I", *ids)
         self.size += len(word) + len(got) + 180  # the word, its ids and their place in the table
         if self.size > CACHE_BYTES // 2:
             self.before = dict(self)

@@ -7,7 +7,9 @@ with ``BANDS`` bands of ``ROWS`` rows a pair at similarity 0.8 meets but for 3 i
 ones more surely. Every pair that meets is checked on the sets themselves.
 
 A band's nodes are first compared with its least node only. Pairs that are then in one component already need no
-check of their own, so a group of near copies isn't compared with itself all over; all other pairs of the band are.
+check of their own, so a group of near copies isn't compared with itself all over. Of all other pairs of the band those are
+that could have the similarity by what both share with anyone: texts that stem from one and were edited apart each have
+shingles of their own, which rules most of their pairs out without a look at the sets.
 """
 
 from __future__ import annotations
@@ -90,6 +92,15 @@ def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("src", "dst")
 
 
+def _shared_sizes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, size, common): shingles of each of ``nodes``, and those of them that another of ``nodes`` has too."""
+    asked = passing(rows.select("node", "hashes"), F.xxhash64("node"), nodes.select(F.xxhash64("node").alias("k"))).dropDuplicates(["node"])
+    held = written(asked.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("h")), "shingle-held")
+    alone = held.groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = held.groupBy("node").agg(F.count("*").alias("size"))
+    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
     """(id, rk, component): one row per input row; rows of a component are linked by pairs of at least ``similarity``.
 
@@ -107,10 +118,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     comps = connected_components(found, "shingle-stars")
     named = written(shared.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "shingle-named")
     mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    open_ = named.join(mixed, "key", "left_semi")
-    right = open_.select("key", F.col("node").alias("dst"), F.col("component").alias("other"))
-    left = open_.withColumnRenamed("node", "src")
-    more = left.join(right, (left.key == right.key) & (left.src < right.dst) & (left.component != right.other)).select("src", "dst").distinct()
+    open_ = written(named.join(mixed, "key", "left_semi"), "shingle-open")
+    open_ = open_.join(_shared_sizes(open_.select("node").distinct(), rows), "node")
+    left = open_.select("key", F.col("node").alias("src"), "component", F.col("size").alias("m"), F.col("common").alias("c"))
+    right = open_.select("key", F.col("node").alias("dst"), F.col("component").alias("other"), F.col("size").alias("n"), F.col("common").alias("d"))
+    most = F.least("c", "d")  # no pair shares more
+    can = most >= similarity * (F.col("m") + F.col("n") - most)
+    more = left.join(right, (left.key == right.key) & (left.src < right.dst) & (left.component != right.other) & can).select("src", "dst").distinct()
     more = written(more.join(first, ["src", "dst"], "left_anti"), "shingle-more")
     if not more.isEmpty():
         comps = connected_components(found.unionByName(_similar(more, rows, similarity)), "shingle-stars")

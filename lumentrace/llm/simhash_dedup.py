@@ -70,36 +70,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
-def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(syndrome of each 23-bit word's high and low part, nearest error pattern by syndrome, the distance-four patterns).
+def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(syndromes of the upper 11 and of the lower 12 bits, nearest error pattern by syndrome, the distance-four patterns).
 
     The generator polynomial is x^11+x^9+x^7+x^6+x^5+x+1; a codeword's index is
-    its quotient's 12 message bits, here its upper 12 bits in systematic form.
+    its quotient's 12 message bits, here its upper 12 bits in systematic form. A word's syndrome is the sum of its parts'.
     """
     gen = 0b101011100011
-    rem = np.arange(1 << 23, dtype=np.int32)
-    for bit in range(22, 10, -1):
-        rem = np.where(rem >> bit & 1, rem ^ (gen << (bit - 11)), rem)
-    leader = np.zeros(2048, np.int32)
+
+    def remainder(words: np.ndarray) -> np.ndarray:
+        for bit in range(22, 10, -1):
+            words = np.where(words >> bit & 1, words ^ (gen << (bit - 11)), words)
+        return words
+
+    high, low = remainder(np.arange(1 << 11, dtype=np.int64) << 12), remainder(np.arange(1 << 12, dtype=np.int64))
+    leader = np.zeros(2048, np.int64)
     for weight in (1, 2, 3):
-        for bits in combinations(range(23), weight):
-            word = sum(1 << b for b in bits)
-            leader[rem[word]] = word
+        words = np.array([sum(1 << b for b in bits) for bits in combinations(range(23), weight)])
+        leader[high[words >> 12] ^ low[words & 4095]] = words
+    words = np.array([sum(1 << b for b in bits) for bits in combinations(range(23), 4)])
     four: list[list[int]] = [[] for _ in range(2048)]
-    for bits in combinations(range(23), 4):
-        word = sum(1 << b for b in bits)
-        if bin(leader[rem[word]]).count("1") == 3:
-            four[rem[word]].append(word)
-    wide = np.full((2048, 5), -1, np.int32)
-    for s, words in enumerate(four):
-        wide[s, : len(words)] = words
-    return rem.astype(np.int16), leader, wide
+    for word, s in zip(words.tolist(), (high[words >> 12] ^ low[words & 4095]).tolist()):
+        if int(leader[s]).bit_count() == 3:
+            four[s].append(word)
+    wide = np.full((2048, 5), -1, np.int64)
+    for s, found in enumerate(four):
+        wide[s, : len(found)] = found
+    return high, low, leader, wide
 
 
 def golay_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest codeword index of each 23-bit word, and an [n, 6] array of all its keys (-1: none)."""
-    rem, leader, wide = worker_cache("golay", golay_tables)
-    s = rem[words]
+    high, low, leader, wide = worker_cache("golay", golay_tables)
+    s = high[words >> 12] ^ low[words & 4095]
     near = (words ^ leader[s]) >> 11
     more = np.where(wide[s] < 0, -1, (words[:, None] ^ wide[s]) >> 11)
     return near, np.concatenate([near[:, None], more], axis=1)

@@ -29,7 +29,8 @@ FEATURE_BITS = 20
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 #: A feature counts if at least so many positive texts have it, and more than unlabelled ones let expect by so many standard deviations.
 MIN_POSITIVE, MIN_DEVIATIONS = 3, 4.0
-WORD_CACHE = 200_000
+#: Words whose weights a task remembers before it starts anew.
+WORD_CACHE = 100_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 

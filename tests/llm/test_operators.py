@@ -58,7 +58,9 @@ def classes(points):
 
 
 def test_golay_code_is_perfect():
-    rem, leader, wide = simhash_dedup.golay_tables()
+    high, low, leader, wide = simhash_dedup.golay_tables()
+    words = np.arange(1 << 23)
+    rem = high[words >> 12] ^ low[words & 4095]
     assert np.array_equal(np.sort(rem[leader]), np.arange(2048)) and np.bitwise_count(leader).max() == 3
     weight3 = np.bitwise_count(leader) == 3
     assert (wide[weight3] >= 0).all() and (wide[~weight3] == -1).all() and np.array_equal(np.unique(rem[wide[weight3]]), np.unique(rem[leader[weight3]]))
