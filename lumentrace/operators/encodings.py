@@ -75,10 +75,12 @@ def detect(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None =
 
 def findings(found: DataFrame, id_col: str) -> DataFrame:
     """Pieces as findings: medium if they read as text, else info (ENC-12); ``decoded`` can go through the PII scan again."""
-    return found.select(
-        *finding(
-            "storage", F.concat(F.lit("encoded_content_"), F.col("kind")), F.concat(F.lit("Encoded content: "), F.col("kind")), F.when(F.col("meaningful"), "medium").otherwise("info"),
-            F.concat(F.lit("Sample: "), F.col("sample")), F.col(id_col),
-            evidence=F.create_map(F.lit("position"), F.col("pos").cast("string"), F.lit("decodable"), F.col("decodable").cast("string"), F.lit("decoded"), F.col("decoded")), tags=["encoding"],
-        )
+    return found.select(*finding_columns(F.col(id_col)))
+
+
+def finding_columns(location: Column) -> list[Column]:
+    return finding(
+        "storage", F.concat(F.lit("encoded_content_"), F.col("kind")), F.concat(F.lit("Encoded content: "), F.col("kind")), F.when(F.col("meaningful"), "medium").otherwise("info"),
+        F.concat(F.lit("Sample: "), F.col("sample")), location,
+        evidence=F.create_map(F.lit("position"), F.col("pos").cast("string"), F.lit("decodable"), F.col("decodable").cast("string"), F.lit("decoded"), F.col("decoded")), tags=["encoding"],
     )

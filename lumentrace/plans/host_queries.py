@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ciphers as C
 from ..functions import native_ciphers as N
 from ..operators import crack, intel, language, pii_scan
 from ..operators.report import by_severity
@@ -23,7 +24,7 @@ from ..sources import hostfiles as H
 from ..streaming import stream
 from . import scan as scans
 from .core_queries import ORACLES as ORACLES_OF_CORE
-from .core_queries import _dictionary, _t
+from .core_queries import _AZ, _dictionary, _t
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -405,6 +406,15 @@ def _known(spark, sf_dir) -> crack.LanguageData:
     return crack.LanguageData(frozenset(r.w for r in b.orderBy("w").limit(100_000).collect()))  # a word list, bounded as such lists are
 
 
+_SIGNS = {m: "".join(C.SYMBOLS[m]["standard"]) for m in ("wingdings", "arrow", "simple_symbols", "symbol_lookalikes", "emoticons")}
+
+
+@query("symbol_ciphers", "select item_id, " + ", ".join(f"md5(translate(text, '{_AZ}', '{s + s}')) as {m}" for m, s in _SIGNS.items()) + " from benchmark")
+def symbol_ciphers(spark, sf_dir):
+    """CIP-28..31, CIP-33: the benchmark's texts in signs."""
+    return _t(spark, sf_dir, "benchmark").select("item_id", *[F.md5(C.cipher_column(F.col("text"), m)["text"]).alias(m) for m in _SIGNS])
+
+
 @query("crack_transpositions")
 def crack_transpositions(spark, sf_dir):
     """CRK-11..15: the benchmark's texts under a rail fence, a scytale or by columns, found with its own words as the list."""

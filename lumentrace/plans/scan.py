@@ -42,9 +42,12 @@ def scan_texts(
         parts.append(pii_scan.search_findings(rows, id_col, text_col, names, terms))
     if "encoded_content" in d:
         found = encodings.detect(rows, id_col, text_col)
-        parts.append(encodings.findings(found, id_col))
-        if "pii" in d:
-            parts.append(pii_scan.findings(found.where("meaningful").select(id_col, "decoded"), id_col, "decoded", pii_types, note="decoded"))
+        if "pii" in d:  # one detection serves the pieces and what their texts hold
+            own, inner = F.struct(*encodings.finding_columns(F.col(id_col))), pii_scan.finding_array(F.when(F.col("meaningful"), F.col("decoded")), F.col(id_col), pii_types, note="decoded")
+            kind = "array<" + FINDING.simpleString() + ">"
+            parts.append(found.select(F.explode(F.concat(F.array(own).cast(kind), inner.cast(kind))).alias("f")).select("f.*"))
+        else:
+            parts.append(encodings.findings(found, id_col))
     if "cipher" in d:
         parts.append(crack.findings(language.detect(rows, text_col), id_col, text_col, "language", data))
     if "entropy" in d:

@@ -38,3 +38,9 @@ def test_letters_of_a_key_are_scored_like_whole_decodings():
         assert all(abs(a - b) < 1e-12 for a, b in zip(words.scores(i), want))
     words.change(2, 9)
     assert abs(words.best - crack.language(C.beaufort(text, "DBJBF"))[2]) < 1e-12
+
+
+def test_signs_read_back():
+    for m in C.SYMBOL_METHODS:
+        if m != "vowel_to_number":
+            assert len(next(iter(C.SYMBOLS[m].values()))) >= 26 and C.decode(m, C.encode(m, "Every quick fox, jumps")) == "EVERY QUICK FOX, JUMPS"
