@@ -114,6 +114,19 @@ def op2_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"))
 
 
+def op11_offset_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """The piece ids of every document and what they decode to, as digests."""
+    from .piece_encoding import decode, encode
+
+    if model_path is None:
+        import public_tokenizers
+
+        model_path = public_tokenizers.path("piece_bpe_32k.model")
+    got = decode(encode(_table(spark, sf_dir, "documents"), model_path), model_path)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_template_tree": op2_template_tree,
@@ -125,4 +138,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnowing": op8_winnowing,
     "op9_prefix_target": op9_prefix_target,
     "op10_rotated_one_bit": op10_rotated_one_bit,
+    "op11_offset_pieces": op11_offset_pieces,
 }
