@@ -77,7 +77,7 @@ class CharacterMap:
     def longest(self, text: bytes, start: int) -> tuple[int, str] | None:
         """(bytes, replacement) of the longest key that ``text`` has at ``start``, if any."""
         at, found = 0, None
-        for n, byte in enumerate(memoryview(text)[start:], 1):
+        for n, byte in enumerate(memoryview(text)[start:] if self.units else b"", 1):
             nxt = self._step(at, byte)
             if nxt is None:
                 break
