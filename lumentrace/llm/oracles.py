@@ -55,10 +55,29 @@ total as (select doc_id, cast(sum(words) as bigint) as removed_words from spans
 select d.doc_id, kept.text, coalesce(removed_lines, 0) as removed_lines, coalesce(removed_words, 0) as removed_words from documents d left join kept using (doc_id) left join total using (doc_id)
 """
 
+_HARD = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+s as (
+  select a.vec_id as anchor_id, e.vec_id, a.label = e.label as same, cast(list_inner_product(a.v, e.v) as bigint) as score
+  from e as a join e on a.vec_id <> e.vec_id where a.vec_id % 50 = 0
+),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+    cast(row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as integer) as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+)
+select * from n where rank <= 3
+"""
+
 ORACLES: dict[str, str] = {
     "op2_template_tree": url_oracle(),
     "op3_content_addressed_warc": _WARC,
     "op7_line_chunks": _LINES,
     "op8_winnowing": _WINNOW,
     "op9_prefix_target": _CHAT,
+    "op13_hard_negatives": _HARD,
 }

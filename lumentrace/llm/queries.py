@@ -127,6 +127,21 @@ def op11_offset_pieces(spark: SparkSession, sf_dir: str, model_path: str | None
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spelling variants among all words of the documents, one in 97 of a document's words less a letter."""
+    from .spelling_variants import variants, vocabulary
+
+    return variants(vocabulary(_table(spark, sf_dir, "documents"), min_length=5, min_count=3, typo_every=97))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every embedding whose id is divisible by 50; every seventh label is moved on by one first."""
+    from .hard_negatives import mine
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_template_tree": op2_template_tree,
@@ -139,4 +154,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_target": op9_prefix_target,
     "op10_rotated_one_bit": op10_rotated_one_bit,
     "op11_offset_pieces": op11_offset_pieces,
+    "op12_errata_trie": op12_errata_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
