@@ -26,6 +26,19 @@ def entropy(content: Column) -> Column:
     return bits(content)
 
 
+def profile(content: Column, least: int, size: int, least_window: int) -> Column:
+    """struct<bits, windows array<double>>: bits per byte of a content and, from ``least`` bytes on, of its windows of ``size``, a last one of fewer than ``least_window`` left out."""
+
+    def told(b: bytes) -> list[float]:
+        return [shannon(b[i : i + size]) for i in range(0, len(b), size) if len(b) - i >= least_window] if len(b) >= least else []
+
+    @F.pandas_udf("bits double, windows array<double>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"bits": s.map(lambda b: None if b is None else shannon(b)).astype("float64"), "windows": s.map(lambda b: [] if b is None else told(b))})
+
+    return run(content)
+
+
 def band(bits: Column) -> Column:
     """What so many bits per byte are typical of (ENT-03)."""
     return F.when(bits < 4, "low").when(bits < 5.5, "plaintext").when(bits < 7, "executable").when(bits < 7.9, "compressed").otherwise("encrypted")

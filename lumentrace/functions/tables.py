@@ -254,6 +254,21 @@ DNS_PROVIDERS = [
     ("8.20.247.20", "Comodo Secure DNS"),
 ]
 
+#: What files of a type are, in words of our own.
+TYPE_NAMES = {
+    "exe": "program for Windows", "msi": "installer for Windows", "dll": "library for Windows", "sys": "driver for Windows", "bat": "batch commands", "cmd": "command script",
+    "ps1": "shell script of Windows", "sh": "shell script", "py": "script in Python", "rb": "script in Ruby", "php": "page script in PHP", "pl": "script in Perl", "jar": "archive of Java classes",
+    "apk": "application for Android", "ipa": "application for phones", "app": "application bundle", "txt": "plain text", "rtf": "rich text", "pdf": "portable document", "doc": "text document, old binary form",
+    "docx": "text document, zipped", "xls": "workbook, old binary form", "xlsx": "workbook, zipped", "ppt": "slides, old binary form", "pptx": "slides, zipped", "odt": "open text document",
+    "ods": "open workbook", "odp": "open slides", "jpg": "photograph, compressed", "png": "picture without loss", "gif": "picture, may be animated", "bmp": "bitmap picture", "tiff": "tagged picture",
+    "ico": "icon", "svg": "drawing by vectors", "webp": "picture for the web", "mp4": "film, fourth form", "avi": "film, interleaved", "mov": "film for players of its maker", "mkv": "film container",
+    "flv": "film for the web", "mp3": "sound, compressed", "wav": "sound as sampled", "flac": "sound without loss", "ogg": "sound or film container", "aac": "sound, advanced coding", "m4a": "sound in a film container",
+    "zip": "zipped archive", "rar": "packed archive", "7z": "archive of high compression", "tar": "archive of files in a row", "gz": "compressed stream", "bz2": "stream compressed by blocks", "xz": "stream of high compression",
+    "iso": "image of a disc", "log": "log", "cfg": "settings", "ini": "settings by sections", "json": "data as objects", "xml": "data as marked text", "yaml": "data as indented text", "env": "settings of an environment",
+    "sql": "commands of a database", "db": "database in one file", "mdb": "database of an office suite", "csv": "table parted by commas", "tsv": "table parted by tabs", "html": "page of the web",
+    "css": "style of pages", "scss": "style of pages, nested",
+}
+
 #: Fixed values: (id, extension, reliable, [(offset, hex, hex alternatives)]).
 FILE_SIGNATURES = [
     (1, 'exe', True, [(0, '4D5A', [])]),

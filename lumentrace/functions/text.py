@@ -9,9 +9,9 @@ MAX_TEXT = 5 * 1024 * 1024
 SNIFF = 8192
 
 
-def size_ok(length: Column) -> Column:
-    """1 byte to 5 MiB (SRC-03)."""
-    return length.between(1, MAX_TEXT)
+def size_ok(length: Column, most: int = MAX_TEXT) -> Column:
+    """1 byte to ``most``, 5 MiB as a rule (SRC-03)."""
+    return length.between(1, most)
 
 
 def _latin(content: Column) -> Column:

@@ -13,15 +13,20 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ciphers as C
-from ..functions.severity import finding
+from ..functions.automaton import WordList
+from ..functions.regex import let
+from ..functions.severity import FINDING, finding
 from ..functions.statistics import DIGRAPH_SHARE, FEW_PAIRS, FLOOR_SHARE, LETTER_SHARE, NO_SCORE
 from ..functions.text import truncated
+from . import pii_scan
 from .language import FLOOR, PROFILES
+from .pii_scan import decode_score
 
 SURE, PLAUSIBLE_BIGRAMS = 0.20, 0.12
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -63,11 +68,15 @@ def likely_shifts(text: str, floor: float) -> list[int]:
 
 @dataclass(frozen=True)
 class LanguageData:
-    """Words for transpositions and, by language, known bigrams; both may be empty."""
+    """Words for transpositions, as a ``WordList`` or a set, and, by language, known bigrams; both may be empty."""
 
-    words: frozenset[str] = frozenset()
+    words: WordList | frozenset[str] = frozenset()
     bigrams: dict[str, frozenset[str]] = field(default_factory=dict)
 
+    def __post_init__(self):
+        if not isinstance(self.words, WordList):
+            object.__setattr__(self, "words", WordList.of(self.words))
+
 
 def language(text: str) -> tuple[str, float, float]:
     """(language or "", its confidence, best score of any)."""
@@ -255,19 +264,12 @@ def digraph_distance(text: str) -> float:
     return sum((pairs[p] - e) ** 2 / e for p, e in sorted(expected.items()))
 
 
-def coverage(text: str, words: frozenset[str]) -> float:
+def coverage(text: str, words: WordList) -> float:
     """Largest share of letters that words of 4 to 12 letters can tile (CRK-12)."""
-    t = C.cleaned(text).lower()
-    if len(t) < 8 or not words:
-        return 0.0
-    best = [0] * (len(t) + 1)
-    for end in range(1, len(t) + 1):
-        tiles = [best[end - n] + n for n in range(4, min(12, end) + 1) if t[end - n : end] in words]
-        best[end] = max([best[end - 1], *tiles])
-    return best[-1] / len(t)
+    return words.coverage(C.cleaned(text).lower())
 
 
-def transposition(text: str, method: str, keys: list[str], undo: Callable[[str, str], str], words: frozenset[str]) -> dict | None:
+def transposition(text: str, method: str, keys: list[str], undo: Callable[[str, str], str], words: WordList) -> dict | None:
     """The candidate of a cluster near the least digraph distance that words cover best, if it stands out (CRK-11..15)."""
     cands = [(digraph_distance(p), -coverage(p, words), k, p) for k in keys if (p := undo(text, k)).strip()]
     if len(cands) < 2:
@@ -286,7 +288,7 @@ def _orders() -> list[str]:
     return COLUMNAR_WORDS + ["".join(p) for n in range(2, 6) for p in permutations("12345"[:n])]
 
 
-def transpositions(text: str, words: frozenset[str]) -> Iterator[dict]:
+def transpositions(text: str, words: WordList) -> Iterator[dict]:
     if not words:  # without words no candidate can reach the coverage that is asked for
         return
     n = min(20, len(C.cleaned(text)))
@@ -299,8 +301,8 @@ def transpositions(text: str, words: frozenset[str]) -> Iterator[dict]:
             yield found
 
 
-def crack(text: str, data: LanguageData = LanguageData(), boost: Callable[[str], float] | None = None) -> dict | None:
-    """The most confident plain text over all methods, the earlier of equals (CRK-16)."""
+def candidates(text: str, data: LanguageData = LanguageData()) -> list[dict]:
+    """Plausible plain texts of all methods, in the order of trial (CRK-16)."""
     likely = likely_shifts(text, SURE)
     trials: list[tuple[str, str, str]] = [("caesar", str(n), C.caesar(text, -n)) for n in likely if n]
     if 0 in likely:
@@ -313,10 +315,12 @@ def crack(text: str, data: LanguageData = LanguageData(), boost: Callable[[str],
     for method, key, plain in trials:
         if ok := accepted(plain, data):
             found.append({"method": method, "key": key, "plaintext": plain, "language": ok[0], "confidence": ok[1]})
-    found += transpositions(text, data.words)
-    for f in found:
-        f["confidence"] = min(0.99, max(0.0, f["confidence"] + (boost(f["plaintext"]) if boost else 0.0)))
-    return max(found, key=lambda f: f["confidence"], default=None)
+    return [*found, *transpositions(text, data.words)]
+
+
+def crack(text: str, data: LanguageData = LanguageData()) -> dict | None:
+    """The most confident of ``candidates`` by language alone, the earlier of equals."""
+    return max(candidates(text, data), key=lambda f: min(0.99, f["confidence"]), default=None)
 
 
 def only(text: str, method: str) -> dict | None:
@@ -329,20 +333,39 @@ def only(text: str, method: str) -> dict | None:
     return {"method": method, "key": key, "plaintext": plain, "language": lang or None, "confidence": sure, "ok": bool(lang) and sure >= SURE}
 
 
+_PRINTED = np.array([[b ^ key in (9, 10, 13) or 32 <= b ^ key < 127 for b in range(256)] for key in range(256)], np.float64)
+
+
 def crack_xor(text: str, data: LanguageData = LanguageData()) -> dict | None:
-    """Hexadecimal XORed with one byte: the key whose plain text is most sure, the least of equals (CRK-10)."""
+    """Hexadecimal XORed with one byte: the key whose plain text is most sure, the least of equals (CRK-10).
+
+    The counts of its bytes tell under which keys a text has enough printable ones and no zero; only these are tried.
+    """
     try:
         raw = bytes.fromhex(text)
     except ValueError:
         return None
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     best = None
-    for key in range(1, 256):
-        plain = bytes(b ^ key for b in raw)
-        if meaningful(plain) and sentence_like(t := plain.decode("utf-8", "replace")) and (ok := accepted(t, data)) and (best is None or ok[1] > best["confidence"]):
-            best = {"method": "xor", "key": str(key), "plaintext": t, "language": ok[0], "confidence": ok[1]}
+    for key in np.nonzero((_PRINTED @ counts > 0.60 * len(raw)) & (counts == 0))[0].tolist():
+        if key:
+            plain = bytes(b ^ key for b in raw)
+            if meaningful(plain) and sentence_like(t := plain.decode("utf-8", "replace")) and (ok := accepted(t, data)) and (best is None or ok[1] > best["confidence"]):
+                best = {"method": "xor", "key": str(key), "plaintext": t, "language": ok[0], "confidence": ok[1]}
     return best
 
 
+def xor_pieces(pieces: Column, data: LanguageData = LanguageData()) -> Column:
+    """array<struct<key, plaintext>> of an array of hexadecimal pieces, each null where nothing was found; a null array stays null."""
+
+    @F.pandas_udf("array<struct<key:string,plaintext:string>>")
+    def apply(s: pd.Series) -> pd.Series:
+        told = lambda t: None if t is None or not (r := crack_xor(t, data)) else {"key": r["key"], "plaintext": r["plaintext"]}
+        return s.map(lambda ts: None if ts is None else [told(t) for t in ts])
+
+    return apply(pieces)
+
+
 _RESULT = "method string, key string, plaintext string, language string, confidence double"
 _FIELDS = [f.split()[0] for f in _RESULT.split(", ")]
 
@@ -357,9 +380,29 @@ def _column(text: Column, run: Callable[[str], dict | None]) -> Column:
     return apply(text)
 
 
+def candidates_column(text: Column, data: LanguageData = LanguageData()) -> Column:
+    """array<struct<method, key, plaintext, language, confidence>> of ``candidates``; null text has none."""
+
+    @F.pandas_udf("array<struct<" + _RESULT.replace(" ", ":").replace(",:", ",") + ">>")
+    def apply(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [] if t is None else candidates(t, data))
+
+    return apply(text)
+
+
+def winner(found: Column) -> Column:
+    """The most confident of ``candidates_column``, the earlier of equals, all fields null without any (CRK-16).
+
+    A candidate whose plain text holds personal data gains by its rules' score (PII-12), which stays within 0.99.
+    """
+    scored = F.transform(found, lambda c, i: F.struct(F.least(F.lit(0.99), F.greatest(F.lit(0.0), c["confidence"] + decode_score(c["plaintext"]))).alias("confidence"), (-i).alias("turn"), c.alias("c")))
+    field = lambda b: F.struct(b["c"]["method"].alias("method"), b["c"]["key"].alias("key"), b["c"]["plaintext"].alias("plaintext"), b["c"]["language"].alias("language"), b["confidence"].alias("confidence"))
+    return let(F.array_max(scored), field)
+
+
 def crack_column(text: Column, data: LanguageData = LanguageData()) -> Column:
-    """struct<method, key, plaintext, language, confidence>, all null where nothing was found."""
-    return _column(text, lambda t: crack(t, data))
+    """struct<method, key, plaintext, language, confidence>, all null where nothing was found: Python gives the candidates, the rules score them natively."""
+    return winner(candidates_column(text, data))
 
 
 def only_column(text: Column, method: str) -> Column:
@@ -390,19 +433,35 @@ def caesar_candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("confidence"), "shift")))
 
 
-def findings(df: DataFrame, id_col: str, text_col: str, language_col: str, data: LanguageData = LanguageData()) -> DataFrame:
-    """Texts of more than 40 bytes without a known language: cracked or unrecognised (CRK-18); only these reach Python."""
-    todo = df.where(F.col(language_col).isNull() & (F.octet_length(F.trim(F.col(text_col))) > 40))
-    rows = todo.select(F.col(id_col), crack_column(F.col(text_col), data).alias("r"))
-    hit = F.col("r.method").isNotNull()
-    return rows.select(
-        *finding(
-            "storage", F.when(hit, F.concat(F.lit("cipher_cracked_"), F.col("r.method"))).otherwise("unrecognized_language"),
-            F.when(hit, F.concat(F.lit("Cipher cracked: "), F.col("r.method"))).otherwise("Unrecognized language"), F.when(hit, "high").otherwise("medium"),
-            F.when(hit, F.concat(F.lit("Plaintext: "), truncated(F.col("r.plaintext"), 500))).otherwise("No known language and no cipher that gives one"), F.col(id_col),
-            language=F.col("r.language"), evidence=F.create_map(F.lit("key"), F.col("r.key"), F.lit("confidence"), F.round("r.confidence", 6).cast("string")), tags=["cipher"],
-        )
+def suspect(text: Column, language_known: Column) -> Column:
+    """Texts of more than 40 bytes without a known language, else null: only these are cracked."""
+    return F.when(~language_known & (F.octet_length(F.trim(text)) > 40), text)
+
+
+def finding_array(text: Column, r: Column, location: Column, rules: list[str] | None = None, inner: bool = True) -> Column:
+    """What cracking a ``suspect`` text gave, as an array of findings (CRK-18); ``r`` is its ``winner`` as a column.
+
+    The plain text goes through the PII rules once more, with a note of the method; not without ``inner``.
+    """
+    hit = r["method"].isNotNull()
+    own = finding(
+        "storage", F.when(hit, F.concat(F.lit("cipher_cracked_"), r["method"])).otherwise("unrecognized_language"),
+        F.when(hit, F.concat(F.lit("Cipher cracked: "), r["method"])).otherwise("Unrecognized language"), F.when(hit, "high").otherwise("medium"),
+        F.when(hit, F.concat(F.lit("Plaintext: "), truncated(r["plaintext"], 500))).otherwise("No known language and no cipher that gives one"), location,
+        language=r["language"], evidence=F.create_map(F.lit("key"), r["key"], F.lit("confidence"), F.round(r["confidence"], 6).cast("string")), tags=["cipher"],
     )
+    kind = "array<" + FINDING.simpleString() + ">"
+    out = F.array(F.struct(*own)).cast(kind)
+    if inner:
+        out = F.concat(out, pii_scan.finding_array(F.when(hit, r["plaintext"]), location, rules, note=F.concat(F.lit("decoded via "), r["method"])).cast(kind))
+    return F.when(text.isNotNull(), out).otherwise(F.array().cast(kind))
+
+
+def findings(df: DataFrame, id_col: str, text_col: str, language_col: str, data: LanguageData = LanguageData(), rules: list[str] | None = None, inner: bool = True) -> DataFrame:
+    """Texts of more than 40 bytes without a known language: cracked or unrecognised, and the personal data in plain texts (CRK-18); only these reach Python."""
+    todo = df.select(F.col(id_col), suspect(F.col(text_col), F.col(language_col).isNotNull()).alias("_t")).where("_t is not null")
+    rows = todo.select(F.col(id_col), F.col("_t"), candidates_column(F.col("_t"), data).alias("_c")).withColumn("_r", winner(F.col("_c")))
+    return rows.select(F.explode(finding_array(F.col("_t"), F.col("_r"), F.col(id_col), rules, inner)).alias("f")).select("f.*")
 
 
 def analyze(df: DataFrame, id_col: str, text_col: str, data: LanguageData = LanguageData(), dictionaries: dict[str, DataFrame] | None = None, language_code: str | None = None) -> DataFrame:

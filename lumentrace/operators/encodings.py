@@ -9,6 +9,7 @@ from ..functions import native_ciphers as N
 from ..functions.regex import match_all
 from ..functions.severity import finding
 from ..functions.text import looks_meaningful, truncated
+from . import crack
 
 MOST, SHOWN = 30, 200
 #: What a piece of each encoding looks like, in the order of search.
@@ -45,42 +46,71 @@ def base32(text: Column) -> Column:
     return F.when(ok & (body != ""), F.unhex(F.array_join(octets, "")))
 
 
-def _told(kind: str, i: int, shown: int | None):
-    def told(m: Column) -> Column:
+def _told(kind: str, i: int, shown: int | None, cracked: Column | None = None):
+    """What a match of a kind is told as; ``cracked`` has what XOR cracking found for pieces of hex that don't read as text, null where it found nothing."""
+    plain = lambda t: t if shown is None else truncated(t, shown)
+
+    def told(m: Column, n: Column) -> Column:
         out = _decoded(kind, m["value"])
-        plain = lambda t: t if shown is None else truncated(t, shown)
+        text, name, key = F.when(out.isNotNull(), F.make_valid_utf8(out.cast("string"))), F.lit(kind), F.lit(None).cast("string")
+        decodable, meaningful = out.isNotNull(), looks_meaningful(out)
+        if cracked is not None:
+            c = F.get(cracked, n)
+            hit = c["key"].isNotNull()
+            text, name, key = F.when(hit, c["plaintext"]).otherwise(text), F.when(hit, kind + "_xor").otherwise(name), c["key"]
+            decodable, meaningful = decodable | hit, meaningful | hit
         return F.struct(
-            F.lit(i).alias("ord"), F.lit(kind).alias("kind"), m["pos"].alias("pos"), truncated(m["value"], 60).alias("sample"), out.isNotNull().alias("decodable"),
-            looks_meaningful(out).alias("meaningful"), F.when(out.isNotNull(), plain(F.make_valid_utf8(out.cast("string")))).alias("decoded"),
+            F.lit(i).alias("ord"), name.alias("kind"), m["pos"].alias("pos"), truncated(m["value"], 60).alias("sample"), decodable.alias("decodable"),
+            meaningful.alias("meaningful"), plain(text).alias("decoded"), key.alias("key"),
         )
 
     return told
 
 
-def detect(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None = None, most: int | None = MOST, shown: int | None = SHOWN) -> DataFrame:
-    """(id, kind, pos, sample, decodable, meaningful, decoded) in the order of search (ENC-10).
+def _some(text: Column, kind: str, most: int | None) -> Column:
+    found = match_all(text, CANDIDATES[kind])
+    return found if most is None else F.slice(found, 1, most)
 
-    Each kind gives at most ``most`` pieces of a text, and every kind but hex stops once so many are gathered in all; ``decoded`` is
-    cut after ``shown`` bytes. These are the method's own limits; with None there are none. Pieces of hex that don't decode to text are told as hex; XOR cracking of them is ``crack.xor_hex``.
-    """
+
+def cracked_hex(text: Column, most: int | None = MOST, data: crack.LanguageData = crack.LanguageData()) -> Column:
+    """array<struct<key, plaintext>> for the pieces of hex in ``text``, by their turn: null where they read as text as they are or no XOR with one byte does."""
+    values = F.transform(_some(text, "hex", most), lambda m: F.when(~looks_meaningful(_decoded("hex", m["value"])), m["value"]))
+    return crack.xor_pieces(F.when(F.exists(values, lambda v: v.isNotNull()), values), data)
+
+
+def pieces(text: Column, cracked: Column | None, kinds: list[str] | None = None, most: int | None = MOST, shown: int | None = SHOWN) -> Column:
+    """array<struct<ord, kind, pos, sample, decodable, meaningful, decoded, key>> of a text; ``cracked`` is its ``cracked_hex`` as a column."""
     arrays = []
     for i, kind in enumerate(kinds or CANDIDATES):
-        ms = match_all(F.col(text_col), CANDIDATES[kind])
-        got = F.transform(ms if most is None else F.slice(ms, 1, most), _told(kind, i, shown))
+        got = F.transform(_some(text, kind, most), _told(kind, i, shown, cracked if kind == "hex" else None))
         arrays.append(F.filter(got, lambda x: x["meaningful"]) if kind in ONLY_MEANINGFUL else got)
     total = F.concat(*arrays)
-    counted = total if most is None else F.filter(total, lambda x, i: (i < most) | (x["kind"] == "hex"))
-    return df.select(F.col(id_col), F.explode(counted).alias("m")).select(id_col, "m.*").drop("ord")
+    return total if most is None else F.filter(total, lambda x, i: (i < most) | x["kind"].startswith("hex"))
+
+
+def detect(df: DataFrame, id_col: str, text_col: str, kinds: list[str] | None = None, most: int | None = MOST, shown: int | None = SHOWN, data: crack.LanguageData = crack.LanguageData()) -> DataFrame:
+    """(id, kind, pos, sample, decodable, meaningful, decoded, key) in the order of search (ENC-10).
+
+    Each kind gives at most ``most`` pieces of a text, and every kind but hex stops once so many are gathered in all; ``decoded`` is
+    cut after ``shown`` bytes. These are the method's own limits; with None there are none. Pieces of hex that don't read as text are tried
+    under XOR with each byte (CRK-10): what that gives is of kind hex_xor, with its key.
+    """
+    rows = df.select(F.col(id_col), F.col(text_col))
+    cracked = None
+    if kinds is None or "hex" in kinds:
+        rows, cracked = rows.withColumn("_cracked", cracked_hex(F.col(text_col), most, data)), F.col("_cracked")
+    return rows.select(F.col(id_col), F.explode(pieces(F.col(text_col), cracked, kinds, most, shown)).alias("m")).select(id_col, "m.*").drop("ord")
 
 
 def findings(found: DataFrame, id_col: str) -> DataFrame:
     """Pieces as findings: medium if they read as text, else info (ENC-12); ``decoded`` can go through the PII scan again."""
-    return found.select(*finding_columns(F.col(id_col)))
+    return found.select(*finding_columns(F.col, F.col(id_col)))
 
 
-def finding_columns(location: Column) -> list[Column]:
+def finding_columns(m, location: Column) -> list[Column]:
+    """The columns of a piece's finding; ``m`` gives a field of the piece by name."""
     return finding(
-        "storage", F.concat(F.lit("encoded_content_"), F.col("kind")), F.concat(F.lit("Encoded content: "), F.col("kind")), F.when(F.col("meaningful"), "medium").otherwise("info"),
-        F.concat(F.lit("Sample: "), F.col("sample")), location,
-        evidence=F.create_map(F.lit("position"), F.col("pos").cast("string"), F.lit("decodable"), F.col("decodable").cast("string"), F.lit("decoded"), F.col("decoded")), tags=["encoding"],
+        "storage", F.concat(F.lit("encoded_content_"), m("kind")), F.concat(F.lit("Encoded content: "), m("kind")), F.when(m("meaningful"), "medium").otherwise("info"),
+        F.concat(F.lit("Sample: "), m("sample")), location,
+        evidence=F.create_map(F.lit("position"), m("pos").cast("string"), F.lit("decodable"), m("decodable").cast("string"), F.lit("decoded"), m("decoded"), F.lit("key"), m("key")), tags=["encoding"],
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.entropy import band, entropy, high_entropy
+from ..functions.entropy import band, entropy, high_entropy, profile
+from ..functions.regex import let
 from ..functions.severity import finding
 
 WINDOW, LEAST_WINDOW, LEAST_FILE = 4096, 64, 16 * 1024
@@ -20,28 +21,48 @@ def windows(df: DataFrame, id_col: str, content_col: str, size: int = WINDOW) ->
     return rows.select(id_col, F.col("offset").cast("long").alias("offset"), entropy(F.col("_w")).alias("entropy"))
 
 
-def spikes(found: DataFrame, id_col: str) -> DataFrame:
-    """(id, offset, before, after) from ``windows``: of four windows or more, the first of the later half that is 1.5 bits above the
-    upper median of the earlier half, compressed or encrypted in kind, over a median below 7 (ENT-05).
+def spike(windows: Column) -> Column:
+    """struct<offset, before, after> of a text's windows array<struct<offset, entropy>>, else null: of four windows or more, the first of the later half
+    that is 1.5 bits above the upper median of the earlier half, compressed or encrypted in kind, over a median below 7 (ENT-05).
     """
+    half = F.floor(F.size(windows) / 2).cast("int")
+    early = F.array_sort(F.transform(F.slice(windows, F.lit(1), half), lambda x: x["entropy"]))
+    late = F.slice(windows, half + 1, F.greatest(F.size(windows), F.lit(1)))
+
+    def told(before: Column) -> Column:
+        first = F.get(F.filter(late, lambda x: (x["entropy"] - before >= 1.5) & band(x["entropy"]).isin("compressed", "encrypted")), F.lit(0))
+        return F.when((before < 7) & first.isNotNull(), F.struct(first["offset"].alias("offset"), before.alias("before"), first["entropy"].alias("after")))
+
+    return F.when(F.size(windows) >= 4, let(F.get(early, F.floor(half / 2).cast("int")), told))
+
+
+def spikes(found: DataFrame, id_col: str) -> DataFrame:
+    """(id, offset, before, after) from ``windows``: each row's ``spike``, where it has one."""
     rows = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("offset", "entropy"))).alias("w"))
-    half = F.floor(F.size("w") / 2).cast("int")
-    early = F.array_sort(F.transform(F.slice("w", F.lit(1), half), lambda x: x["entropy"]))
-    rows = rows.where(F.size("w") >= 4).withColumn("before", F.get(early, F.floor(half / 2).cast("int")))
-    late = F.slice("w", half + 1, F.size("w"))
-    hit = F.filter(late, lambda x: (x["entropy"] - F.col("before") >= 1.5) & band(x["entropy"]).isin("compressed", "encrypted"))
-    rows = rows.where("before < 7").withColumn("hit", F.get(hit, F.lit(0))).where("hit is not null")
-    return rows.select(id_col, F.col("hit.offset").alias("offset"), "before", F.col("hit.entropy").alias("after"))
+    return rows.select(id_col, spike(F.col("w")).alias("s")).where("s is not null").select(id_col, "s.*")
+
+
+def finding_array(content: Column, profile: Column, location: Column) -> Column:
+    """Whole-content entropy and a spike of contents of 16 KiB or more as an array of findings (ENT-06, ENT-07); ``profile`` is the content's as a column."""
+    bits = profile["bits"]
+    whole = finding(
+        "storage", "high_entropy_content", "High-entropy content", "low", F.concat(F.format_number(bits, 2), F.lit(" bits/byte ("), band(bits), F.lit(")")), location,
+        evidence=F.create_map(F.lit("entropy"), F.round(bits, 6).cast("string"), F.lit("band"), band(bits)), tags=["entropy"],
+    )
+    at = F.transform(profile["windows"], lambda e, i: F.struct((i * WINDOW).cast("long").alias("offset"), e.alias("entropy")))
+
+    def rise(s: Column) -> Column:
+        told = finding(
+            "storage", "entropy_spike", "Entropy spike", "high",
+            F.concat(F.lit("From "), F.format_number(s["before"], 2), F.lit(" to "), F.format_number(s["after"], 2), F.lit(" bits/byte at byte "), s["offset"].cast("string")), location,
+            evidence=F.create_map(F.lit("offset"), s["offset"].cast("string")), tags=["entropy"],
+        )
+        return F.when(s.isNotNull(), F.struct(*told))
+
+    return F.array_compact(F.array(F.when(high_entropy(content, bits), F.struct(*whole)), let(spike(at), rise)))
 
 
 def findings(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """Whole-content entropy and spikes of contents of 16 KiB or more, as findings (ENT-06, ENT-07)."""
-    bits = df.select(F.col(id_col), F.col(content_col), entropy(F.col(content_col)).alias("bits")).where(high_entropy(F.col(content_col), F.col("bits")))
-    whole = bits.select(
-        *finding("storage", "high_entropy_content", "High-entropy content", "low", F.concat(F.format_number("bits", 2), F.lit(" bits/byte ("), band(F.col("bits")), F.lit(")")), F.col(id_col), evidence=F.create_map(F.lit("entropy"), F.round("bits", 6).cast("string"), F.lit("band"), band(F.col("bits"))), tags=["entropy"])
-    )
-    large = df.where(F.octet_length(content_col) >= LEAST_FILE)
-    rise = spikes(windows(large, id_col, content_col), id_col).select(
-        *finding("storage", "entropy_spike", "Entropy spike", "high", F.concat(F.lit("From "), F.format_number("before", 2), F.lit(" to "), F.format_number("after", 2), F.lit(" bits/byte at byte "), F.col("offset").cast("string")), F.col(id_col), evidence=F.create_map(F.lit("offset"), F.col("offset").cast("string")), tags=["entropy"])
-    )
-    return whole.unionByName(rise)
+    """The same as rows."""
+    rows = df.select(F.col(id_col), F.col(content_col), profile(F.col(content_col), LEAST_FILE, WINDOW, LEAST_WINDOW).alias("_p"))
+    return rows.select(F.explode(finding_array(F.col(content_col), F.col("_p"), F.col(id_col))).alias("f")).select("f.*")

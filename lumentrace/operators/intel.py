@@ -38,33 +38,6 @@ def match_substring(df: DataFrame, name_col: str, rows: list[tuple], key: int, b
     return df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits)))).where(F.length(name_col) > 0)
 
 
-def match_table(df: DataFrame, name_col: str, table: DataFrame, key_col: str, both_ways: bool = True) -> DataFrame:
-    """``df`` with the columns of ``table`` for each row whose key contains the name, or (``both_ways``) lies within it, regardless of case.
-
-    For lists too long to fold into a projection: the shorter string's rarest-looking run of three characters (the whole of it where it is
-    shorter) is looked up among the runs of the longer one, and what meets is compared. Null and empty names and keys match nothing.
-    """
-    name, key = F.lower(F.col("_n.name")), F.lower(F.col("_k.key"))
-    names = df.withColumn("_n", F.struct(F.col(name_col).alias("name"))).where(F.length(name_col) > 0)
-    keys = table.select(F.struct(*[F.col(c) for c in table.columns]).alias("_row"), F.struct(F.col(key_col).alias("key")).alias("_k")).where(F.length("_k.key") > 0)
-
-    def runs(c: Column, n: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
-        return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n)))))
-
-    def every(c: Column) -> Column:
-        return F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[runs(c, n) for n in (1, 2, 3)])))))
-
-    def one(c: Column) -> Column:
-        return F.when(F.length(c) < 3, c).otherwise(F.array_min(F.transform(runs(c, 3), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))["x"])
-
-    met = names.withColumn("_g", one(name)).join(keys.withColumn("_g", every(key)), "_g").where(F.contains(key, name))
-    if both_ways:
-        within = names.withColumn("_g", every(name)).join(keys.withColumn("_g", one(key)), "_g").where(F.contains(name, key) & (name != key))
-        met = met.unionByName(within)
-    return met.select(*df.columns, "_row.*")
-
-
 def blacklisted(df: DataFrame, name_col: str, rows: list[tuple] = T.BLACKLIST) -> DataFrame:
     """Matches with entity_name, reason and severity (SW-07, SW-10)."""
     got = match_substring(df, name_col, rows, 1)

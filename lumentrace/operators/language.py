@@ -29,6 +29,11 @@ def language_scores(text: Column) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, PROFILES)), let(tokens(text), share))
 
 
+def known(text: Column) -> Column:
+    """Whether any language's share reaches the floor; false for null text."""
+    return F.coalesce(let(tokens(text), lambda t: (F.size(t) > 0) & (F.greatest(*[_hits(t, ws) for _, ws in PROFILES.values()]) / F.greatest(F.size(t), F.lit(1)) >= FLOOR)), F.lit(False))
+
+
 def detect(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with language, language_name, confidence and tokens_checked; ties go to the earlier profile, a best score below 0.08 to none (LNG-03)."""
     scored = df.withColumn("_t", tokens(F.col(text_col)))

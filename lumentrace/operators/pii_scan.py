@@ -48,9 +48,14 @@ def merged(df: DataFrame, id_col: str, text_col: str, rules: list[str] | None =
 
 
 def document_score(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, score) of each text."""
+    return df.select(F.col(id_col), decode_score(F.col(text_col)).alias("score"))
+
+
+def decode_score(text: Column) -> Column:
     """How much a text looks like one with personal data, 0 to 0.15 (PII-12, AGG-02): each rule's first match counts once."""
-    m = all_matches(F.col(text_col))
-    names = match_all(F.col(text_col), NAME_PATTERN)
+    m = all_matches(text)
+    names = match_all(text, NAME_PATTERN)
     both = F.filter(names, lambda n: F.lower(F.split(n["value"], " ")[0]).isin([x.lower() for x in FORENAMES]) & F.lower(F.split(n["value"], " ")[1]).isin([x.lower() for x in SURNAMES]))
     first = let(m, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["rule_id"] != x["rule_id"])))
     weight = lambda x: (
@@ -58,27 +63,28 @@ def document_score(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         * F.when(F.coalesce(x["checksum_passed"], F.lit(False)) & (x["base_severity"] == "critical"), 1.2).otherwise(1.0)
     )
     total = F.aggregate(first, F.lit(0.0), lambda s, x: s + weight(x)) + 60.0 * F.size(both)
-    return df.select(F.col(id_col), F.coalesce(F.least(total, F.lit(150.0)) / 1000, F.lit(0.0)).alias("score"))
+    return F.coalesce(F.least(total, F.lit(150.0)) / 1000, F.lit(0.0))
 
 
-def _match_finding(m, location: Column, note: str = "") -> list[Column]:
+def _match_finding(m, location: Column, note: Column | str = "") -> list[Column]:
     """The columns of a match's finding; ``m`` gives a field of the match by name."""
     shown = ("base_severity", "checksum_passed", "context_matched", "position", "rule_id", "value")
     return finding(
-        "storage", F.concat(F.lit("pii_"), F.lower(m("rule_id"))), F.concat(m("label"), F.lit(" detected" + _suffix(note))), m("severity"),
+        "storage", F.concat(F.lit("pii_"), F.lower(m("rule_id"))), F.concat(m("label"), F.lit(" detected"), _suffix(note)), m("severity"),
         F.concat(F.lit("Matched value (redacted): "), m("value")), location,
         evidence=F.map_from_arrays(F.array(*map(F.lit, shown)), F.array(m("base_severity"), m("checksum_passed").cast("string"), m("context_matched"), m("pos").cast("string"), m("rule_id"), m("value"))),
         tags=["pii"],
     )
 
 
-def _name_finding(pos: Column, forename: Column, surname: Column, location: Column, note: str = "") -> list[Column]:
+def _name_finding(pos: Column, forename: Column, surname: Column, location: Column, note: Column | str = "") -> list[Column]:
     hidden = F.concat(forename, F.lit(" "), F.left(surname, F.lit(1)), F.lit("****"))
-    return finding("storage", "pii_person_name", "Person name detected" + _suffix(note), "medium", F.concat(F.lit("Possible name: "), hidden), location, evidence=F.create_map(F.lit("position"), pos.cast("string")), tags=["pii"])
+    return finding("storage", "pii_person_name", F.concat(F.lit("Person name detected"), _suffix(note)), "medium", F.concat(F.lit("Possible name: "), hidden), location, evidence=F.create_map(F.lit("position"), pos.cast("string")), tags=["pii"])
 
 
-def _suffix(note: str) -> str:
-    return f" [{note}]" if note else ""
+def _suffix(note: Column | str) -> Column:
+    """Where a text came from, if it isn't the source itself."""
+    return F.lit(f" [{note}]" if note else "") if isinstance(note, str) else F.concat(F.lit(" ["), note, F.lit("]"))
 
 
 def findings(df: DataFrame, id_col: str, text_col: str, rules: list[str] | None = None, note: str = "") -> DataFrame:
@@ -90,7 +96,7 @@ def findings(df: DataFrame, id_col: str, text_col: str, rules: list[str] | None
     return rows.unionByName(names)
 
 
-def finding_array(text: Column, location: Column, rules: list[str] | None = None, note: str = "") -> Column:
+def finding_array(text: Column, location: Column, rules: list[str] | None = None, note: Column | str = "") -> Column:
     """The same findings of one text as an array of structs, for plans that can't afford another pass over what made the text."""
     out = F.transform(all_matches(text, rules), lambda m: F.struct(*_match_finding(m.getItem, location, note)))
     if rules is not None and "PERSON_NAME" not in rules:
@@ -137,40 +143,51 @@ def _quoted(text: str) -> str:
     return re.sub(r"([^0-9A-Za-z_ ,])", r"\\\1", text)
 
 
-def search_variants(df: DataFrame, id_col: str, text_col: str, variants: list[Variant]) -> DataFrame:
-    """(id, pos, label, value, confidence): the longest match at each place, the earlier variant of equals (SEA-02)."""
+def variant_matches(text: Column, variants: list[Variant]) -> Column:
+    """array<struct<pos, less, i, value, label, confidence>> of a text, by place: sorted, the first at each place is the one that counts."""
 
     def told(v: Variant, i: int):
-        return lambda m: F.struct(m["pos"].alias("pos"), m["value"].alias("value"), F.lit(v.label).alias("label"), F.lit(v.confidence).alias("confidence"), F.lit(i).alias("_i"))
+        return lambda m: F.struct(m["pos"].alias("pos"), (-F.octet_length(m["value"])).alias("less"), F.lit(i).alias("i"), m["value"].alias("value"), F.lit(v.label).alias("label"), F.lit(v.confidence).alias("confidence"))
 
-    arrays = [F.transform(match_all(F.col(text_col), rf"(?i)\b{_quoted(v.text)}\b"), told(v, i)) for i, v in enumerate(variants)]
-    rows = df.select(F.col(id_col), F.explode(F.concat(*arrays)).alias("m")).select(id_col, "m.*")
-    w = Window.partitionBy(id_col, "pos").orderBy(F.desc(F.octet_length("value")), "_i")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_i")
+    arrays = [F.transform(match_all(text, rf"(?i)\b{_quoted(v.text)}\b"), told(v, i)) for i, v in enumerate(variants)]
+    return let(F.array_sort(F.concat(*arrays)), lambda a: F.filter(a, lambda x, n: (n == 0) | (F.get(a, n - 1)["pos"] != x["pos"])))
+
+
+def search_variants(df: DataFrame, id_col: str, text_col: str, variants: list[Variant]) -> DataFrame:
+    """(id, pos, value, label, confidence): the longest match at each place, the earlier variant of equals (SEA-02)."""
+    return df.select(F.col(id_col), F.explode(variant_matches(F.col(text_col), variants)).alias("m")).select(id_col, F.col("m.pos").alias("pos"), F.col("m.value").alias("value"), F.col("m.label").alias("label"), F.col("m.confidence").alias("confidence"))
 
 
 def search_term(df: DataFrame, id_col: str, text_col: str, term: str, is_regex: bool = False, case_sensitive: bool = False) -> DataFrame:
-    """(id, pos, value): a literal or a pattern; a pattern that doesn't compile raises ValueError (SEA-03)."""
+    """(id, pos, value) of a term."""
+    return df.select(F.col(id_col), F.explode(term_matches(F.col(text_col), term, is_regex, case_sensitive)).alias("m")).select(id_col, "m.*")
+
+
+def term_matches(text: Column, term: str, is_regex: bool = False, case_sensitive: bool = False) -> Column:
+    """array<struct<pos, value>> of a literal or a pattern; a pattern that doesn't compile raises ValueError (SEA-03)."""
     pattern = term if is_regex else _quoted(term)
     try:
         re.compile(pattern)
     except re.error as e:
         raise ValueError(f"invalid pattern {term!r}: {e}") from e
-    found = match_all(F.col(text_col), pattern if case_sensitive else "(?i)" + pattern)
-    return df.select(F.col(id_col), F.explode(found).alias("m")).select(id_col, "m.*")
+    return match_all(text, pattern if case_sensitive else "(?i)" + pattern)
 
 
-def search_findings(df: DataFrame, id_col: str, text_col: str, names: list[tuple[str, str, str]] = (), terms: list[dict] = ()) -> DataFrame:
-    """Custom searches as findings (SEA-04): names at their variant's tier, terms at medium."""
-    rows = None
-    for name in names:
-        got = search_variants(df, id_col, text_col, name_variants(*name)).select(
-            *finding("storage", "custom_name_search", F.concat(F.lit("Name match: "), F.col("label")), F.col("confidence"), F.concat(F.lit("Matched: "), F.col("value")), F.col(id_col), evidence=F.create_map(F.lit("position"), F.col("pos").cast("string")), tags=["custom_search"])
-        )
-        rows = got if rows is None else rows.unionByName(got)
-    for term in terms:
-        got = search_term(df, id_col, text_col, **term).select(
-            *finding("storage", "custom_term_search", "Custom term match", "medium", F.concat(F.lit("Matched: "), F.col("value")), F.col(id_col), evidence=F.create_map(F.lit("position"), F.col("pos").cast("string")), tags=["custom_search"])
+def search_finding_array(text: Column, location: Column, names: list[tuple[str, str, str]] = (), terms: list[dict] = ()) -> Column | None:
+    """Custom searches of one text as an array of findings (SEA-04): names at their variant's tier, terms at medium; None without any."""
+
+    def found(subtype: str, title, severity):
+        return lambda m: F.struct(
+            *finding("storage", subtype, title(m), severity(m), F.concat(F.lit("Matched: "), m["value"]), location, evidence=F.create_map(F.lit("position"), m["pos"].cast("string")), tags=["custom_search"])
         )
-        rows = got if rows is None else rows.unionByName(got)
-    return rows
+
+    by_name = found("custom_name_search", lambda m: F.concat(F.lit("Name match: "), m["label"]), lambda m: m["confidence"])
+    by_term = found("custom_term_search", lambda m: F.lit("Custom term match"), lambda m: F.lit("medium"))
+    arrays = [F.transform(variant_matches(text, name_variants(*n)), by_name) for n in names] + [F.transform(term_matches(text, **t), by_term) for t in terms]
+    return F.concat(*arrays) if arrays else None
+
+
+def search_findings(df: DataFrame, id_col: str, text_col: str, names: list[tuple[str, str, str]] = (), terms: list[dict] = ()) -> DataFrame | None:
+    """The same as rows."""
+    every = search_finding_array(F.col(text_col), F.col(id_col), names, terms)
+    return None if every is None else df.select(F.explode(every).alias("f")).select("f.*")

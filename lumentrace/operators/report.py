@@ -79,6 +79,11 @@ def summary(findings: DataFrame) -> DataFrame:
     )
 
 
+def rollups(findings: DataFrame) -> DataFrame:
+    """(category, severity, n, flagged) by both, by each and in total, null standing for all (AGG-01): one pass, from which the other roll-ups can be read."""
+    return findings.cube("category", "severity").agg(F.count("*").alias("n"), F.count_if(is_flagged(F.col("severity"))).alias("flagged"))
+
+
 def write_json(findings: DataFrame, path: str) -> None:
     """Findings as JSON lines at ``path`` and the summary beside them (SNK-01)."""
     findings.write.mode("overwrite").json(f"{path}/findings")

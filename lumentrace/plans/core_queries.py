@@ -709,11 +709,12 @@ def _sig_any(sure: bool) -> str:
 
 
 _SIG_BODY = "(select page_id, list_value('pdf', 'png', 'html', 'svg', 'txt', 'zip', 'exe', 'csv')[1 + page_id % 8] as ext, case page_id % 6 when 0 then '%PDF-1.4 ' when 1 then 'MZ ' when 2 then 'PK' || chr(3) || chr(4) else '' end || html as html from pages)"
+_TYPE_MAP = "map {" + ", ".join(f"'{e}': '{t}'" for e, t in T.TYPE_NAMES.items()) + "}"
 _ACTUAL = "case " + " ".join(f"when ext <> '{e}' and {_sig_sql(c)} then '{e}'" for _, e, s, c in sorted(T.FILE_SIGNATURES) if s) + " end"
 
 
 @query("filesig_check", f"""select page_id, ext as claimed_ext, ext in ({', '.join(_quoted(e) for e in sorted({e for _, e, s, _ in T.FILE_SIGNATURES if s}))}) as known_ext, matched, heuristic as heuristic_matched,
-  case when not matched then actual end as actual_type, left(hex(encode(html)), 32) as header_hex from (select *, {_sig_any(True)} as matched, {_sig_any(False)} as heuristic, {_ACTUAL} as actual from {_SIG_BODY})""")
+  case when not matched then actual end as actual_type, case when not matched then {_TYPE_MAP}[actual] end as actual_description, left(hex(encode(html)), 32) as header_hex from (select *, {_sig_any(True)} as matched, {_sig_any(False)} as heuristic, {_ACTUAL} as actual from {_SIG_BODY})""")
 def filesig_check(spark, sf_dir):
     """SIG-01..03 on pages with made beginnings and extensions."""
     return filesig.check(_sig_pages(spark, sf_dir), "page_id", "content", "ext")
@@ -811,5 +812,5 @@ def clean_docs(spark, sf_dir):
 def scan_documents(spark, sf_dir):
     """SRC-02, FIL-05: all detectors over all documents, rolled up."""
     d = _docs(spark, sf_dir)
-    found = scans.with_clean_rows(scans.scan_texts(d, "doc_id", "text", terms=[{"term": "licensed under"}]), d, "doc_id")
+    found = scans.scan_texts(d, "doc_id", "text", clean=True, terms=[{"term": "licensed under"}])
     return found.groupBy("category", "subtype", "severity").agg(F.count("*").alias("n"))

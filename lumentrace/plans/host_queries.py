@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ciphers as C
 from ..functions import native_ciphers as N
-from ..operators import crack, intel, language, pii_scan
+from ..functions.automaton import WordList
+from ..operators import crack, intel, language, long_lists, pii_scan
 from ..operators.report import by_severity
 from ..sources import files, sqlite_source
 from ..sources import hostfiles as H
@@ -402,8 +403,8 @@ def _letters(c: Column) -> Column:
 
 def _known(spark, sf_dir) -> crack.LanguageData:
     """Words of four letters or more of the benchmark: the list is what makes a transposition plausible."""
-    b = _t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,12}"), F.lit(0))).alias("w")).distinct()
-    return crack.LanguageData(frozenset(r.w for r in b.orderBy("w").limit(100_000).collect()))  # a word list, bounded as such lists are
+    b = _t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,12}"), F.lit(0))).alias("w"))
+    return crack.LanguageData(WordList.of_table(b, "w"))
 
 
 _SIGNS = {m: "".join(C.SYMBOLS[m]["standard"]) for m in ("wingdings", "arrow", "simple_symbols", "symbol_lookalikes", "emoticons")}
@@ -455,6 +456,45 @@ def scan_categories(spark, sf_dir):
     return found.groupBy("category", "subtype", "severity").agg(F.count("*").alias("n"))
 
 
+#: Path and text of a captured file of each kind, and the findings that it gives.
+_FILES = [
+    ("/etc/hosts", "127.0.0.1 localhost\\n127.0.0.1 shop.example.com", [("network", "hosts_entry", "info"), ("network", "hosts_entry", "low")]),
+    ("/etc/resolv.conf", "nameserver 9.9.9.9\\nnameserver 8.8.8.8", [("network", "dns_resolvers", "info")]),
+    ("/proc/net/tcp", " 0: 0100007F:1F90 00000000:0000 0A 0:0 0:0 0 7 0 1", [("network", "listening_port", "info")]),
+    ("/proc/net/tcp6", " 0: 00000000000000000000000001000000:0016 0:0 0A 0:0 0:0 0 0 0 1\\n 1: 00000000000000000000000001000000:0017 0:0 01 0:0 0:0 0 0 0 1", [("network", "listening_port", "info")]),
+    ("/x.nmconnection", "[wifi]\\nssid=home\\n[wifi-security]\\nkey-mgmt=wpa-psk\\npsk=secret", [("network", "wifi_profile", "medium")]),
+    ("/etc/nftables.conf", "table x {\\n}", [("network", "firewall_ruleset", "info")]),
+    ("/etc/os-release", 'ID=x\\nPRETTY_NAME="A=B 12"', [("software", "os_identity", "info")]),
+    ("/etc/passwd", "root:x:0:0::/root:/bin/sh\\nroot2:x:0:0::/root:/bin/sh", [("software", "local_user_account", "info"), ("software", "local_user_account", "critical")]),
+    ("/var/lib/dpkg/status", "Package: a\\nStatus: install ok half-installed\\n\\nPackage: b\\nStatus: install ok installed", [("software", "package_broken_state", "low")]),
+    ("/etc/cron.d/job", "X=1\\n* * * * * root run", [("software", "persistence_cron_entry", "clean")]),
+    ("/var/spool/cron/crontabs/bob", "* * * * * run\\n# no", [("software", "persistence_cron_entry", "clean")]),
+    ("/etc/cron.daily/clean", "#!/bin/sh", [("software", "persistence_cron_periodic", "clean")]),
+    ("/etc/systemd/system/multi-user.target.wants/a.service", "[Unit]", [("software", "persistence_systemd_unit", "clean")]),
+    ("/home/b/.config/autostart/a.desktop", "[Desktop Entry]\\nExec=a --b", [("software", "persistence_autostart", "clean")]),
+    ("/etc/rc.local", "#!/bin/sh\\nrun\\nexit 0", [("software", "persistence_rc_local", "low")]),
+    ("/sys/devices/system/cpu/vulnerabilities/spectre_v2", "Vulnerable", [("hardware", "hw_cpu_vulnerability", "high")]),
+    ("/sys/devices/system/cpu/vulnerabilities/l1tf", "Mitigation: x", [("hardware", "hw_cpu_vulnerability", "info")]),
+    ("/proc/cpuinfo", "processor : 0\\nmodel name : M", [("hardware", "cpu", "info")]),
+    ("/proc/meminfo", "MemTotal: 1048576 kB", [("hardware", "memory", "info")]),
+    ("/proc/mounts", "/dev/sda1 / ext4 rw\\nproc /proc proc rw", [("hardware", "storage_volume", "info")]),
+    ("/sys/bus/usb/devices/1-1/product", "USB Rubber Ducky", [("hardware", "usb_device", "medium")]),
+    ("/sys/class/tpm/tpm0/tpm_version_major", "2", [("hardware", "tpm_status", "clean")]),
+    ("/sys/firmware/efi/efivars/SecureBoot-1", "x0", [("hardware", "secure_boot_status", "low")]),
+    ("/sys/block/dm-0/dm/uuid", "CRYPT-LUKS2-1", [("hardware", "disk_encryption", "clean")]),
+    ("/etc/unknown", "x", []),
+]
+
+
+@query("captured_files", f"""with k as (select s_suppkey % {len(_FILES)} as k from supplier), f(k, category, subtype, severity) as (values {', '.join(f"({i}, '{c}', '{s}', '{v}')" for i, (_, _, fs) in enumerate(_FILES) for c, s, v in fs)})
+  select category, subtype, severity, count(*) as n from k join f using (k) group by all""")
+def captured_files(spark, sf_dir):
+    """FIL-05: one scan over captured files of every kind that has a parser, of many hosts."""
+    pick = lambda i: "element_at(array(" + ", ".join(f"'{f[i]}'" for f in _FILES) + f"), cast(s_suppkey % {len(_FILES)} as int) + 1)"
+    found = scans.scan_captured(_rows(spark, sf_dir, "supplier", pick(1), f"concat('/h', s_suppkey, {pick(0)})"))
+    return found.groupBy("category", "subtype", "severity").agg(F.count("*").alias("n"))
+
+
 @query("interface_states", "select name, case when up and n = 0 then 'info' else 'clean' end as severity, vendor, case when n > 0 then case when s_suppkey % 2 = 0 then 'loopback,private' else 'private' end else '' end as scopes from (select s_suppkey, 'eth' || s_suppkey as name, s_suppkey % 3 <> 0 as up, case when s_suppkey % 4 = 0 then 0 else 1 end as n, case when s_suppkey % 5 = 0 then 'Acme' end as vendor from supplier)")
 def interface_states(spark, sf_dir):
     """NET-03: vendors and classes of addresses."""
@@ -474,7 +514,7 @@ def long_list_theta(spark, sf_dir):
     """SW-07..09 with a list that is a table: names of parts that contain an entry, or lie within one."""
     p = _t(spark, sf_dir, "part")
     entries = p.where("p_partkey % 20 = 0").selectExpr("concat('Entry ', p_partkey) as entry", "lower(left(p_name, 9)) as k")
-    return intel.match_table(p.select("p_partkey", "p_name"), "p_name", entries, "k").select("p_partkey", "entry")
+    return long_lists.match_table(p.select("p_partkey", "p_name"), "p_name", entries, "k").select("p_partkey", "entry")
 
 
 @query("analyze_glossed")

@@ -7,7 +7,6 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
-from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,46 +15,24 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import finding
 from ..functions.text import MAX_TEXT, extracted_text_ok, looks_like_text, size_ok
+from .walk import LARGEST, contents, walk
 
-INFLATE_MOST = 32 * 1024 * 1024
-MORE_SLIDES = 50
+#: Usual limits, which are arguments: bytes of an inflated stream, slides after the first.
+INFLATE_MOST, MORE_SLIDES = 32 * 1024 * 1024, 50
 
 
-def read_files(spark: SparkSession, target: str) -> DataFrame:
-    """(path, modificationTime, length, content) of a file or of all files below a folder (SRC-01).
+def read_files(spark: SparkSession, target: str, largest: int = LARGEST) -> DataFrame:
+    """(path, modificationTime, length, content, error) of a file or of all files below a folder, hidden and empty ones too (SRC-01).
 
-    Unreadable files are left out by ``ignoreCorruptFiles``; a missing target raises AnalysisException. Spark's own listing
-    passes over empty files and names that begin with a dot or underscore; the driver lists those and reads the hidden ones.
+    Folders are walked and files read by the executors (``walk``). What can't be read has a row with its error, so does a folder that can't be listed, whose length is
+    null; a file larger than ``largest`` bytes isn't held. A missing target raises.
     """
-    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(target)
-    rest = _passed_over(spark, target)
-    kept = seen.where("length > 0") if rest else seen
-    return kept.unionByName(spark.createDataFrame(rest, seen.schema)) if rest else kept
-
-
-def _passed_over(spark: SparkSession, target: str) -> list[tuple]:
-    """Rows of empty and of hidden files below ``target``, through Hadoop's file systems; contents only up to the text limit."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(target)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return []
-    base, rows = fs.resolvePath(top).toString(), []
-    found = fs.listFiles(top, True)
-    while found.hasNext():
-        f = found.next()
-        path, n = f.getPath().toString(), f.getLen()
-        inner = path.removeprefix(base) if path.startswith(base) and path != base else path.rpartition("/")[2]
-        hidden = re.search(r"(^|/)[._]", inner)
-        if n and not hidden:
-            continue
-        content = None
-        if n <= MAX_TEXT:
-            stream = fs.open(f.getPath())
-            content = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-            stream.close()
-        rows.append((path, datetime.fromtimestamp(f.getModificationTime() / 1000), n, content))
-    return rows
+    return contents(walk(spark, target), target, largest)
+
+
+def scan_error(error: Column, path: Column) -> Column:
+    """The finding of a file or folder that couldn't be read, else null (SRC-02)."""
+    return F.when(error.isNotNull(), F.struct(*finding("storage", "scan_error", "Could not scan file", "info", error, path)))
 
 
 def extension(path: Column) -> Column:
@@ -76,7 +53,7 @@ def _operands(content: bytes) -> str:
     return " ".join(x for x in out if x.strip())
 
 
-def pdf_text(data: bytes) -> str | None:
+def pdf_text(data: bytes, inflate: int = INFLATE_MOST) -> str | None:
     """Text operators of plain and deflated streams; other filters are skipped; None if it isn't a PDF (SRC-06)."""
     if not data.startswith(b"%PDF-"):
         return None
@@ -85,7 +62,7 @@ def pdf_text(data: bytes) -> str | None:
         kind, body = m[1], m[2]
         if b"FlateDecode" in kind:
             try:
-                body = zlib.decompressobj().decompress(body, INFLATE_MOST)
+                body = zlib.decompressobj().decompress(body, inflate)
             except zlib.error:
                 continue
         elif b"/Filter" in kind:
@@ -95,13 +72,13 @@ def pdf_text(data: bytes) -> str | None:
     return "\n".join(out)
 
 
-def ooxml_text(data: bytes) -> str | None:
+def ooxml_text(data: bytes, slides: int = MORE_SLIDES) -> str | None:
     """Text of a document, a workbook's shared strings or slides (SRC-07); None if it isn't such a file."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = set(z.namelist())
             parts = [p for p in ("word/document.xml", "xl/sharedStrings.xml") if p in names]
-            parts += [p for p in (f"ppt/slides/slide{i}.xml" for i in range(1, MORE_SLIDES + 2)) if p in names]
+            parts += [p for p in (f"ppt/slides/slide{i}.xml" for i in range(1, slides + 2)) if p in names]
             out = []
             for p in parts:
                 for _, node in ElementTree.iterparse(z.open(p), events=("end",)):
@@ -115,42 +92,47 @@ def ooxml_text(data: bytes) -> str | None:
         return None
 
 
-def _extract(b: bytes | None) -> tuple[str | None, str | None]:
+def _extract(b: bytes | None, inflate: int, slides: int) -> tuple[str | None, str | None]:
     b = b or b""
     if b.startswith(b"%PDF-"):
-        return "pdf", pdf_text(b)
-    if b.startswith(b"PK\x03\x04") and (t := ooxml_text(b)) is not None:
+        return "pdf", pdf_text(b, inflate)
+    if b.startswith(b"PK\x03\x04") and (t := ooxml_text(b, slides)) is not None:
         return "ooxml", t
     return None, None
 
 
-def _extracted(content: Column) -> Column:
+def _extracted(content: Column, inflate: int, slides: int) -> Column:
     @F.pandas_udf("kind string, text string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            rows = [_extract(b) for b in s]
+            rows = [_extract(b, inflate, slides) for b in s]
             yield pd.DataFrame({"kind": pd.Series([k for k, _ in rows], dtype=object), "text": pd.Series([t for _, t in rows], dtype=object)})
 
     return run(content)
 
 
-def with_text(files: DataFrame, content_col: str = "content", length_col: str = "length") -> DataFrame:
+def with_text(files: DataFrame, content_col: str = "content", length_col: str = "length", most: int = MAX_TEXT, inflate: int = INFLATE_MOST, slides: int = MORE_SLIDES) -> DataFrame:
     """``files`` with text (null if there is none) and text_status: text, extracted, unreliable, empty or none (SRC-08).
 
-    Only contents that begin as a PDF or ZIP reach Python.
+    Only contents that begin as a PDF or ZIP reach Python. Plain texts of more than ``most`` bytes have none, streams give ``inflate`` bytes at most, and ``slides`` slides are read after the first.
     """
     c = F.col(content_col)
-    packed = F.hex(F.substring(c, 1, 4)).isin("25504446", "504B0304")
-    plain = files.where(~F.coalesce(packed, F.lit(False))).withColumn("text_status", F.when(size_ok(F.col(length_col)) & looks_like_text(c), "text").otherwise("none"))
-    plain = plain.withColumn("text", F.when(F.col("text_status") == "text", F.make_valid_utf8(c.cast("string"))))
-    done = files.where(packed).withColumn("_x", _extracted(c))
-    status = F.when(F.col("_x.kind").isNull(), "none").when(F.trim(F.coalesce("_x.text", F.lit(""))) == "", "empty").when(extracted_text_ok(F.col("_x.text")), "extracted").otherwise("unreliable")
-    done = done.withColumn("text_status", status).withColumn("text", F.when(F.col("text_status") == "extracted", F.col("_x.text"))).drop("_x")
-    return plain.unionByName(done)
+    packed = F.coalesce(F.hex(F.substring(c, 1, 4)).isin("25504446", "504B0304"), F.lit(False))
+    rows = files.withColumn("_x", _extracted(F.when(packed, c), inflate, slides))
+    inner = F.when(F.col("_x.kind").isNull(), "none").when(F.trim(F.coalesce("_x.text", F.lit(""))) == "", "empty").when(extracted_text_ok(F.col("_x.text")), "extracted").otherwise("unreliable")
+    plain = F.when(F.coalesce(size_ok(F.col(length_col), most) & looks_like_text(c), F.lit(False)), "text").otherwise("none")
+    status = F.col("text_status")
+    rows = rows.withColumn("text_status", F.when(packed, inner).otherwise(plain))
+    return rows.withColumn("text", F.when(status == "text", F.make_valid_utf8(c.cast("string"))).when(status == "extracted", F.col("_x.text"))).drop("_x")
+
+
+def extraction_finding(status: Column, path: Column) -> Column:
+    """The finding of a file whose extracted text is missing or can't be trusted, else null (SRC-08)."""
+    bad = status == "unreliable"
+    told = finding("storage", F.when(bad, "extraction_unreliable").otherwise("extraction_no_text"), F.when(bad, "Extracted text looks unreliable").otherwise("No text could be extracted"), "info", status, path, tags=["extraction"])
+    return F.when(status.isin("unreliable", "empty"), F.struct(*told))
 
 
 def extraction_findings(files: DataFrame, path_col: str = "path") -> DataFrame:
-    """Files whose extracted text is missing or can't be trusted (SRC-08)."""
-    rows = files.where(F.col("text_status").isin("unreliable", "empty"))
-    bad = F.col("text_status") == "unreliable"
-    return rows.select(*finding("storage", F.when(bad, "extraction_unreliable").otherwise("extraction_no_text"), F.when(bad, "Extracted text looks unreliable").otherwise("No text could be extracted"), "info", F.col("text_status"), F.col(path_col), tags=["extraction"]))
+    """Such files as findings."""
+    return files.select(extraction_finding(F.col("text_status"), F.col(path_col)).alias("f")).where("f is not null").select("f.*")

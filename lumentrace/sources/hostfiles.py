@@ -50,6 +50,16 @@ def resolvers(rows: DataFrame) -> DataFrame:
     return f.where((F.size("f") == 2) & (F.get("f", F.lit(0)) == "nameserver")).select("path", F.get("f", F.lit(1)).alias("server"))
 
 
+def resolver_findings(servers: DataFrame) -> DataFrame:
+    """One finding per file with its servers in turn of their text, and what is known of them (NET-02, NET-05)."""
+    from ..functions.tables import DNS_PROVIDERS
+
+    known = F.create_map(*[F.lit(x) for pair in DNS_PROVIDERS for x in pair])
+    told = servers.groupBy("path").agg(F.sort_array(F.collect_set("server")).alias("servers"))
+    names = F.array_join(F.array_compact(F.transform("servers", lambda s: F.try_element_at(known, s))), ", ")
+    return told.select(*finding("network", "dns_resolvers", "DNS resolvers", "info", F.array_join("servers", ", "), F.col("path"), source="resolv_conf", evidence=F.create_map(F.lit("providers"), names), tags=["dns"]))
+
+
 def ipconfig_resolvers(whole: DataFrame) -> DataFrame:
     """(path, server) of ``DNS Servers`` lines of whole captured ipconfig outputs and the bare addresses below them (NET-06)."""
     block = F.regexp_extract_all("value", F.lit("DNS Servers[ .]*:\\s*([0-9A-Fa-f:.%]+(?:\\n\\s+[0-9A-Fa-f:.%]+(?=\\s*(?:\\n|$)))*)"), F.lit(1))
@@ -89,9 +99,17 @@ def firewall(whole: DataFrame) -> DataFrame:
     return whole.select("path", rules.alias("rules"), F.left("value", F.lit(200)).alias("preview"))
 
 
+def firewall_findings(sets: DataFrame) -> DataFrame:
+    return sets.select(*finding("network", "firewall_ruleset", "Firewall rules", "info", F.concat(F.col("rules").cast("string"), F.lit(" rules")), F.col("path"), source="firewall", evidence=F.create_map(F.lit("preview"), F.col("preview")), tags=["firewall"]))
+
+
 def os_release(rows: DataFrame) -> DataFrame:
     """(path, name) of PRETTY_NAME (SW-01)."""
-    return rows.where(F.startswith("value", F.lit("PRETTY_NAME="))).select("path", F.regexp_replace(F.substring_index("value", "=", -1), '^"|"$', "").alias("name"))
+    return rows.where(F.startswith("value", F.lit("PRETTY_NAME="))).select("path", F.regexp_replace(F.regexp_replace("value", "^[^=]*=", ""), '^"|"$', "").alias("name"))
+
+
+def os_findings(names: DataFrame) -> DataFrame:
+    return names.select(*finding("software", "os_identity", "Operating system", "info", F.col("name"), F.col("path"), source="os_release", tags=["os"]))
 
 
 def passwd(rows: DataFrame) -> DataFrame:
@@ -148,6 +166,17 @@ def crontab(rows: DataFrame) -> DataFrame:
     return f.where(F.size("f") >= 6).select("path", F.array_join(F.slice("f", 1, 5), " ").alias("schedule"), F.trim("value").alias("line"))
 
 
+def user_crontab(rows: DataFrame) -> DataFrame:
+    """The same of a user's own table, whose lines name no user: five fields and a command."""
+    f = rows.where(_NO_COMMENT).where(~F.col("value").rlike("^\\s*[A-Za-z_][A-Za-z0-9_]*\\s*=")).withColumn("f", _fields())
+    return f.where(F.size("f") >= 6).select("path", F.array_join(F.slice("f", 1, 5), " ").alias("schedule"), F.trim("value").alias("line"))
+
+
+def placed_findings(files: DataFrame, subtype: str, title: str) -> DataFrame:
+    """Files that something runs because of where they lie: periodic jobs, wanted units (SW-17, SW-18)."""
+    return files.select(*finding("software", subtype, title, "clean", F.regexp_extract("path", "[^/]+$", 0), F.col("path"), source="persistence", tags=["persistence"]))
+
+
 def persistence_findings(entries: DataFrame) -> DataFrame:
     return entries.select(*finding("software", "persistence_cron_entry", "Scheduled job", "clean", F.col("line"), F.col("path"), source="cron", tags=["persistence"]))
 
@@ -157,6 +186,10 @@ def autostart(whole: DataFrame) -> DataFrame:
     return whole.select("path", _ini("Exec").alias("exec")).where("exec is not null")
 
 
+def autostart_findings(entries: DataFrame) -> DataFrame:
+    return entries.select(*finding("software", "persistence_autostart", "Program started at login", "clean", F.col("exec"), F.col("path"), source="autostart", tags=["persistence"]))
+
+
 def rc_local(whole: DataFrame) -> DataFrame:
     """Findings for rc.local files that do something (SW-18)."""
     active = F.exists(F.split("value", "\n"), lambda x: ~x.rlike("^\\s*(#|$|exit 0\\s*$)"))
@@ -175,6 +208,15 @@ def meminfo(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.round(kb("MemTotal") / 1048576, 1).alias("total_gb"), F.round(kb("MemAvailable") / 1048576, 1).alias("available_gb"))
 
 
+def cpu_findings(cpus: DataFrame) -> DataFrame:
+    return cpus.select(*finding("hardware", "cpu", "Processor", "info", F.coalesce("model", F.lit("unknown")), F.col("path"), source="cpuinfo", evidence=F.create_map(F.lit("cores"), F.col("cores").cast("string")), tags=["cpu"]))
+
+
+def memory_findings(sizes: DataFrame) -> DataFrame:
+    told = F.concat(F.col("total_gb").cast("string"), F.lit(" GB, "), F.coalesce(F.col("available_gb").cast("string"), F.lit("?")), F.lit(" GB available"))
+    return sizes.select(*finding("hardware", "memory", "Memory", "info", told, F.col("path"), source="meminfo", tags=["memory"]))
+
+
 #: Kinds of file system that hold no files of their own.
 PSEUDO = ("proc sysfs tmpfs devtmpfs devpts cgroup cgroup2 pstore bpf debugfs tracefs securityfs configfs fusectl mqueue hugetlbfs autofs rpc_pipefs squashfs overlay").split()
 
@@ -224,6 +266,23 @@ def disk_encryption(block_devices: DataFrame) -> DataFrame:
     return n.select(*finding("hardware", "disk_encryption", "Disk encryption", F.when(F.col("n") > 0, "clean").otherwise("low"), F.concat(F.col("n").cast("string"), F.lit(" encrypted devices")), F.lit("block"), source="sysfs", tags=["encryption"]))
 
 
+def tpm_findings(whole: DataFrame) -> DataFrame:
+    """A captured tpm_version_major file tells that there is a TPM (HW-07)."""
+    return whole.select(*finding("hardware", "tpm_status", "TPM", "clean", F.concat(F.lit("version "), F.trim("value")), F.col("path"), source="sysfs", tags=["firmware"]))
+
+
+def secure_boot_findings(whole: DataFrame) -> DataFrame:
+    """The last byte of a captured SecureBoot variable: 1 is on (HW-07)."""
+    on = F.ascii(F.right("value", F.lit(1))) == 1
+    return whole.select(*finding("hardware", "secure_boot_status", "Secure Boot", F.when(on, "clean").otherwise("low"), F.when(on, "on").otherwise("off"), F.col("path"), source="efivars", tags=["firmware"]))
+
+
+def crypt_findings(whole: DataFrame) -> DataFrame:
+    """Captured device mapper ids: an encrypted mapping or not (HW-08)."""
+    crypt = F.startswith("value", F.lit("CRYPT-"))
+    return whole.select(*finding("hardware", "disk_encryption", "Disk encryption", F.when(crypt, "clean").otherwise("low"), F.trim("value"), F.col("path"), source="sysfs", tags=["encryption"]))
+
+
 def interface_findings(rows: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Interfaces (name, mac, up, addresses): vendor of the address and classes of its addresses; info where one is up without any but isn't the loopback, else clean (NET-03)."""
     from ..operators.intel import mac_vendor

@@ -13,7 +13,7 @@ from lumentrace.functions.network import classify_ip, hex_address
 from lumentrace.functions.regex import match_all
 from lumentrace.functions.severity import severity_rank, step
 from lumentrace.functions.tools import decode_jwt, identify_hash
-from lumentrace.operators import crack, encodings, entropy_windows, filesig, intel, language, pii_scan
+from lumentrace.operators import crack, encodings, entropy_windows, filesig, intel, language, long_lists, pii_scan
 
 ENGLISH = "the people of the city were in the habit of meeting at the old house by the river and they had been there for many years with all of their children"
 
@@ -202,7 +202,7 @@ def test_long_lists_match_like_short_ones(spark):
     table = spark.createDataFrame(rows, "entity_type string, entity_name string, reason string, severity string, source string")
     for both in (True, False):
         want = sorted((i, k) for i, n in names for _, k, *_ in rows if n and k and (n.lower() in k.lower() or both and k.lower() in n.lower()))
-        assert sorted((r.id, r.entity_name) for r in intel.match_table(s, "name", table, "entity_name", both).collect()) == want
+        assert sorted((r.id, r.entity_name) for r in long_lists.match_table(s, "name", table, "entity_name", both).collect()) == want
 
 
 def test_glosses_in_analyses(spark):

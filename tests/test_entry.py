@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from lumentrace.plans import core_queries, host_queries, pii_queries
+from lumentrace.plans import core_queries, host_queries, list_queries, pii_queries
 
-QUERIES = pii_queries.QUERIES | core_queries.QUERIES | host_queries.QUERIES
-ORACLES = pii_queries.ORACLES | core_queries.ORACLES | host_queries.ORACLES
+QUERIES = pii_queries.QUERIES | core_queries.QUERIES | host_queries.QUERIES | list_queries.QUERIES
+ORACLES = pii_queries.ORACLES | core_queries.ORACLES | host_queries.ORACLES | list_queries.ORACLES
 
 
 def norm(v):
