@@ -90,7 +90,8 @@ def parted(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Data
     marks = keys.groupBy(word(F.col("k")).alias("_bitmap_word")).agg(F.bit_or(bit(F.col("k"))).alias("_bitmap_bits"))
     met = df.withColumn("_bitmap_key", key).withColumn("_bitmap_at", word(F.col("_bitmap_key"))).join(F.broadcast(marks), F.col("_bitmap_at") == F.col("_bitmap_word"), "left")
     may = F.coalesce(F.col("_bitmap_bits").bitwiseAND(bit(F.col("_bitmap_key"))) != 0, F.lit(False))
-    return met.where(may).select(*df.columns), met.where(~may).select(*df.columns)
+    own = [named(c) for c in df.columns]
+    return met.where(may).select(*own), met.where(~may).select(*own)
 
 
 def passing(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
@@ -134,12 +135,27 @@ def tidy(run: Callable[[Iterator], Iterator], caches: bool = False) -> Callable[
     return wrapped
 
 
+def named(name: str) -> Column:
+    """The column of that very name, whatever dots and backticks it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame, names: list[str] | None = None) -> Column:
+    """All columns of ``df`` (or ``names``) as one struct, "row", whose fields are numbered: it can travel where their names couldn't."""
+    return F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(df.columns if names is None else names)]).alias("row")
+
+
+def field(df: DataFrame, name: str, names: list[str] | None = None) -> Column:
+    """A column of ``df`` out of its ``whole`` row."""
+    return F.col("row").getField(f"c{(df.columns if names is None else names).index(name)}").alias(name)
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's content: tells rows apart that share an id; equal rows share it.
 
     The operators pair it with the id and give equal rows equal results.
     """
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in cols])
+    return F.xxhash64(*[F.coalesce(named(c).cast("string"), F.lit("\u0000null")) for c in cols])
 
 
 def fold(col: str, mod: int) -> Column:

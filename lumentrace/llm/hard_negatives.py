@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import named, written
 
 #: Rows of a block of vectors and of a block of anchors, on average.
 VECTOR_BLOCK, ANCHOR_BLOCK = 32_768, 8_192
@@ -119,9 +119,8 @@ def mine(
     """
     if min(positives, negatives, low) < 1 or high < low:
         raise ValueError("positives, negatives and low are one or more, high isn't below low")
-    q = lambda c: "`" + c.replace("`", "``") + "`"
     element = "float" if dict(vectors.dtypes)[vec_col] == "array<float>" else "double"  # as stored: never more bytes than the table has
-    rows = vectors.select(F.col(q(id_col)).alias("id"), F.col(q(label_col)).alias("label"), F.col(q(vec_col)).alias("vector"), F.coalesce(anchors, F.lit(False)).alias("anchor"))
+    rows = vectors.select(named(id_col).alias("id"), named(label_col).alias("label"), named(vec_col).alias("vector"), F.coalesce(anchors, F.lit(False)).alias("anchor"))
     rows = rows.where(usable("vector", "label")).select("id", "label", F.col("vector").cast(f"array<{element}>").alias("vector"), F.size("vector").alias("dim"), "anchor")
     rows = written(rows.withColumn("place", F.xxhash64("id", "vector", F.monotonically_increasing_id())), "hard-rows")
     kinds = dict(rows.dtypes)

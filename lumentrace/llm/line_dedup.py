@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parted, passing, row_key, written
+from .common import field, named, parted, passing, row_key, whole, written
 
 MIN_WORDS = 50
 #: A gap's rolling hash is a boundary if this many of its bits are zero; a chunk ends after so many lines at the latest.
@@ -43,9 +43,9 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     a is the line's hash, b the following line's (null at the end); masked tells whether the gap between them falls under the mask.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
+    lines = F.split(named(text_col), "\n", -1)
     told = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).cast("int").alias("w"), _value(x).alias("v")))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), row_key(text_col).alias("rk"), told.alias("t"))
+    rows = docs.where(named(text_col).isNotNull()).select(named(id_col).alias("id"), row_key(text_col).alias("rk"), told.alias("t"))
     paired = F.arrays_zip(F.col("t").alias("l"), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))).alias("r"))
     rolled = (F.col("p.l.v") * FACTOR + F.col("p.r.v")) % MODULUS
     return rows.select("id", "rk", F.posexplode(paired).alias("pos", "p")).select(
@@ -86,7 +86,7 @@ def chunks(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def clashing_digests(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Those of the digests of ``found`` (chunks) that stand for different bytes: distinct texts, counted by digest."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), row_key(text_col).alias("k"), F.col(text_col).alias("t"))
+    texts = docs.where(named(text_col).isNotNull()).select(named(id_col).alias("i"), row_key(text_col).alias("k"), named(text_col).alias("t"))
     some = passing(texts, F.xxhash64("i", "k"), found.select(F.xxhash64("id", "rk").alias("k")))
     spans = found.groupBy("id", "rk").agg(F.collect_list(F.struct("first", "last", "digest")).alias("cs"))
     met = some.join(spans.hint("shuffle_hash"), F.expr("i <=> id and k = rk")).select(F.split("t", "\n", -1).alias("ls"), F.explode("cs").alias("c"))
@@ -124,23 +124,24 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     new = ("removed_lines", "removed_words")
     own = [c for c in docs.columns if c not in new]
-    spans = repeated_spans(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, min_words)
+    spans = repeated_spans(docs.select(named(id_col), named(text_col)), id_col, text_col, min_words)
     gone = spans.groupBy("id", "rk").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("cuts"), F.sum(F.col("last") - F.col("first") + 1).alias("lines"), F.sum("words").alias("words")
     )
     gone = written(gone, "line-cuts")
     # all columns of docs travel in one struct, so that no name of theirs can clash; only documents with cuts are shuffled
-    keyed = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("i"), row_key(text_col).alias("k"))
+    keyed = docs.select(whole(docs, own), named(id_col).alias("i"), row_key(text_col).alias("k"))
     some, others = parted(keyed, F.xxhash64("i", "k"), gone.select(F.xxhash64("id", "rk").alias("k")))
     none = [F.lit(None).cast(t).alias(c) for c, t in gone.dtypes]
     met = some.join(gone.hint("shuffle_hash"), F.expr("i <=> id and k = rk"), "left").unionByName(others.select("*", *none))
-    old, lines, cuts = F.col("row").getField(text_col), F.split(F.col("row").getField(text_col), "\n", -1), F.col("cuts")
+    old, cuts = field(docs, text_col, own), F.col("cuts")
+    lines = F.split(old, "\n", -1)
     # the lines between one cut and the next: each line is copied once
     start = lambda n: F.when(n == 0, 0).otherwise(F.get(cuts, n - 1)["last"] + 1)
     stop = lambda n: F.coalesce(F.get(cuts, n)["first"], F.size(lines))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda n: F.slice(lines, start(n) + 1, stop(n) - start(n))))
     text = F.when(cuts.isNull(), old).otherwise(F.array_join(kept, "\n"))
     return met.select(
-        *[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in own],
+        *[(text if c == text_col else field(docs, c, own)).alias(c) for c in own],
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n) for c, n in zip(("lines", "words"), new)],
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, worker_cache, written
+from .common import field, named, tidy, whole, worker_cache, written
 
 CAPACITY = 4096
 #: Pieces in a shard, on average; they are dealt by hash, so that no key makes a shard larger.
@@ -275,7 +275,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
     ``told`` gets, by level, a table (level, shard, best_fit, n_bins, floor, generations, migrations): bins of the first
     epoch's plain best fit, of the result, of the lower bound, and the work of all islands on it.
     """
-    rest, done, level, before = rows.select(F.struct(*rows.columns).alias("row"), F.col(length_col).cast("int").alias("length")), [], 0, None
+    rest, done, level, before = rows.select(whole(rows), named(length_col).cast("int").alias("length")), [], 0, None
     while True:
         n = -(-rest.count() // shard)
         if n == 0 and done:
@@ -312,7 +312,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length_col: str = "length",
         full = F.col("fill") >= int(WELL_FILLED * capacity)
         done.append(packed.where(full))
         rest, level, before = packed.where(~full).select("row", "length"), level + 1, n
-    return _all(done).select(*[F.col("row").getField(c).alias(c) for c in rows.columns], "sequence_id", "offset")
+    return _all(done).select(*[field(rows, c) for c in rows.columns], "sequence_id", "offset")
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import named, tidy, written
 
 #: Words of a block, on average, and splitters at most: beyond BLOCK * SPLITTERS words the blocks grow.
 BLOCK, SPLITTERS = 8_192, 1 << 16
@@ -41,7 +41,7 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts as empty. A null or empty text has no words; every row counts, repeated ones too; an empty table has no words. Counts
     are summed within tasks before they are shuffled.
     """
-    rows = docs.select(F.col(_quoted(id_col)).cast("string").alias("id"), F.col(_quoted(text_col)).alias("text"))
+    rows = docs.select(named(id_col).cast("string").alias("id"), named(text_col).alias("text"))
     runs = re.compile(LETTERS)
 
     def told(held: Counter) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,3 @@ def members(told: DataFrame) -> DataFrame:
     return rows.groupBy("root").agg(F.max("n_words").alias("n_words"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "word"))).alias("g")).select(
         "root", "n_words", "n", F.transform("g", lambda x: x["word"]).alias("variants")
     )
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import named, tidy, written
 
 FEATURE_BITS = 20
 #: Texts of the training sample, chosen by a hash of the id: the bound on what fitting gathers.
@@ -179,5 +179,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", *keep: str) ->
             z = np.clip(np.array(sums, np.float64) + m.bias, -40, 40)
             yield pa.RecordBatch.from_arrays(b.columns[1:] + [pa.array(1 / (1 + np.exp(-z)))], names=[*keep, "score"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(F.col(text_col), *keep).mapInArrow(tidy(run), ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["score double"]))
+    kept = [named(c) for c in keep]
+    return docs.select(named(text_col), *kept).mapInArrow(tidy(run), docs.select(*kept).schema.add("score", "double"))
