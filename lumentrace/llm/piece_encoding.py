@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, tidy, worker_cache
+from .common import BATCH_ROWS, field, named, tidy, whole, worker_cache
 
 #: Fixed values of the model format: the sign that stands for a space, the kinds of pieces, the kind of model.
 SPACE = "▁"
 UNKNOWN, USER_DEFINED, UNUSED, BYTE, NORMAL = 2, 4, 5, 6, 1
 BPE = 2
 #: Words longer than this aren't remembered; bytes of words and ids that a worker remembers.
-LONG_WORD, CACHE_BYTES = 64, 48 << 20
-#: Pieces that a batch of results has, about.
-BATCH_PIECES = 1 << 19
+LONG_WORD, CACHE_BYTES = 64, 64 << 20
+#: Words merged together, and characters of the texts whose words are learned together, about.
+ALIKE, TOGETHER = 4_096, 1 << 20
+#: The place of a pair that doesn't merge.
+NEVER = np.int32((1 << 31) - 1)
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -117,7 +119,12 @@ class Model:
         self.bytes = [self.reserved.get(f"<0x{b:02X}>", self.unknown) for b in range(256)] if trainer[35] else None
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.by_word = not (own or inner or self.bytes is None or self.suffix) and self.escape
-        self.words = _Words(self.merged)
+        self.decoded = None
+        if self.prefix and self.escape and not (self.squeeze or self.suffix):
+            self.decoded = np.array([bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() if kind in (NORMAL, USER_DEFINED, UNUSED) else None for p, _, kind in pieces], object)
+        self.words = _Words(self)
+        if self.by_word and not self.unused:
+            self._tables()
 
     # --- normalisation
 
@@ -171,21 +178,74 @@ class Model:
 
     def merged(self, word: str) -> tuple[list[int], list[int]]:
         """(ids, characters of each): of a symbol that goes as bytes the last one has its characters."""
-        return self._told(*(self._short(word) if self.by_word and len(word) <= LONG_WORD and not self.unused else self._long(word)))
-
-    def _short(self, word: str) -> tuple[list[str], dict]:
-        """Merges of a word of few characters: the list of its pairs' costs is searched anew for each."""
-        parts, cost, never = list(word), self.costs.get, float("inf")
-        costs = [cost(a + b, never) for a, b in zip(parts, parts[1:])]
-        while costs and (least := min(costs)) < never:
-            i = costs.index(least)
-            parts[i] += parts.pop(i + 1)
-            del costs[i]
-            if i:
-                costs[i - 1] = cost(parts[i - 1] + parts[i], never)
-            if i < len(costs):
-                costs[i] = cost(parts[i] + parts[i + 1], never)
-        return parts, {}
+        return self._told(*self._long(word))
+
+    def _tables(self) -> None:
+        """Pieces of one character, and what each pair of pieces merges to with its place in the order of scores."""
+        one = sorted((ord(p), i) for p, i in self.ids.items() if len(p) == 1)
+        self.chars, self.char_ids = np.array([c for c, _ in one], np.int64), np.array([i for _, i in one], np.int32)
+        pairs = sorted((self.ids[p[:k]] * len(self.scores) + self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
+        self.pair_keys, self.pair_to = np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int32)
+        place = np.unique(-np.array(self.scores), return_inverse=True)[1].astype(np.int32)
+        self.pair_rank = place[self.pair_to]
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, piece) of neighbours; NEVER where they don't merge."""
+        key = a.astype(np.int64) * len(self.scores) + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_rank[at], NEVER), self.pair_to[at]
+
+    def merged_alike(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each of ``words``, all of one length, with its ids and sizes: all words make their best merge at once, then their next."""
+        width = len(words[0])
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, width)
+        at = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+        ids = np.where(self.chars[at] == code, self.char_ids[at], -1).astype(np.int32)
+        sizes, left = np.ones_like(ids), np.arange(len(words))
+        rank, to = self._pairs(ids[:, :-1], ids[:, 1:])
+        while len(left):
+            if width > 1:
+                best = rank.argmin(1)
+                go = rank[np.arange(len(left)), best] < NEVER
+            else:
+                go = np.zeros(len(left), bool)
+            if not go.all():
+                both, odd = np.stack([ids[~go], sizes[~go]], 2), (ids[~go] < 0).any(1)
+                for i, pairs, unknown in zip(left[~go].tolist(), both, odd.tolist()):
+                    yield words[i], self._with_bytes(words[i], pairs.tolist()) if unknown else pairs.tobytes()
+                if not go.any():
+                    return
+                ids, sizes, rank, to, best, left = ids[go], sizes[go], rank[go], to[go], best[go], left[go]
+            row, col = np.arange(len(left)), np.arange(width - 1)
+            ids[row, best] = to[row, best]
+            sizes[row, best] += sizes[row, best + 1]
+            kept = col + (col > best[:, None])
+            ids, sizes = np.take_along_axis(ids, kept, 1), np.take_along_axis(sizes, kept, 1)
+            kept = col[:-1] + (col[:-1] >= best[:, None])
+            rank, to = np.take_along_axis(rank, kept, 1), np.take_along_axis(to, kept, 1)
+            width -= 1
+            for place in (best - 1, best):
+                r = np.nonzero((place >= 0) & (place < width - 1))[0]
+                c = place[r]
+                rank[r, c], to[r, c] = self._pairs(ids[r, c], ids[r, c + 1])
+
+    def _with_bytes(self, word: str, pairs: list[list[int]]) -> bytes:
+        """Ids and sizes of a word of which some characters, told as -1, go as bytes."""
+        out: list[int] = []
+        at = 0
+        for i, size in pairs:
+            if i >= 0:
+                out += i, size
+            else:
+                for b in word[at].encode("utf-8", "surrogatepass"):
+                    out += self.bytes[b], 0
+                out[-1] = 1
+            at += size
+        return struct.pack(f"<{len(out)}i", *out)
+
+    def _packed(self, word: str) -> bytes:
+        ids, sizes = self.merged(word)
+        return struct.pack(f"<{2 * len(ids)}i", *[x for pair in zip(ids, sizes) for x in pair])
 
     def _long(self, word: str) -> tuple[list[str], dict[str, tuple[str, str]]]:
         """Merges by a heap of pairs; also the halves of pieces that are only used on the way."""
@@ -254,16 +314,37 @@ class Model:
 
     WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+    def decode(self, ids: list[int] | np.ndarray) -> str | None:
+        """The text of ids, if they are plain pieces and bytes that make up characters, of a model that puts a space before each text; else None."""
+        if not len(ids):
+            return ""
+        if self.decoded is None:
+            return None
+        parts = self.decoded[ids].tolist()
+        try:
+            got = b"".join(parts).decode()
+        except (UnicodeDecodeError, TypeError):
+            return None
+        return got[1:] if parts[0].startswith(b" ") else got
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends): each piece with the span of bytes of ``text`` that it stands for."""
-        norm, at = self.normalised(text)
-        if self.by_word:
-            both = np.frombuffer(b"".join(map(self.words.__getitem__, self.WORDS.findall(norm))), np.int32).reshape(-1, 2)
-            ids, sizes = both[:, 0], both[:, 1]
-        else:
-            ids, sizes = (np.array(x, np.int32) for x in self.merged(norm))
-        tops = np.cumsum(sizes)
-        return ids, at[tops - sizes], at[tops]  # what has no characters of its own ends where it begins
+        return next(self.encoded([text]))
+
+    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of each text; words that none had before are merged together first."""
+        norms = [self.normalised(t) for t in texts]
+        words = [self.WORDS.findall(n) for n, _ in norms] if self.by_word else None
+        if words:
+            self.words.learn({w for ws in words for w in ws})
+        for k, (norm, at) in enumerate(norms):
+            if words:
+                both = np.frombuffer(b"".join(map(self.words.__getitem__, words[k])), np.int32).reshape(-1, 2)
+                ids, sizes = both[:, 0], both[:, 1]
+            else:
+                ids, sizes = (np.array(x, np.int32) for x in self.merged(norm))
+            tops = np.cumsum(sizes)
+            yield ids, at[tops - sizes], at[tops]  # what has no characters of its own ends where it begins
 
 
 def _starts(text: str) -> np.ndarray:
@@ -278,24 +359,37 @@ def _starts(text: str) -> np.ndarray:
 class _Words(dict):
     """A word's ids and sizes as pairs of 32-bit integers; once full, words that aren't met again go."""
 
-    def __init__(self, merged):
+    def __init__(self, model: Model):
         super().__init__()
-        self.merged, self.before, self.size = merged, {}, 0
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.before.pop(word, None)
-        if got is None:
-            ids, sizes = self.merged(word)
-            got = struct.pack(f"<{2 * len(ids)}i", *[x for pair in zip(ids, sizes) for x in pair])
-        if len(word) > LONG_WORD:
-            return got
-        self.size += 4 * len(word) + len(got) + 180
+        self.model, self.before, self.size = model, {}, 0
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the pieces of ``words`` of LONG_WORD characters at most, merging those of a length together."""
+        if self.model.unused:
+            return
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            if w not in self:
+                if w in self.before:
+                    self._keep(w, self.before.pop(w))
+                elif len(w) <= LONG_WORD:
+                    by_length.setdefault(len(w), []).append(w)
+        for alike in by_length.values():
+            for at in range(0, len(alike), ALIKE):
+                for w, got in self.model.merged_alike(alike[at : at + ALIKE]):
+                    self._keep(w, got)
         if self.size > CACHE_BYTES // 2:
-            self.before = dict(self)
-            self.clear()
+            self.before = {w: got for w, got in self.items() if w not in words}
+            for w in self.before:
+                del self[w]
             self.size = 0
+
+    def _keep(self, word: str, got: bytes) -> None:
+        self.size += 2 * len(word) + len(got) + 230
         self[word] = got
-        return got
+
+    def __missing__(self, word: str) -> bytes:
+        return self.model._packed(word)
 
 
 def _model(blob: bytes) -> Model:
@@ -310,46 +404,50 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     hundred bytes a character of its longest word. ``model_path`` is read on the driver and travels with the tasks.
     """
     blob = Path(model_path).read_bytes()
-    rows = docs.select(F.col(_quoted(id_col)).alias("id"), F.col(_quoted(text_col)).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(blob)
         for b in batches:
-            begun, held, n = 0, [], 0
+            begun, texts, n = 0, [], 0
             for i, text in enumerate(b.column(1)):
-                held.append(model.encode(text.as_py() or ""))
-                n += len(held[-1][0])
-                if n >= BATCH_PIECES or i == b.num_rows - 1:
+                texts.append(text.as_py() or "")
+                n += len(texts[-1])
+                if n >= TOGETHER or i == b.num_rows - 1:
+                    held = list(model.encoded(texts))
                     ends = pa.array(np.cumsum([0] + [len(h[0]) for h in held]), pa.int32())
                     lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([h[c] for h in held]).astype(np.int32))) for c in range(3)]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(begun, len(held)), *lists], names=["id", "ids", "begins", "ends"])
-                    begun, held, n = i + 1, [], 0
+                    begun, texts, n = i + 1, [], 0
 
     _small_batches(docs)
     return rows.mapInArrow(tidy(run, caches=True), f"id {kind}, ids array<int>, begins array<int>, ends array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the text that the library's decode() gives for the ids; null ids decode to nothing, to an empty text."""
+    """``encoded`` with the text of the ids, that of the library's decode(); null ids decode to an empty text.
+
+    Pieces and bytes are put together here; unknown and control ids, bytes that make up no characters and models of other rules of spaces go to the library itself.
+    """
     blob = Path(model_path).read_bytes()
-    whole = F.struct(*[F.col(_quoted(c)) for c in encoded.columns if c != out])
-    rows = encoded.select(whole.alias("row"), F.col(_quoted(ids_col)).alias("ids"))
+    own = [c for c in encoded.columns if c != out]
+    rows = encoded.select(whole(encoded, own), named(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        processor = worker_cache(f"decoder-{zlib.crc32(blob)}", lambda: sentencepiece.SentencePieceProcessor(model_proto=blob))
+        model, processor = worker_cache(f"decoder-{zlib.crc32(blob)}", lambda: (Model(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)))
         for b in batches:
-            texts = [processor.decode(ids.values.to_pylist()) if ids.is_valid and len(ids.values) else "" for ids in b.column(1)]
+            texts = []
+            for ids in b.column(1):
+                own = model.decode(ids.values.to_numpy(zero_copy_only=False)) if ids.is_valid else ""
+                texts.append(processor.decode(ids.values.to_pylist()) if own is None else own)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", out])
 
     schema = rows.select("row").schema.add(out, "string")
-    return rows.mapInArrow(tidy(run, caches=True), schema).select(*[F.col("row").getField(c).alias(c) for c in encoded.columns if c != out], F.col(_quoted(out)))
-
+    return rows.mapInArrow(tidy(run, caches=True), schema).select(*[field(encoded, c, own) for c in own], named(out))
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
 
 
 def _small_batches(df: DataFrame) -> None:

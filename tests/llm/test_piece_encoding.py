@@ -70,6 +70,22 @@ def test_models_that_are_merged_as_a_whole():
         Model(given.SerializeToString())
 
 
+def test_decoding():
+    blob = open(PATH, "rb").read()
+    model, processor = Model(blob), sentencepiece.SentencePieceProcessor(model_proto=blob)
+    rng = random.Random(8)
+    seen = 0
+    for t in texts(300, 11):
+        ids = processor.encode(t)
+        assert model.decode(ids) == processor.decode(ids)
+    for _ in range(3000):
+        ids = [rng.choice([0, 1, 2, 13, 28705, 259, rng.randrange(3, 259), rng.randrange(259, 32000)]) if rng.random() < 0.1 else rng.randrange(259, 32000) for _ in range(rng.randrange(0, 12))]
+        got = model.decode(ids)
+        seen += got is None
+        assert got is None or got == processor.decode(ids)
+    assert 0 < seen < 1500
+
+
 def test_query(spark, tmp_path):
     processor = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rows = [(i, t) for i, t in enumerate(texts(40))] + [(90, None), (None, "null id"), (7, "again"), (7, "again")]
