@@ -11,32 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentrace.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity
-from lumentrace.llm.common import forget, parted, row_key, scratch, written
+from lumentrace.llm.common import field, forget, parted, row_key, scratch, whole, written
 
 
 def _without(docs: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
     """``docs`` less the rows whose doc_id and ``row_key`` of ``key`` are those of ``gone`` (id, rk); only rows that may go are shuffled."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), row_key(*key).alias("k"))
+    rows = docs.select(whole(docs), F.col("doc_id").alias("i"), row_key(*key).alias("k"))
     some, others = parted(rows, F.xxhash64("i", "k"), gone.select(F.xxhash64("id", "rk").alias("k")))
     kept = some.join(gone.hint("shuffle_hash"), F.expr("i <=> id and k = rk"), "left_anti").unionByName(others)
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.select(*[field(docs, c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 stay; the model learns from a bounded sample of labelled toxic documents and of all text (``toxicity.MAX_POSITIVE``, ``MAX_UNLABELLED``)."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    whole = F.struct(*docs.columns).alias("row")
-    kept = toxicity.score(docs.select("text", whole), model, "text", "row").where("score < 0.5")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept = toxicity.score(docs.select("text", whole(docs)), model, "text", "row").where("score < 0.5")
+    return kept.select(*[field(docs, c) for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; passages of 50 words or more that an earlier one has leave its text, and n_chars, if there is one, follows."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    rows = docs.select("doc_id", "text", whole(docs))
     got = line_dedup.remove_repeated(rows, "doc_id", "text", min_words=50)
     cut = F.col("removed_lines") > 0
-    new = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text")).otherwise(F.expr("row.n_chars")).cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return got.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    new = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text")).otherwise(field(docs, "n_chars")).cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in docs.columns else None}
+    return got.select(*[(new[c] if c in new else field(docs, c)).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +53,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     repeated = member.where("id <=> first.id and rk = first.rk").groupBy("id", "rk").count().where("count > 1")
     if repeated.isEmpty():
         return kept
-    rows = kept.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id").alias("i"), row_key(*docs.columns).alias("k"))
-    return rows.dropDuplicates(["i", "k"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = kept.select(whole(docs), F.xxhash64("doc_id").alias("i"), row_key(*docs.columns).alias("k"))
+    return rows.dropDuplicates(["i", "k"]).select(*[field(docs, c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
