@@ -64,7 +64,7 @@ def context(lower_bytes: Column, pos: Column, value: Column, keywords: dict[str,
     window = F.substring(lower_bytes, (start + 1).cast("int"), (stop - start).cast("int"))
     out = F.lit(None).cast("string")
     for lang, word in reversed([(lang, w) for lang in sorted(keywords) for w in keywords[lang]]):
-        out = F.when(F.contains(window, F.lit(word.lower().encode())), f"{lang}:{word}").otherwise(out)
+        out = F.when(F.contains(window, F.encode(F.lit(word.lower()), "UTF-8")), f"{lang}:{word}").otherwise(out)
     return out
 
 

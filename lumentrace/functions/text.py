@@ -27,7 +27,7 @@ def looks_like_text(content: Column) -> Column:
     """Of the first 8192 bytes: no NUL, and more than 0.85 printable, or more than 0.60 and valid UTF-8 (SRC-04)."""
     head = F.substring(content, 1, SNIFF)
     ratio = printable_ratio(head)
-    ok = ~F.contains(head, F.lit(b"\0")) & ((ratio > 0.85) | ((ratio > 0.60) & F.is_valid_utf8(head.cast("string"))))
+    ok = ~F.contains(head, F.unhex(F.lit("00"))) & ((ratio > 0.85) | ((ratio > 0.60) & F.is_valid_utf8(head.cast("string"))))
     return F.coalesce((F.octet_length(content) > 0) & ok, F.lit(False))
 
 
@@ -35,8 +35,8 @@ def looks_meaningful(content: Column) -> Column:
     """Decoded bytes that read as text: four bytes or more when trimmed, no NUL, and as above but without U+FFFD (ENC-11)."""
     trimmed = F.regexp_replace(_latin(content), "^[\\t-\\r \\x85\\xA0]+|[\\t-\\r \\x85\\xA0]+$", "")
     ratio = printable_ratio(content)
-    valid = F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.lit("�".encode()))
-    return F.coalesce((F.length(trimmed) >= 4) & ~F.contains(content, F.lit(b"\0")) & ((ratio > 0.85) | ((ratio > 0.60) & valid)), F.lit(False))
+    valid = F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.encode(F.lit("�"), "UTF-8"))
+    return F.coalesce((F.length(trimmed) >= 4) & ~F.contains(content, F.unhex(F.lit("00"))) & ((ratio > 0.85) | ((ratio > 0.60) & valid)), F.lit(False))
 
 
 def extracted_text_ok(text: Column) -> Column:

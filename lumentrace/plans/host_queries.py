@@ -306,11 +306,11 @@ def _database(statements: list[str]):
 
 
 def _places(spark, sf_dir) -> DataFrame:
-    p = _t(spark, sf_dir, "pages").selectExpr("cast(page_id % 5 as string) as path", "struct('moz_places' as into, page_id as id, url, html as title, page_id % 9 as visit_count) as r")
+    p = _t(spark, sf_dir, "pages").selectExpr("cast(page_id div 200 as string) as path", "struct('moz_places' as into, page_id as id, url, html as title, page_id % 9 as visit_count) as r")
     return _made(p.groupBy("path").agg(F.collect_list("r").alias("items")), _database(["create table moz_places(id integer primary key, url text, title text, visit_count integer)", "create table moz_bookmarks(fk integer, title text)"]))
 
 
-@query("sqlite_rows", "select cast(page_id % 5 as varchar) as path, page_id, md5(html) as html from pages")
+@query("sqlite_rows", "select cast(page_id // 200 as varchar) as path, page_id, md5(html) as html from pages")
 def sqlite_rows(spark, sf_dir):
     """SRC-09: databases made of pages, with long values, read back."""
     get = lambda c: F.get_json_object("data", f"$.{c}")
@@ -326,7 +326,7 @@ def firefox_visits(spark, sf_dir):
 @query("chromium_visits", "select url, cast(page_id as bigint) as visit_count from pages")
 def chromium_visits(spark, sf_dir):
     """SW-13 without a limit of rows."""
-    p = _t(spark, sf_dir, "pages").selectExpr("cast(page_id % 3 as string) as path", "struct('urls' as into, url, 't' as title, page_id as visit_count) as r")
+    p = _t(spark, sf_dir, "pages").selectExpr("cast(page_id div 300 as string) as path", "struct('urls' as into, url, 't' as title, page_id as visit_count) as r")
     made = _made(p.groupBy("path").agg(F.collect_list("r").alias("items")), _database(["create table urls(url text, title text, visit_count integer)"]))
     return sqlite_source.chromium_history(made, max_rows=None).select("url", "visit_count")
 
@@ -466,7 +466,7 @@ _FILES = [
     ("/etc/nftables.conf", "table x {\\n}", [("network", "firewall_ruleset", "info")]),
     ("/etc/os-release", 'ID=x\\nPRETTY_NAME="A=B 12"', [("software", "os_identity", "info")]),
     ("/etc/passwd", "root:x:0:0::/root:/bin/sh\\nroot2:x:0:0::/root:/bin/sh", [("software", "local_user_account", "info"), ("software", "local_user_account", "critical")]),
-    ("/var/lib/dpkg/status", "Package: a\\nStatus: install ok half-installed\\n\\nPackage: b\\nStatus: install ok installed", [("software", "package_broken_state", "low")]),
+    ("/var/lib/dpkg/status", "Package: zzqqx\\nStatus: install ok half-installed\\n\\nPackage: zzqqy\\nStatus: install ok installed", [("software", "package_broken_state", "low")]),
     ("/etc/cron.d/job", "X=1\\n* * * * * root run", [("software", "persistence_cron_entry", "clean")]),
     ("/var/spool/cron/crontabs/bob", "* * * * * run\\n# no", [("software", "persistence_cron_entry", "clean")]),
     ("/etc/cron.daily/clean", "#!/bin/sh", [("software", "persistence_cron_periodic", "clean")]),

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native_ciphers as N
-from ..operators import crack, long_lists, prefixes, report
+from ..functions import sql_text
+from ..operators import crack, heavy, long_lists, prefixes, report
 from ..sources import files
 from . import scan as scans
 from .core_queries import _BEST, _CLEAN_WORDS, _LANG, _SCORES, _TOKENS, _docs, _t
+from .pii_queries import ORACLES as ORACLES_OF_PII
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,14 +38,14 @@ def query(name: str, sql: str | None = None):
 _TERMS = "(select distinct lower(term) as term from (select unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) as term from benchmark union all select unnest(string_split(p_name, ' ')) from part union all select c_name from customer) where term <> '')"
 
 
-@query("many_terms", f"select doc_id, cast(count(*) as bigint) as terms, cast(sum((length(l) - length(replace(l, term, ''))) // length(term)) as bigint) as places from (select doc_id, lower(text) as l from documents) join {_TERMS} on contains(l, term) group by doc_id")
+@query("many_terms", f"select doc_id, cast(count(*) as bigint) as terms, cast(sum(strlen(left(l, strpos(l, term) - 1))) as bigint) as firsts from (select doc_id, lower(text) as l from documents) join {_TERMS} on contains(l, term) group by doc_id")
 def many_terms(spark, sf_dir):
-    """SEA-03 with a list of thousands of terms from three tables, over all documents: terms met and places, regardless of case."""
+    """SEA-03 with a list of thousands of terms from three tables, over all documents: terms met and the sum of their first places, regardless of case."""
     words = _t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("term"))
     names = _t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
     terms = words.unionByName(names).unionByName(_t(spark, sf_dir, "customer").select(F.col("c_name").alias("term"))).select(F.lower("term").alias("term")).where("term <> ''")
     found = long_lists.search_terms(_docs(spark, sf_dir), "doc_id", "text", terms)
-    return found.groupBy("doc_id").agg(F.countDistinct("term").alias("terms"), F.count("*").alias("places"))
+    return found.groupBy("doc_id", "term").agg(F.min("pos").alias("first")).groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("first").alias("firsts"))
 
 
 # --- prefixes --------------------------------------------------------------------------------------------------------
@@ -152,6 +154,44 @@ def crack_shifts(spark, sf_dir):
     return got.select("item_id", "r.method", "r.key", "r.language", F.coalesce(mail, F.lit(False)).alias("mail"))
 
 
+# --- SQL ----------------------------------------------------------------------------------------------------------------
+
+
+@query("sql_pii_merged", ORACLES_OF_PII["pii_merged"])
+def sql_pii_merged(spark, sf_dir):
+    """The matches and names of all documents by a query in SQL alone, with the registered functions (section 2.15 of the survey)."""
+    sql_text.register(spark)
+    return spark.sql(
+        """with found as (select doc_id, m.* from parquet.`{}` as d, lateral lumentrace_pii(d.text) as m)
+        select doc_id, pos, rule_id, value, severity, row_number() over (partition by doc_id order by pos, ord, value) as rank from found""".format(f"{sf_dir}/documents.parquet")
+    )
+
+
+# --- derived data ------------------------------------------------------------------------------------------------------
+
+_GRAMS = "(select unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) as gram from (select regexp_extract_all(lower(text), '[a-z0-9'']+') as t from documents))"
+
+
+@query("frequent_bigrams", f"select gram, cast(n as bigint) as n from (select gram, count(*) as n, sum(count(*)) over () as total from {_GRAMS} group by gram) where n * 2000 > total")
+def frequent_bigrams(spark, sf_dir):
+    """SRC-11: pairs of words of which one in 2,000 is or more, counted exactly, with bounded counters first."""
+    return heavy.frequent(_docs(spark, sf_dir), "text", share=2_000)
+
+
+@query("frequent_letter_pairs", "select gram, cast(n as bigint) as n from (select gram, count(*) as n, sum(count(*)) over () as total from (select substr(l, i, 2) as gram from (select l, unnest(range(1, length(l))) as i from (select lower(text) as l from documents))) where regexp_full_match(gram, '[a-z]{2}') group by gram) where n * 100 > total")
+def frequent_letter_pairs(spark, sf_dir):
+    """SRC-11: pairs of letters of which one in a hundred is or more."""
+    return heavy.frequent(_docs(spark, sf_dir), "text", share=100, grams=heavy.letter_pairs, counters=1_000)
+
+
+@query("merged_glossary", """select word, string_agg(meaning, '; ' order by k) as meaning from (select word, meaning, row_number() over (partition by word order by p desc, meaning) as k
+  from (select c_nationkey as word, c_name[10:] as meaning, max(c_custkey % 50) as p from customer group by all)) where k <= 5 group by word""")
+def merged_glossary(spark, sf_dir):
+    """LNG-06, SRC-11: at most five meanings of a word, the most popular ones."""
+    entries = _t(spark, sf_dir, "customer").selectExpr("c_nationkey as word", "substr(c_name, 10) as meaning", "c_custkey % 50 as popularity")
+    return heavy.glossary(entries.unionByName(entries))
+
+
 # --- roll-ups --------------------------------------------------------------------------------------------------------
 
 

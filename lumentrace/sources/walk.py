@@ -53,9 +53,10 @@ class _Local:
         except OSError as e:
             return path, False, 0, None, _reason(e)
 
-    def read(self, shown: str) -> bytes:
+    def read(self, shown: str, start: int = 0, stop: int | None = None) -> bytes:
         with open(shown.removeprefix("file:"), "rb") as f:
-            return f.read()
+            f.seek(start)
+            return f.read(-1 if stop is None else stop - start)
 
 
 class _Store:
@@ -88,9 +89,10 @@ class _Store:
     def entry(self, path: str) -> tuple[str, bool, int | None, float | None, str | None]:
         return self._told(self.fs.get_file_info(path))
 
-    def read(self, shown: str) -> bytes:
-        with self.fs.open_input_stream(shown.split("://", 1)[1]) as f:
-            return f.read()
+    def read(self, shown: str, start: int = 0, stop: int | None = None) -> bytes:
+        with self.fs.open_input_file(shown.split("://", 1)[1]) as f:
+            f.seek(start)
+            return f.read(None if stop is None else stop - start)
 
 
 def _reason(e: OSError) -> str:
@@ -101,6 +103,11 @@ def _tree(target: str) -> _Local | _Store:
     return _Store(target) if "://" in target and not target.startswith("file:") else _Local(target)
 
 
+def file_range(target: str, path: str, start: int, stop: int) -> bytes:
+    """Bytes of a file of ``walk(target)``, in a task."""
+    return _tree(target).read(path, start, stop)
+
+
 class Folders(InputPartition):
     """Folders to walk to the bottom, or with ``deep`` unset one folder's own files."""
 
