@@ -23,17 +23,13 @@ def sql_text(column: Column) -> str:
 
 
 def _name_matches(text: Column) -> Column:
-    from ..operators.names import FORENAMES, SURNAMES
-    from ..operators.pii_scan import NAME_PATTERN
-    from .regex import match_all
+    from ..operators.pii_scan import known_names
 
-    part = lambda n, i: F.get(F.split(n["value"], " "), F.lit(i))
-    known = lambda n: F.lower(part(n, 0)).isin([x.lower() for x in FORENAMES]) & F.lower(part(n, 1)).isin([x.lower() for x in SURNAMES])
     told = lambda n: F.struct(
         F.lit(99).alias("ord"), F.lit("PERSON_NAME").alias("rule_id"), F.lit("Person name").alias("label"), n["pos"].alias("pos"), n["value"].alias("raw"), n["value"].alias("value"), F.lit("high").alias("base_severity"),
         F.lit("high").alias("severity"), F.lit(80).alias("importance"), F.lit(None).cast("boolean").alias("checksum_passed"), F.lit(None).cast("string").alias("context_matched"),
     )
-    return F.transform(F.filter(match_all(text, NAME_PATTERN), known), told).cast(MATCH)
+    return F.transform(known_names(text), told).cast(MATCH)
 
 
 def functions() -> dict[str, tuple[str, Column]]:

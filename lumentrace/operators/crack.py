@@ -15,7 +15,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ciphers as C
@@ -415,22 +415,32 @@ def xor_hex(text: Column, data: LanguageData = LanguageData()) -> Column:
 
 
 def caesar_candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, shift, language, confidence, rank) of the 25 shifts, by confidence and shift (CRK-01): the shifts unfold in
-    the projection and the stopwords are shifted instead of the text, so each text is split into words once.
+    """(id, shift, language, confidence, rank) of the 25 shifts of each text with words, by confidence and shift (CRK-01).
+
+    The stopwords are shifted instead of the text, which is split into words once, in its row.
     """
-    t = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[\\p{L}]+"), F.lit(0))
-    rows = df.select(F.col(id_col), F.explode(t).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(id_col))
-    hits = [(F.when(F.col("w").isin([C.caesar(x, s) for x in ws]), F.col("n")).otherwise(0), f"{c}_{s}") for c, (_, ws) in PROFILES.items() for s in range(1, 26)]
-    agg = rows.withColumn("total", total).groupBy(id_col).agg(F.first("total").alias("total"), *[F.sum(h).alias(n) for h, n in hits])
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), *[(F.col(f"{c}_{s}") / F.col("total")).alias(c) for c in PROFILES]) for s in range(1, 26)]))
-    out = agg.select(id_col, each.alias("x")).select(id_col, "x.*")
-    best = F.greatest(*[F.col(c) for c in PROFILES])
-    code = F.lit(None).cast("string")
-    for c in reversed(PROFILES):
-        code = F.when(F.col(c) == best, c).otherwise(code)
-    out = out.select(id_col, "shift", F.when(best >= FLOOR, code).alias("language"), best.alias("confidence"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("confidence"), "shift")))
+    codes, result = list(PROFILES), "array<struct<shift:int,language:string,confidence:double>>"
+
+    def told(text: str | None) -> list[dict]:
+        words = Counter(_LETTERS.findall(text or ""))
+        n = words.total()
+        sums: Counter[tuple[int, str]] = Counter()
+        for w, k in words.items():
+            for at in _CODED.get(w, ()):
+                sums[at] += k
+        out = []
+        for shift in range(1, 26) if n else ():
+            best = max(codes, key=lambda c: sums[shift, c])
+            sure = sums[shift, best] / n
+            out.append({"shift": shift, "language": best if sure >= FLOOR else None, "confidence": sure})
+        return sorted(out, key=lambda c: -c["confidence"])
+
+    @F.pandas_udf(result)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(told)
+
+    rows = df.select(F.col(id_col), F.posexplode(run(F.lower(F.col(text_col)))).alias("rank", "c"))
+    return rows.select(id_col, "c.shift", "c.language", "c.confidence", (F.col("rank") + 1).alias("rank"))
 
 
 def suspect(text: Column, language_known: Column) -> Column:

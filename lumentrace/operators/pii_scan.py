@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pii import all_matches
@@ -36,15 +36,25 @@ def person_names(df: DataFrame, id_col: str, text_col: str, forenames: list[str]
     return rows
 
 
+def known_names(text: Column) -> Column:
+    """array<struct<pos, value>> of neighbouring capitalised words of which both are in the short name lists (PII-09)."""
+    part = lambda n, i: F.get(F.split(n["value"], " "), F.lit(i))
+    known = lambda n: F.lower(part(n, 0)).isin([x.lower() for x in FORENAMES]) & F.lower(part(n, 1)).isin([x.lower() for x in SURNAMES])
+    return F.filter(match_all(text, NAME_PATTERN), known)
+
+
 def merged(df: DataFrame, id_col: str, text_col: str, rules: list[str] | None = None) -> DataFrame:
     """Rule matches and names of each text by position, rules first (PII-10, PII-11); ``rank`` counts from 1."""
-    found = scan(df, id_col, text_col, rules).select(id_col, "pos", "ord", "rule_id", "value", "severity", "importance")
+    told = lambda pos, order, rule, value, severity, importance: F.struct(
+        pos.alias("pos"), order.alias("ord"), value.alias("value"), rule.alias("rule_id"), severity.alias("severity"), importance.alias("importance")
+    )
+    found = F.transform(all_matches(F.col(text_col), rules), lambda m: told(m["pos"], m["ord"], m["rule_id"], m["value"], m["severity"], m["importance"]))
     if rules is None or "PERSON_NAME" in rules:
-        names = person_names(df, id_col, text_col)
-        found = found.unionByName(
-            names.select(id_col, "pos", F.lit(99).alias("ord"), F.lit("PERSON_NAME").alias("rule_id"), F.concat_ws(" ", "forename", "surname").alias("value"), F.lit("high").alias("severity"), F.lit(80).alias("importance"))
-        )
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("pos", "ord", "value")))
+        names = F.transform(known_names(F.col(text_col)), lambda n: told(n["pos"], F.lit(99), F.lit("PERSON_NAME"), n["value"], F.lit("high"), F.lit(80)))
+        found = F.concat(found, names)
+    # a text's matches are sorted in its row: nothing is shuffled
+    rows = df.select(F.col(id_col), F.posexplode(F.array_sort(found)).alias("rank", "m"))
+    return rows.select(id_col, "m.pos", "m.ord", "m.rule_id", "m.value", "m.severity", "m.importance", (F.col("rank") + 1).alias("rank"))
 
 
 def document_score(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,8 +65,7 @@ def document_score(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def decode_score(text: Column) -> Column:
     """How much a text looks like one with personal data, 0 to 0.15 (PII-12, AGG-02): each rule's first match counts once."""
     m = all_matches(text)
-    names = match_all(text, NAME_PATTERN)
-    both = F.filter(names, lambda n: F.lower(F.split(n["value"], " ")[0]).isin([x.lower() for x in FORENAMES]) & F.lower(F.split(n["value"], " ")[1]).isin([x.lower() for x in SURNAMES]))
+    both = known_names(text)
     first = let(m, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["rule_id"] != x["rule_id"])))
     weight = lambda x: (
         x["importance"] * F.when(x["context_matched"].isNotNull(), 1.3).otherwise(1.0)
@@ -102,9 +111,7 @@ def finding_array(text: Column, location: Column, rules: list[str] | None = None
     if rules is not None and "PERSON_NAME" not in rules:
         return out
     part = lambda n, i: F.get(F.split(n["value"], " "), F.lit(i))
-    known = lambda n: F.lower(part(n, 0)).isin([x.lower() for x in FORENAMES]) & F.lower(part(n, 1)).isin([x.lower() for x in SURNAMES])
-    names = F.filter(match_all(text, NAME_PATTERN), known)
-    return F.concat(out, F.transform(names, lambda n: F.struct(*_name_finding(n["pos"], part(n, 0), part(n, 1), location, note))))
+    return F.concat(out, F.transform(known_names(text), lambda n: F.struct(*_name_finding(n["pos"], part(n, 0), part(n, 1), location, note))))
 
 
 @dataclass(frozen=True)
