@@ -34,6 +34,8 @@ CENTRE_SAMPLE = 4_096
 #: Cells of a dimension at most; the number grows with the vectors until then.
 MAX_CELLS = 256
 BOUND = 3.0
+#: Pairs of a cell and a block of queries that are broadcast at most; beyond that they are joined.
+FEW_PAIRS = 1 << 20
 
 
 @lru_cache(maxsize=8)
@@ -201,19 +203,35 @@ def _met_cells(queries: DataFrame, cells: Cells, radius: dict[tuple[int, int], f
     return queries.mapInArrow(tidy(run), ", ".join(f"{c} {t}" for c, t in kind.items()) + ", floor double, cell int")
 
 
+def _dealt_queries(queries: DataFrame, block: int) -> DataFrame:
+    """``queries`` (id, dim, vector, own) with qb: blocks of ``block`` queries on average, of neighbouring cells, so that a block meets few cells; a crowded cell's are dealt to several."""
+    rows, first, room = [], 0, block
+    for r in sorted(queries.groupBy("dim", "own").count().collect()):  # MAX_CELLS rows a dimension at most
+        if r["count"] > room:
+            first, room = first + (room < block), block
+        n = -(-r["count"] // block)
+        rows.append((r.dim, r.own, first, n))
+        if n > 1:
+            first, room = first + n, block
+        else:
+            room -= r["count"]
+    places = queries.sparkSession.createDataFrame(rows, "dim int, own int, first int, n int")
+    return queries.join(F.broadcast(places), ["dim", "own"]).withColumn("qb", F.col("first") + F.pmod(F.xxhash64("id", "vector"), F.col("n")).cast("int")).drop("own", "first", "n")
+
+
 def nearest(
     index: DataFrame, queries: DataFrame, cells: Cells, k: int = 20, bound: float = BOUND, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of ``index`` by inner product, rows of its own id excepted.
 
-    queries: rows of an index. Vectors of other dimensions are no candidates; repeated
+    queries: rows of that index. Vectors of other dimensions are no candidates; repeated
     queries count once, while rows that share an id but not a vector are queries each; repeated rows are candidates each; ties
     go to the smaller id, a null id last. Fewer candidates than k are all returned; without queries or vectors the result is empty.
     """
-    queries = queries.select("id", "dim", "vector").distinct()
+    queries = queries.select("id", "dim", "vector", F.col("cell").alias("own")).distinct()
     stats = index.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("length").alias("r")).collect()  # MAX_CELLS rows a dimension at most
     radius = {(s.dim, s.cell): s.r for s in stats}
-    n_q = -(-queries.count() // query_block) or 1
+    queries = _dealt_queries(queries, query_block)
     parts = F.lit(1)
     for s in stats:
         if s.n > vector_block:
@@ -224,9 +242,13 @@ def nearest(
 
     # equal rows spread as well: a row's place in its file is part of the hash
     dealt = F.pmod(F.xxhash64("id", "vector", F.monotonically_increasing_id()), parts).cast("int")
-    vec = index.select("id", "dim", "cell", "vector", "code", "length", "fit", dealt.alias("vb")).withColumn("qb", spread(F.lit(n_q)))
-    met = _met_cells(queries.withColumn("i", F.xxhash64("id")), cells, radius, k)
-    qs = met.select("id", "dim", "vector", "floor", "cell", F.pmod(F.xxhash64("id", "vector"), F.lit(n_q)).cast("int").alias("qb")).withColumn("vb", spread(parts))
+    met = written(_met_cells(queries.select("id", "dim", "vector", F.xxhash64("id").alias("i"), "qb"), cells, radius, k), "code-queries")
+    # a vector goes only to the blocks of queries that meet its cell
+    pairs = met.groupBy("dim", "cell").agg(F.collect_set("qb").alias("qbs"))
+    blocks = met.agg(F.max("qb")).first()[0]
+    pairs = F.broadcast(pairs) if ((blocks or 0) + 1) * len(stats) <= FEW_PAIRS else pairs
+    vec = index.select("id", "dim", "cell", "vector", "code", "length", "fit", dealt.alias("vb")).join(pairs, ["dim", "cell"]).withColumn("qb", F.explode("qbs")).drop("qbs")
+    qs = met.select("id", "dim", "vector", "floor", "cell", "qb").withColumn("vb", spread(parts))
     kind = dict(index.dtypes)["id"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
