@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import native_ciphers as N
 from ..functions import sql_text
-from ..operators import crack, heavy, long_lists, prefixes, report
+from ..operators import crack, encodings, entropy_windows, heavy, language, long_lists, prefixes, report
 from ..sources import files
 from . import scan as scans
+from .core_queries import ORACLES as ORACLES_OF_CORE
 from .core_queries import _BEST, _CLEAN_WORDS, _LANG, _SCORES, _TOKENS, _docs, _t
 from .pii_queries import ORACLES as ORACLES_OF_PII
 
@@ -154,6 +155,55 @@ def crack_shifts(spark, sf_dir):
     return got.select("item_id", "r.method", "r.key", "r.language", F.coalesce(mail, F.lit(False)).alias("mail"))
 
 
+# --- findings, reports and loaders -------------------------------------------------------------------------------------
+
+_HIGH = ORACLES_OF_CORE["shannon_entropy"]
+
+
+@query("entropy_findings", f"select 'high_entropy_content' as subtype, band, count(*) as n from ({_HIGH}) where high group by band")
+def entropy_findings(spark, sf_dir):
+    """ENT-06, ENT-07: entropy findings of all documents by band."""
+    d = _docs(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("c"))
+    found = entropy_windows.findings(d, "doc_id", "c")
+    return found.groupBy("subtype", F.col("evidence")["band"].alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("hex_xor_pieces", f"select item_id, case when key is not null then 'hex_xor' else 'hex' end as kind, case when key is not null then '200' end as key from ({ORACLES_OF_CORE['crack_xor_hex']})")
+def hex_xor_pieces(spark, sf_dir):
+    """ENC-10: texts XORed and written in hexadecimal amid others, found and cracked by the detection."""
+    coded = F.concat(F.lit("see "), N.xor_hex(F.col("text"), 200), F.lit(" for it"))
+    b = _t(spark, sf_dir, "benchmark").select("item_id", coded.alias("text"))
+    return encodings.detect(b, "item_id", "text", ["hex"]).select("item_id", "kind", "key")
+
+
+def _shared(spark, name: str) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='lumentrace-')}/{name}-{uuid.uuid4().hex}"
+
+
+_SEV = "case user_id % 4 when 0 then 'clean' when 1 then 'low' when 2 then 'high' else 'info' end"
+
+
+@query("json_report", f"select 'event_' || event_id % 5 as subtype, {_SEV} as severity, count(*) as n, (select count(*) from events where user_id % 4 in (1, 2)) as flagged from events group by 1, 2")
+def json_report(spark, sf_dir):
+    """SNK-01: findings and summary written as JSON and read back."""
+    e = _t(spark, sf_dir, "events").selectExpr("concat('event_', event_id % 5) as subtype", f"{_SEV} as severity", "cast(event_id as string) as location")
+    path = _shared(spark, "report")
+    report.write_json(e, path)
+    flagged = spark.read.json(f"{path}/summary").select(F.col("flagged_findings").alias("flagged"))
+    return spark.read.json(f"{path}/findings").groupBy("subtype", "severity").agg(F.count("*").alias("n")).crossJoin(F.broadcast(flagged))
+
+
+@query("language_files", "select lower(c_name) as text, cast(max(c_custkey % 100) as bigint) as popularity from (select c_custkey, 'word' || c_nationkey as c_name from customer) group by 1")
+def language_files(spark, sf_dir):
+    """SRC-10, LNG-06: a words.csv as it is loaded, repeated words with their highest popularity."""
+    path = _shared(spark, "words")
+    _t(spark, sf_dir, "customer").selectExpr("concat('word', c_nationkey) as word", "c_custkey % 100 as popularity", "'x' as meaning").write.option("header", True).csv(f"{path}/en/words.csv")
+    return language.load_language_data(spark, path, "en")["words"].select("text", "popularity")
+
+
 # --- SQL ----------------------------------------------------------------------------------------------------------------
 
 
