@@ -8,7 +8,7 @@ ones more surely. Every pair that meets is checked on the sets themselves.
 
 A band's nodes are first compared with its least node only. Pairs that are then in one component already need no
 check of their own, so a group of near copies isn't compared with itself all over. Of all other pairs of the band those are
-that could have the similarity by what both share with anyone: texts that stem from one and were edited apart each have
+that could have the similarity by what both share with anyone, part by part of the hashes: texts that stem from one and were edited apart each have
 shingles of their own, which rules most of their pairs out without a look at the sets.
 """
 
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, passing, row_key, tidy, written
+from .common import connected_components, named, passing, row_key, tidy, written
 from .simhash_dedup import links, majority
 
 SHINGLE = 5
@@ -30,6 +30,8 @@ BANDS, ROWS = 24, 4
 _random = np.random.default_rng(42)
 _FLIP = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
+#: Parts of the hashes that a pair's shared shingles are bounded by.
+PARTS = 64
 #: Shingles hashed at once.
 BLOCK = 1 << 10
 
@@ -74,8 +76,8 @@ def sets(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE) -> D
                     [b.column(0), b.column(1), pa.array(node), pa.array(fp), lists(tops, bands), lists(ends, [h.view(np.int64) for h in got])], names=["id", "rk", "node", "fp", "bands", "hashes"]
                 )
 
-    kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(id_col, row_key(*docs.columns), text_col).mapInArrow(tidy(run), f"id {kind}, rk long, node long, fp long, bands array<long>, hashes array<long>")
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(named(id_col).alias("id"), row_key(*docs.columns).alias("rk"), named(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, rk long, node long, fp long, bands array<long>, hashes array<long>")
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -93,12 +95,18 @@ def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def _shared_sizes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, size, common): shingles of each of ``nodes``, and those of them that another of ``nodes`` has too."""
+    """(node, size, common, parts): shingles of each of ``nodes``, those of them that another of ``nodes`` has too, and these by PARTS parts of the hashes.
+
+    Two nodes share in each part no more than the one with fewer has there, which is a closer bound than that of all at once.
+    """
     asked = passing(rows.select("node", "hashes"), F.xxhash64("node"), nodes.select(F.xxhash64("node").alias("k"))).dropDuplicates(["node"])
     held = written(asked.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("h")), "shingle-held")
-    alone = held.groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = held.groupBy("node").agg(F.count("*").alias("size"))
-    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    part = F.pmod("h", F.lit(PARTS))
+    each = lambda: F.array(*[F.count_if(part == i) for i in range(PARTS)])
+    alone = held.groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"), each().alias("q"))
+    sizes = held.groupBy("node").agg(F.count("*").alias("size"), each().alias("p"))
+    parts = F.when(F.col("q").isNull(), F.col("p")).otherwise(F.zip_with("p", "q", lambda p, q: p - q))
+    return sizes.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"), parts.alias("parts"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: float = 0.8) -> DataFrame:
@@ -120,10 +128,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     open_ = written(named.join(mixed, "key", "left_semi"), "shingle-open")
     open_ = open_.join(_shared_sizes(open_.select("node").distinct(), rows), "node")
-    left = open_.select("key", F.col("node").alias("src"), "component", F.col("size").alias("m"), F.col("common").alias("c"))
-    right = open_.select("key", F.col("node").alias("dst"), F.col("component").alias("other"), F.col("size").alias("n"), F.col("common").alias("d"))
+    left = open_.select("key", F.col("node").alias("src"), "component", F.col("size").alias("m"), F.col("common").alias("c"), F.col("parts").alias("p"))
+    right = open_.select("key", F.col("node").alias("dst"), F.col("component").alias("other"), F.col("size").alias("n"), F.col("common").alias("d"), F.col("parts").alias("q"))
     most = F.least("c", "d")  # no pair shares more
-    can = most >= similarity * (F.col("m") + F.col("n") - most)
+    enough = lambda k: k >= similarity * (F.col("m") + F.col("n") - k)
+    can = enough(most) & enough(F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x))
     more = left.join(right, (left.key == right.key) & (left.src < right.dst) & (left.component != right.other) & can).select("src", "dst").distinct()
     more = written(more.join(first, ["src", "dst"], "left_anti"), "shingle-more")
     if not more.isEmpty():
