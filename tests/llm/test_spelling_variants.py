@@ -102,4 +102,4 @@ def test_query(spark, tmp_path):
     got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in queries.op12_errata_trie(spark, str(tmp_path)).collect()}
     assert got == want and len(want) > 12
     named = sv.vocabulary(spark.createDataFrame(rows, "`a.b` long, `t``` string"), "a.b", "t`", 1, 1)
-    assert named.where(F.length("word") < 5).count() == 0 and named.count() >= len(want)
+    assert named.where(F.length("word") < 5).count() == 0 and named.count() > 10
