@@ -42,6 +42,20 @@ def pii_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(r["id"], r["label"]) for r in PII_RULES] + [("PERSON_NAME", "Person name")], "id string, label string")
 
 
+def counts_by_check(findings: DataFrame) -> DataFrame:
+    """(category, check_id, prefixes, n) of all check families: how many findings belong to each. Findings are counted by subtype before families are asked."""
+    kinds = findings.groupBy("category", "subtype").agg(F.count("*").alias("n")).withColumnRenamed("category", "c")
+    own = checks(findings.sparkSession)
+    fits = (F.when(own.category == "files", "storage").otherwise(own.category) == F.col("c")) & F.exists("prefixes", lambda p: F.startswith("subtype", p))
+    return own.join(F.broadcast(kinds), fits, "left").groupBy("category", "check_id", "prefixes").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def counts_by_type(matches: DataFrame) -> DataFrame:
+    """(id, label, n) of all PII types: how many matches (rule_id) are of each."""
+    counts = matches.groupBy(F.col("rule_id").alias("id")).agg(F.count("*").alias("n"))
+    return pii_types(matches.sparkSession).join(F.broadcast(counts), "id", "left").fillna(0, ["n"])
+
+
 def filter_checks(findings: DataFrame, selected: dict[str, list[str]]) -> DataFrame:
     """Findings of the selected families (FIL-04); categories without a selection pass whole, unknown ones are ignored."""
     keep = F.lit(True)

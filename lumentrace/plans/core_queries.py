@@ -788,18 +788,6 @@ def check_filter(spark, sf_dir):
     return report.filter_checks(_made(spark, sf_dir), {"files": ["pii", "ssh"], "hardware": ["cpu"], "unknown": ["x"]}).select("event_id", "category", "subtype")
 
 
-@query("check_families", "select * from (values " + ", ".join(f"('{c}', '{i}', '{'|'.join(p)}')" for c, f in report.CHECKS.items() for i, p in f.items()) + ") t(category, check_id, prefixes)")
-def check_families(spark, sf_dir):
-    """SNK-06."""
-    return report.checks(spark).select("category", "check_id", F.array_join("prefixes", "|").alias("prefixes"))
-
-
-@query("pii_types", "select * from (values " + ", ".join(f"({_quoted(r['id'])}, {_quoted(r['label'])})" for r in T.PII_RULES) + ", ('PERSON_NAME', 'Person name')) t(id, label)")
-def pii_types(spark, sf_dir):
-    """SNK-05."""
-    return report.pii_types(spark)
-
-
 @query("clean_docs", "with hit as (select doc_id from documents where len(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) > 0) select doc_id from documents where doc_id not in (select doc_id from hit)")
 def clean_docs(spark, sf_dir):
     """SRC-02: documents without an e-mail finding."""

@@ -270,12 +270,6 @@ def credential_files(spark, sf_dir):
     return H.credential_findings(p).groupBy("subtype").agg(F.count("*").alias("n"))
 
 
-@query("not_implemented", "select * from (values ('network', 'wifi_profiles_not_implemented'), ('storage', 'suid_audit_not_implemented')) t(category, subtype)")
-def not_implemented(spark, sf_dir):
-    """NET-10, SEC-04."""
-    return H.not_implemented(spark, [("network", "wifi_profiles_not_implemented"), ("storage", "suid_audit_not_implemented")]).select("category", "subtype")
-
-
 # --- files -----------------------------------------------------------------------------------------------------------
 
 

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import native_ciphers as N
 from ..functions import sql_text
-from ..operators import crack, encodings, entropy_windows, heavy, language, long_lists, prefixes, report
+from ..functions.tables import PII_RULES
+from ..operators import crack, encodings, entropy_windows, heavy, language, long_lists, pii_scan, prefixes, report
 from ..sources import files
+from ..sources import hostfiles as H
 from . import scan as scans
 from .core_queries import ORACLES as ORACLES_OF_CORE
-from .core_queries import _BEST, _CLEAN_WORDS, _LANG, _SCORES, _TOKENS, _docs, _t
+from .core_queries import _BEST, _CLEAN_WORDS, _LANG, _MADE, _SCORES, _TOKENS, _docs, _made, _t
 from .pii_queries import ORACLES as ORACLES_OF_PII
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,6 +206,33 @@ def language_files(spark, sf_dir):
     return language.load_language_data(spark, path, "en")["words"].select("text", "popularity")
 
 
+_FAMILIES = "(values " + ", ".join(f"('{c}', '{i}', '{'|'.join(p)}')" for c, f in report.CHECKS.items() for i, p in f.items()) + ") t(category, check_id, prefixes)"
+
+
+@query("check_families", f"""select t.category, check_id, prefixes, count(m.event_id) as n from {_FAMILIES} left join {_MADE} m
+  on m.category = case when t.category = 'files' then 'storage' else t.category end and len(list_filter(string_split(prefixes, '|'), lambda p: starts_with(m.subtype, p))) > 0 group by all""")
+def check_families(spark, sf_dir):
+    """SNK-06: all check families and how many findings belong to each."""
+    return report.counts_by_check(_made(spark, sf_dir)).withColumn("prefixes", F.array_join("prefixes", "|"))
+
+
+_TYPES = "(values " + ", ".join("('{}', '{}')".format(r["id"], r["label"].replace("'", "''")) for r in PII_RULES) + ", ('PERSON_NAME', 'Person name')) t(id, label)"
+
+
+@query("pii_types", f"select id, label, count(rule_id) as n from {_TYPES} left join ({ORACLES_OF_PII['pii_merged']}) m on id = rule_id group by id, label")
+def pii_types(spark, sf_dir):
+    """SNK-05: all types of personal data and how many matches the documents have of each."""
+    return report.counts_by_type(pii_scan.merged(_docs(spark, sf_dir), "doc_id", "text"))
+
+
+@query("not_implemented", "select cast(s_suppkey as varchar) as host, category, subtype from supplier, (values ('network', 'wifi_profiles_not_implemented'), ('storage', 'suid_audit_not_implemented')) t(category, subtype) where s_suppkey % 3 <> 0")
+def not_implemented(spark, sf_dir):
+    """NET-10, SEC-04: what other platforms' hosts lack."""
+    hosts = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey as host", "element_at(array('Linux', 'windows', 'darwin'), cast(s_suppkey % 3 as int) + 1) as platform")
+    got = H.not_implemented(hosts, [("network", "wifi_profiles_not_implemented"), ("storage", "suid_audit_not_implemented")])
+    return got.select(F.col("location").alias("host"), "category", "subtype")
+
+
 # --- SQL ----------------------------------------------------------------------------------------------------------------
 
 

@@ -357,7 +357,8 @@ def credential_findings(paths: DataFrame) -> DataFrame:
     return paths.where(hit.isNotNull()).select(*finding("storage", F.concat(F.lit("credential_file_"), name), "Credential file present", "high", hit, F.col("path"), source="credential_scan", tags=["credentials"]))
 
 
-def not_implemented(spark: SparkSession, subtypes: list[tuple[str, str]]) -> DataFrame:
-    """Info findings (category, subtype) for checks that a platform lacks (NET-10, SEC-04)."""
-    rows = spark.createDataFrame(subtypes, "category string, subtype string")
-    return rows.select("category", *finding("storage", F.col("subtype"), "Not implemented on this platform", "info", F.col("subtype"), F.lit("host"), source="host")[1:])
+def not_implemented(hosts: DataFrame, subtypes: list[tuple[str, str]], host_col: str = "host", platform_col: str = "platform") -> DataFrame:
+    """Info findings (category, subtype) of each host for checks that its platform lacks, which all but linux do (NET-10, SEC-04)."""
+    lacks = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(s).alias("subtype")) for c, s in subtypes])
+    rows = hosts.where(F.lower(platform_col) != "linux").select(F.col(host_col).alias("host"), F.explode(lacks).alias("l"))
+    return rows.select(F.col("l.category").alias("category"), *finding("storage", F.col("l.subtype"), "Not implemented on this platform", "info", F.col("l.subtype"), F.col("host"), source="host")[1:])

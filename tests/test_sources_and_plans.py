@@ -125,7 +125,7 @@ def test_host_files(spark, tmp_path):
     assert H.credential_findings(spark.createDataFrame([("/h/.aws/credentials",), ("/h/x",)], "path string")).first().subtype == "credential_file_aws_credentials"
     procs = spark.createDataFrame([(1, 0, None, "kthread x"), (2, 5, "/tmp/x (deleted)", "x"), (3, 0, "/bin/y", "y")], "pid long, uid int, exe string, cmdline string")
     assert {r.location: r.severity for r in H.process_findings(procs).collect()} == {"1": "low", "2": "medium", "3": "clean"}
-    assert H.tpm_and_secure_boot([], 1, spark).count() == 2 and H.not_implemented(spark, [("network", "wifi_profiles_not_implemented")]).first().category == "network"
+    assert H.tpm_and_secure_boot([], 1, spark).count() == 2 and H.not_implemented(spark.createDataFrame([("h", "Windows"), ("l", "linux")], "host string, platform string"), [("network", "wifi_profiles_not_implemented")]).collect()[0].location == "h"
     assert H.interfaces(spark).columns == ["name", "mac", "up"] and H.permissions(spark, [str(tmp_path)]).count() >= 2
 
 
