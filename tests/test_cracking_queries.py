@@ -40,6 +40,18 @@ def test_letters_of_a_key_are_scored_like_whole_decodings():
     assert abs(words.best - crack.language(C.beaufort(text, "DBJBF"))[2]) < 1e-12
 
 
+def test_a_climbed_key_that_refits_mirrored_letters_gives_way():
+    text = "Thbleinst for shat anen of ennt inan ndtion in, from, iningor thsh ther haha, stou ndesen oran ble haen. write to user59@example.com about it"
+    coded = C.encode("atbash", text)
+    key = crack.beaufort_key(coded)
+    assert key == "ZGAZZZZZZZZ" and crack.language(C.beaufort(coded, key))[2] > crack.language(text)[2], "two letters of the key win one word by chance"
+    found = crack.crack(coded)
+    assert (found["method"], found["key"], found["plaintext"]) == ("atbash", "", text)
+    plain = "the cat and the dog of the house are in the garden with all their friends and she said that it was not for them " * 4
+    assert crack.crack(C.vigenere(plain, "HHQHH", 1))["key"] == "HHQHH", "a key of almost one letter is still found"
+    assert crack.crack(C.vigenere(plain, "LEMON", 1))["key"] == "LEMON"
+
+
 def test_signs_read_back():
     for m in C.SYMBOL_METHODS:
         if m != "vowel_to_number":
