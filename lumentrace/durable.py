@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names; only a local session without that setting gets a folder of its own."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return configured.rstrip("/") if configured else "file://" + tempfile.mkdtemp(prefix="lumentrace-")
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder that ``spark.checkpoint.dir`` names; only a local session without that setting gets a folder of its own."""
+    """``df`` as a checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lumentrace-"))
+        context.setCheckpointDir(_folder(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: worked out once, and read by columns."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

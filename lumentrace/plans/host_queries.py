@@ -299,9 +299,14 @@ def _database(statements: list[str]):
     return make
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """(path, items) of (path, r), in a fixed order: a file made again is the same file."""
+    return rows.groupBy("path").agg(F.sort_array(F.collect_list("r")).alias("items"))
+
+
 def _places(spark, sf_dir) -> DataFrame:
     p = _t(spark, sf_dir, "pages").selectExpr("cast(page_id div 200 as string) as path", "struct('moz_places' as into, page_id as id, url, html as title, page_id % 9 as visit_count) as r")
-    return _made(p.groupBy("path").agg(F.collect_list("r").alias("items")), _database(["create table moz_places(id integer primary key, url text, title text, visit_count integer)", "create table moz_bookmarks(fk integer, title text)"]))
+    return _made(_grouped(p), _database(["create table moz_places(id integer primary key, url text, title text, visit_count integer)", "create table moz_bookmarks(fk integer, title text)"]))
 
 
 @query("sqlite_rows", "select cast(page_id // 200 as varchar) as path, page_id, md5(html) as html from pages")

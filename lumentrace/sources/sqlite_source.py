@@ -1,7 +1,7 @@
 """Tables of SQLite files as rows (SRC-09), a page at a time: one large database is many tasks.
 
-Files are cut into pages, each a row. A first pass parses every page by itself: an inner page gives its children, a leaf its cells, whose values may go on
-on overflow pages. The tree of the asked table is then followed from its root by joins, level by level, which leaves the table's leaves;
+Files are cut into pages, each a row. A first pass parses every page by itself and stores what it told: an inner page gives its children, a leaf its cells, whose
+values may go on on overflow pages. Files are read once, so contents that come out otherwise when Spark works them out again do no harm. The tree of the asked table is then followed from its root by joins, level by level, which leaves the table's leaves;
 overflow chains are followed by joins whose steps double, so a value of very many pages takes few of them. Only then are records put together.
 """
 
@@ -13,10 +13,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import kept
+from ..durable import kept, stored
 
 #: Fixed values of the file format: the first bytes of a file, kinds of pages of a table's tree.
 MAGIC = b"SQLite format 3\0"
@@ -24,7 +25,7 @@ INNER, LEAF = 5, 13
 #: Encodings by the header's number.
 ENCODINGS = {1: "utf-8", 2: "utf-16-le", 3: "utf-16-be"}
 _CELL = "struct<rowid:bigint,size:bigint,local:binary,next:bigint>"
-_PAGE = f"id string, path string, page bigint, kind int, children array<bigint>, cells array<{_CELL}>"
+_PAGE = f"id string, path string, page bigint, size int, reserved int, encoding int, kind int, children array<bigint>, cells array<{_CELL}>, content binary"
 
 
 def pages(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -83,14 +84,18 @@ def _parsed(page: int, content: bytes, usable: int) -> tuple[int, list[int], lis
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """(id, path, page, kind, children, cells) of each of ``pages``."""
+    """(id, path, page, size, reserved, encoding, kind, children, cells, content) of each of ``pages``; content is null for those of a table's tree.
+
+    An overflow page begins with the next one's number, whose first byte is 0 in files that a cell can hold: none is taken for a page of a tree.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {f.name: f.type for f in schema}
         for b in batches:
             told = [_parsed(p, c, s - r) for p, c, s, r in zip(*(b.column(i).to_pylist() for i in (2, 6, 3, 4)))]
             cols = [pa.array([t[i] for t in told], kinds[n]) for i, n in enumerate(("kind", "children", "cells"))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=["id", "path", "page", "kind", "children", "cells"])
+            rest = pc.if_else(pc.equal(cols[0], 0), b.column(6), pa.scalar(None, b.column(6).type))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *cols, rest], names=["id", "path", "page", "size", "reserved", "encoding", "kind", "children", "cells", "content"])
 
     cell = pa.struct([("rowid", pa.int64()), ("size", pa.int64()), ("local", pa.binary()), ("next", pa.int64())])
     schema = pa.schema([("kind", pa.int32()), ("children", pa.list_(pa.int64())), ("cells", pa.list_(cell))])
@@ -115,13 +120,13 @@ def _leaves(tree: DataFrame, roots: DataFrame) -> DataFrame:
     return found.distinct().join(leaf, ["id", "page"])
 
 
-def _overflows(rows: DataFrame, starts: DataFrame) -> DataFrame:
+def _overflows(tree: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, first, parts): what the chains of overflow pages that begin at ``starts`` (id, first, need) hold, in turn; need is the number of pages.
 
     Each page's next one is a link; joining the links with themselves doubles their reach, so that every page learns the first of its chain and its place.
     """
     nxt = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("long")
-    body = rows.select("id", "page", nxt.alias("nxt"), F.substring(F.col("content"), F.lit(5), F.col("size") - F.col("reserved") - 4).alias("part"))
+    body = tree.where("content is not null").select("id", "page", nxt.alias("nxt"), F.substring(F.col("content"), F.lit(5), F.col("size") - F.col("reserved") - 4).alias("part"))
     chain = kept(starts.groupBy("id", "first").agg(F.max("need").alias("need")).select("id", "first", "need", F.col("first").alias("page"), F.lit(0).cast("long").alias("place")))
     longest = chain.agg(F.max("need")).first()[0] or 0
     jump, reach = kept(body.where("nxt > 0").select("id", "page", F.col("nxt").alias("to"))), 1
@@ -160,14 +165,14 @@ def _values(record: bytes, encoding: str) -> list:
     return out
 
 
-def _records(rows: DataFrame, tree: DataFrame, roots: DataFrame, keep: list[str]) -> DataFrame:
+def _records(tree: DataFrame, roots: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., path, rowid, encoding, payload parts) of the records below ``roots`` (id, page, keep...)."""
     leaves = _leaves(tree, roots)
     cells = tree.join(leaves, ["id", "page"], "left_semi").select("id", "path", F.explode("cells").alias("c")).select("id", "path", "c.*")
-    facts = rows.where("page = 1").select("id", "encoding", (F.col("size") - F.col("reserved") - 4).alias("room"))
+    facts = tree.where("page = 1").select("id", "encoding", (F.col("size") - F.col("reserved") - 4).alias("room"))
     cells = cells.join(facts, "id").join(roots.drop("page").distinct(), "id")
     need = F.ceil((F.col("size") - F.octet_length("local")) / F.col("room")).cast("long").alias("need")
-    long_ones = _overflows(rows, cells.where("next > 0").select("id", F.col("next").alias("first"), need))
+    long_ones = _overflows(tree, cells.where("next > 0").select("id", F.col("next").alias("first"), need))
     met = cells.join(long_ones.withColumnRenamed("first", "next"), ["id", "next"], "left")
     parts = F.concat(F.array("local"), F.coalesce("parts", F.array().cast("array<binary>")))
     return met.select(*keep, "id", "path", "rowid", "encoding", "size", parts.alias("parts"))
@@ -212,10 +217,17 @@ def read_table(files: DataFrame, table: str, path_col: str = "path", content_col
     The name is matched regardless of case; files that aren't databases or lack the table give no rows, pages that can't be read none of theirs.
     Tables without row ids aren't read; a value that a later column lacks is null. A file that stands twice under one path counts once.
     """
-    rows = pages(files, path_col, content_col)
-    tree = kept(parsed(rows))
+    return _rows(_tree(files, path_col, content_col), table, max_rows)
+
+
+def _tree(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """``parsed`` pages, stored."""
+    return stored(parsed(pages(files, path_col, content_col)), "lumentrace-sqlite-pages")
+
+
+def _rows(tree: DataFrame, table: str, max_rows: int | None) -> DataFrame:
     top = tree.select("id").distinct().select("id", F.lit(1).cast("long").alias("page"))
-    schema = _records(rows, tree, top, [])
+    schema = _records(tree, top, [])
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,7 +256,7 @@ def read_table(files: DataFrame, table: str, path_col: str = "path", content_col
                 out.append(json.dumps({n: v.hex() if isinstance(v, bytes) else v for n, v in zip(names, values)}, sort_keys=True))
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(out, pa.string())], names=["id", "path", "rowid", "data"])
 
-    records = _records(rows, tree, found, ["names", "own"])
+    records = _records(tree, found, ["names", "own"])
     data = records.select("names", "own", "id", "path", "rowid", "encoding", "size", "parts").mapInArrow(told, "id string, path string, rowid long, data string")
     return _ordered(data, max_rows)
 
