@@ -278,8 +278,9 @@ def _field(name: str) -> Column:
 
 def firefox_history(files: DataFrame, max_rows: int | None = 2000) -> tuple[DataFrame, DataFrame]:
     """(visits, bookmarks) of places.sqlite files: (path, url, title, visit_count) and (path, url, title) (SW-12)."""
-    places = read_table(files, "moz_places", max_rows=max_rows).select("path", _field("id").alias("id"), _field("url").alias("url"), _field("title").alias("title"), _field("visit_count").cast("long").alias("visit_count"))
-    marks = read_table(files, "moz_bookmarks", max_rows=max_rows).select("path", _field("fk").alias("id"), _field("title").alias("mark")).where("id is not null")
+    tree = _tree(files)
+    places = _rows(tree, "moz_places", max_rows).select("path", _field("id").alias("id"), _field("url").alias("url"), _field("title").alias("title"), _field("visit_count").cast("long").alias("visit_count"))
+    marks = _rows(tree, "moz_bookmarks", max_rows).select("path", _field("fk").alias("id"), _field("title").alias("mark")).where("id is not null")
     return places.drop("id"), marks.join(places, ["path", "id"], "left").select("path", "url", F.coalesce("mark", "title").alias("title"))
 
 
