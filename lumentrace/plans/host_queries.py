@@ -326,7 +326,7 @@ def firefox_visits(spark, sf_dir):
 def chromium_visits(spark, sf_dir):
     """SW-13 without a limit of rows."""
     p = _t(spark, sf_dir, "pages").selectExpr("cast(page_id div 300 as string) as path", "struct('urls' as into, url, 't' as title, page_id as visit_count) as r")
-    made = _made(p.groupBy("path").agg(F.collect_list("r").alias("items")), _database(["create table urls(url text, title text, visit_count integer)"]))
+    made = _made(_grouped(p), _database(["create table urls(url text, title text, visit_count integer)"]))
     return sqlite_source.chromium_history(made, max_rows=None).select("url", "visit_count")
 
 
