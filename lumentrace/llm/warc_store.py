@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import parted, passing, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -36,10 +36,14 @@ def write_archive(
     digests = written(
         rows.select("id", "url", F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n")), "warc-digests"
     )
-    owners = digests.groupBy("sha256", "sha1", "n").agg(F.max("id").alias("owner"))
+    owners = digests.groupBy("sha256", "sha1", "n").agg(F.max("id").alias("owner"), F.count("*").alias("copies"))
+    # only payloads that may have copies, and of these the rows that may own them, are moved to be joined
+    repeated = owners.where("copies > 1").select(F.xxhash64("sha256").alias("k"))
+    some, single = parted(rows.select("id", F.sha2("payload", 256).alias("digest"), "payload"), F.xxhash64("digest"), repeated)
+    some = passing(some, F.xxhash64("id", "digest"), owners.select(F.xxhash64("owner", "sha256").alias("k")))
     own = F.expr("id <=> owner and digest = sha256")
-    kept = rows.select("id", F.sha2("payload", 256).alias("digest"), "payload").join(owners.select("owner", "sha256"), own, "left_semi")
-    payloads = written(kept.dropDuplicates(["id", "digest"]).select("digest", "payload"), "warc-payloads")
+    kept = some.join(owners.select("owner", "sha256"), own, "left_semi").dropDuplicates(["id", "digest"])
+    payloads = written(single.select("digest", "payload").unionByName(kept.select("digest", "payload")), "warc-payloads")
     met = digests.join(owners, ["sha256", "sha1", "n"])
     revisit = (F.col("n") >= min_revisit) & ~F.col("id").eqNullSafe(F.col("owner"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))

@@ -418,6 +418,21 @@ def test_model_is_a_distribution(spark):
 # --- WARC, chat, search, urls ------------------------------------------------------------------------------------------
 
 
+def test_payloads_without_copies_are_not_moved_to_be_archived(spark):
+    def moved():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        return sum(context.statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(context.statusStore().executorList(False).size()))
+
+    rng = random.Random(5)
+    rows = [(i, f"http://a/{i}", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4000))) for i in range(1500)]
+    pages = spark.createDataFrame(rows + [(i + 2000, u, h) for i, u, h in rows[:20]], "page_id long, url string, html string").repartition(4).localCheckpoint()
+    before = moved()
+    records, payloads = warc_store.write_archive(pages)
+    assert moved() - before < sum(len(h) for _, _, h in rows) // 4
+    assert payloads.count() == 1500 == payloads.select("digest").distinct().count() and records.where("is_revisit").count() == 20
+
+
 def test_archive(spark):
     big = "é" * 600
     rows = [(1, "http://a/", big), (5, "http://b/\r\nx", big), (9, None, big), (2, "u", None), (3, "u", ""), (4, "u", "small"), (6, "u", "small"), (7, "u", "x" * 200_000), (9, None, big), (8, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" * 50)]
