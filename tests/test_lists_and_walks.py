@@ -2,12 +2,14 @@
 
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumentrace.functions.automaton import LANE, Automaton, WordList, code_points
 from lumentrace.operators import crack, long_lists, prefixes
+from lumentrace.plans import host_queries
 from lumentrace.sources import files, walk
 
 
@@ -124,3 +126,11 @@ def test_walk(spark, tmp_path):
     assert len(one) == 1 and bytes(one[0].content) == b"\x01"
     with pytest.raises(Exception, match="No such file"):
         files.read_files(spark, str(tmp_path / "absent")).collect()
+
+
+def test_matches_of_a_small_table_are_many_tasks(spark, sf):
+    got = host_queries.long_list_theta(spark, sf)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    parts = [(r.p_partkey, r.p_name.lower()) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    keys = [(f"Entry {i}", n[:9]) for i, n in parts if i % 20 == 0]
+    assert Counter(map(tuple, got.collect())) == Counter((i, e) for i, n in parts for e, k in keys if k in n or n in k)
