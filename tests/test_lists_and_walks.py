@@ -134,3 +134,23 @@ def test_matches_of_a_small_table_are_many_tasks(spark, sf):
     parts = [(r.p_partkey, r.p_name.lower()) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
     keys = [(f"Entry {i}", n[:9]) for i, n in parts if i % 20 == 0]
     assert Counter(map(tuple, got.collect())) == Counter((i, e) for i, n in parts for e, k in keys if k in n or n in k)
+
+
+def test_matches_fill_little(spark, tmp_path):
+    """Matches come in runs and repeats, so a file of them is small."""
+    names, table = spark.range(2000).selectExpr("id", "'Old plate' as name").coalesce(1), spark.range(999).selectExpr("concat('Entry ', id) as entry", "'old plate' as k")
+    long_lists.match_table(names, "name", table, "k").select("id", "entry").write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.distinct().count() == 2000 * 999
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * 2000 * 999
+
+
+def test_matches_of_many_keys_and_wide_rows(spark):
+    names = spark.range(2000).selectExpr("id", "'aB' as name").coalesce(1)
+    table = spark.range(600).selectExpr("id as `i.d`", "concat('xAb', id) as k")
+    got = long_lists.match_table(names, "name", table, "k", columns=("id", "i.d"))
+    assert got.columns == ["id", "i.d"] and got.count() == got.distinct().count() == 2000 * 600
+    wide = spark.range(40).selectExpr("id", "'ab' as name", "repeat(cast(id % 10 as string), 30000) as text", "named_struct('a', array(id), 'b', null) as s")
+    rows = long_lists.match_table(wide, "name", table.where("`i.d` < 30"), "k").selectExpr("id", "`i.d` as i", "text = repeat(cast(id % 10 as string), 30000) as same", "s.a[0] as a", "k").collect()
+    assert Counter((r.id, r.i) for r in rows) == Counter((i, j) for i in range(40) for j in range(30)) and all(r.same and r.a == r.id and r.k == f"xAb{r.i}" for r in rows)
+    assert [tuple(r) for r in long_lists.match_table(wide.limit(1), "name", table.limit(2), "k", columns=("i.d",)).sort("`i.d`").collect()] == [(0,), (1,)]
